@@ -140,7 +140,6 @@ def repeated_lines(rows: DataFrame, min_docs: int, bits: int = BITS, keep_first:
     return hit.groupBy("id", "text_hash").agg(F.collect_set("line").alias("dropped"))
 
 
-@F.pandas_udf("string")
 def _without(text: pd.Series, dropped: pd.Series) -> pd.Series:
     """The texts without the numbered lines; rows that lose none are null here and stay so."""
     out = []
@@ -162,5 +161,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dropped = repeated_lines(rows, min_docs, bits, keep_first)
     joined = docs.withColumns({"_tw_id": row_id, "_tw_hash": F.xxhash64(text)}).join(dropped.select(F.col("id").alias("_tw_id2"), F.col("text_hash").alias("_tw_hash2"), F.col("dropped").alias("_tw_dropped")), F.col("_tw_id").eqNullSafe(F.col("_tw_id2")) & (F.col("_tw_hash") == F.col("_tw_hash2")), "left")
     hit = F.col("_tw_dropped").isNotNull()
-    left = _without(F.when(hit, text), F.col("_tw_dropped"))
+    left = F.pandas_udf(_without, "string")(F.when(hit, text), F.col("_tw_dropped"))
     return joined.select(*(F.when(hit, left).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns), (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"), F.coalesce(F.size("_tw_dropped"), F.lit(0)).cast("long").alias("n_dropped"))
