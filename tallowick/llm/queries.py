@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallowick.llm import line_dedup, packing, quality_rules
+from tallowick.llm import line_dedup, minhash_dedup, packing, quality_rules
 
 
 def tokenizer_path(name: str) -> str:
@@ -18,6 +18,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -50,5 +54,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
-QUERIES = {f.__name__: f for f in (op6_line_dedup, op9_best_fit_packing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op4_minhash_near_dedup, op6_line_dedup, op9_best_fit_packing, op10_quality_rules)}
 ORACLES: dict[str, str] = {"op6_line_dedup": OP6_SQL}
