@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallowick.llm import line_dedup, minhash_dedup, packing, quality_rules
+from tallowick.llm import cotraining, decontaminate, line_dedup, minhash_dedup, packing, quality_rules
 
 
 def tokenizer_path(name: str) -> str:
@@ -18,10 +18,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every document; ``kept`` is false where bad quality is the likelier."""
+    scored = cotraining.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.select(F.col("id").alias("doc_id"), "p_content", "p_metadata", "p_good", (F.col("p_good") >= 0.5).alias("kept"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold benchmark items: one row for each such pair."""
+    return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).withColumnRenamed("id", "doc_id")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -54,5 +65,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
-QUERIES = {f.__name__: f for f in (op4_minhash_near_dedup, op6_line_dedup, op9_best_fit_packing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_quality_classifier, op4_minhash_near_dedup, op5_benchmark_decontamination, op6_line_dedup, op9_best_fit_packing, op10_quality_rules)}
 ORACLES: dict[str, str] = {"op6_line_dedup": OP6_SQL}
