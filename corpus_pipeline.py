@@ -1,3 +1,69 @@
-STAGES = []
+"""A training corpus from the ``documents`` table, in five stages.
+
+``STAGES`` lists ``(name, function)``; each function takes ``(spark, docs, sf_dir)``
+and returns what it keeps, which is written as Parquet and read as the next stage's
+``docs``.  All stages but the last return the columns of ``docs``; rows whose id is
+null go through the filters as documents of their own.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallowick.llm import cotraining, decontaminate, line_dedup, minhash_dedup, packing, workspace
+from tallowick.llm.queries import tokenizer_path
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the ids in ``ids.id``."""
+    return docs.join(ids.select(F.col("id").alias("_tw_gone")).distinct(), F.col("doc_id") == F.col("_tw_gone"), "left_anti")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go that the co-trained classifiers take for bad rather than good."""
+    scored = cotraining.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _without(docs, scored.filter("p_good < 0.5"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of lines found in ten documents or more the first stays, the others go; so do documents that are left without a word.
+
+    Keeping the first occurrence keeps one copy of a text of which there are many.
+    """
+    left = line_dedup.dedup_lines(docs, keep_first=True)
+    return left.filter((F.col("n_dropped") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document of the smallest id stays."""
+    return _without(docs, minhash_dedup.near_duplicates(docs).filter(~F.col("kept")))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go that hold 75 % or more of the shingles of a benchmark item."""
+    return _without(docs, decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The places of the documents' pieces in sequences of 1024 tokens."""
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality_classifier", quality),
+    ("line_dedup", lines),
+    ("minhash_near_dedup", near_duplicates),
+    ("benchmark_decontamination", decontamination),
+    ("best_fit_packing", pack),
+]
+
+#: The classifier, the similarity groups and the packing are beyond SQL.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = workspace.keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
