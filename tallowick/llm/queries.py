@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallowick.llm import cotraining, decontaminate, line_dedup, minhash_dedup, packing, quality_rules
+from tallowick.llm import cotraining, decontaminate, line_dedup, minhash_dedup, packing, quality_rules, warc
+from tallowick.llm.workspace import new_path
 
 
 def tokenizer_path(name: str) -> str:
@@ -18,6 +19,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    return warc.page_records(warc.read_archives(spark, path))
+
+
+OP1_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS h FROM p),
+e AS (SELECT h, min(page_id) AS first, count(*) AS c FROM d WHERE n >= 100 GROUP BY h)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
+       CASE WHEN c > 1 AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN c > 1 AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM d LEFT JOIN e USING (h)
+"""
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A score for every document; ``kept`` is false where bad quality is the likelier."""
     scored = cotraining.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -65,5 +83,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_classifier, op4_minhash_near_dedup, op5_benchmark_decontamination, op6_line_dedup, op9_best_fit_packing, op10_quality_rules)}
-ORACLES: dict[str, str] = {"op6_line_dedup": OP6_SQL}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_classifier, op4_minhash_near_dedup, op5_benchmark_decontamination, op6_line_dedup, op9_best_fit_packing, op10_quality_rules)}
+ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op6_line_dedup": OP6_SQL}
