@@ -51,13 +51,12 @@ def _mark(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
 
 
 def _thin(batches: Iterator[pa.RecordBatch], shared, size: int) -> Iterator[pa.RecordBatch]:
-    flags = None if shared is None else np.unpackbits(shared.value).astype(bool)
     for batch in batches:
         for part in K.pieces(batch, "text"):
             gram, bounds = K.shingles(part.column("text"), size)
-            if flags is not None:
+            if shared is not None:
                 a, b = _bits(gram)
-                hit = flags[a] & flags[b]
+                hit = K.bit_set(shared.value, a) & K.bit_set(shared.value, b)
                 bounds = np.concatenate([[0], np.cumsum(hit)])[bounds]
                 gram = gram[hit]
             full = np.flatnonzero(np.diff(bounds))

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -138,6 +138,11 @@ def shingles(column: pa.Array, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return gram, np.searchsorted(of, np.arange(len(column) + 1))
 
 
+def bit_set(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which positions are set in a bitmap made by ``numpy.packbits``."""
+    return packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & np.uint8(1) > 0
+
+
 def per_row(flags: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """How many of the flags are set in each row."""
     total = np.zeros(len(flags) + 1, np.int64)

@@ -113,12 +113,12 @@ def twice_seen(rows: DataFrame, bits: int = BITS) -> np.ndarray:
 
 
 def _suspects(batches: Iterator[pa.RecordBatch], shared, bits: int) -> Iterator[pa.RecordBatch]:
-    flags = np.unpackbits(shared.value).astype(bool)
+    packed = shared.value
     for batch in batches:
         for part in K.pieces(batch, "text"):
             row, number, begin, end, data = _lines(part.column("text"))
             a, b = _bits(hashes := K.span_hash(data, begin, end, lower=True), bits)
-            hit = np.flatnonzero(flags[a] & flags[b])
+            hit = np.flatnonzero(K.bit_set(packed, a) & K.bit_set(packed, b))
             if not len(hit):
                 continue
             raw = K.LOWER[data].tobytes()

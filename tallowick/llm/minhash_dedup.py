@@ -38,7 +38,8 @@ from tallowick.operators.components import connected_components
 PERMUTATIONS, ROWS, SIZE = 64, 4, 5
 #: a bucket of more classes than this goes to the prefix join
 SMALL_BUCKET = 24
-FILTER_BITS = 1 << 26
+#: bits for each class in the filter that picks documents, and the filter's least and largest size
+FILTER_RATE, FILTER_LEAST, FILTER_MOST = 16, 1 << 20, 1 << 27
 
 
 def signatures(gram: np.ndarray, bounds: np.ndarray, permutations: int, seed: int = 5) -> np.ndarray:
@@ -81,19 +82,19 @@ def _sign(batches: Iterator[pa.RecordBatch], size: int, permutations: int, rows:
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(bounds)), pa.array(_set_keys(gram, bounds).view(np.int64)), _lists(bands.reshape(-1), np.arange(len(bands) + 1) * bands.shape[1])], ["id", "n", "node", "bands"])
 
 
-def _wanted(node: np.ndarray, row_id: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _wanted(node: np.ndarray, row_id: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     h = K.mix(node.view(np.uint64) ^ K.mix(row_id.view(np.uint64)))
-    return (h % np.uint64(FILTER_BITS)).astype(np.int64), ((h >> np.uint64(32)) % np.uint64(FILTER_BITS)).astype(np.int64)
+    return (h % np.uint64(bits)).astype(np.int64), ((h >> np.uint64(32)) % np.uint64(bits)).astype(np.int64)
 
 
-def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    flags = np.zeros(FILTER_BITS, bool)
+def _mark(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of 65,536 bits of a Bloom filter of the rows' (node, id)."""
     for batch in batches:
-        for at in _wanted(batch.column("node").to_numpy(), batch.column("id").to_numpy()):
-            flags[at] = True
-    at = np.flatnonzero(flags)
-    for block in np.unique(at >> 16):
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(flags[block << 16 : (block + 1) << 16]).tobytes()])], ["block", "bits"])
+        at = np.unique(np.concatenate(_wanted(batch.column("node").to_numpy(), batch.column("id").to_numpy(), bits)))
+        for block in np.unique(at >> 16):
+            flags = np.zeros(1 << 16, bool)
+            flags[at[np.searchsorted(at, block << 16) : np.searchsorted(at, (block + 1) << 16)] & 0xFFFF] = True
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(flags).tobytes()])], ["block", "bits"])
 
 
 def _or(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,14 +107,14 @@ def _or(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([bits.tobytes()])], ["block", "bits"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch], shared, size: int) -> Iterator[pa.RecordBatch]:
-    flags = np.unpackbits(shared.value).astype(bool)
+def _sets(batches: Iterator[pa.RecordBatch], shared, bits: int, size: int) -> Iterator[pa.RecordBatch]:
+    packed = shared.value
     for batch in batches:
         for part in K.pieces(batch, "text"):
             gram, bounds = K.shingles(part.column("text"), size)
             node, row_id = _set_keys(gram, bounds).view(np.int64), part.column("id").to_numpy(zero_copy_only=False)
-            a, b = _wanted(node, row_id)
-            hit = np.flatnonzero(flags[a] & flags[b] & (np.diff(bounds) > 0))
+            a, b = _wanted(node, row_id, bits)
+            hit = np.flatnonzero(K.bit_set(packed, a) & K.bit_set(packed, b) & (np.diff(bounds) > 0))
             if len(hit):
                 grams = [gram[bounds[i] : bounds[i + 1]] for i in hit]
                 yield pa.RecordBatch.from_arrays([pa.array(row_id[hit]), pa.array(node[hit]), _lists(np.concatenate(grams), np.cumsum([0, *map(len, grams)]))], ["id", "node", "grams"])
@@ -122,15 +123,16 @@ def _sets(batches: Iterator[pa.RecordBatch], shared, size: int) -> Iterator[pa.R
 def sets_of(rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """``node, grams`` for the classes in ``nodes`` (``node, id``), each from its document of that id.
 
-    A Bloom filter of a fixed size picks the documents while the texts are read
+    A Bloom filter of ``FILTER_MOST`` bits at most picks the documents while the texts are read
     again, so texts are not shuffled; what it lets through in error joins with nothing.
     """
-    merged = nodes.select("node", "id").mapInArrow(_mark, "block int, bits binary").repartition("block").mapInArrow(_or, "block int, bits binary")
-    out = np.zeros((FILTER_BITS >> 16, 8192), np.uint8)
-    for r in merged.collect():  # FILTER_BITS / 8 bytes in all
+    bits = min(FILTER_MOST, max(FILTER_LEAST, 1 << (FILTER_RATE * max(1, nodes.count()) - 1).bit_length()))
+    merged = nodes.select("node", "id").mapInArrow(lambda x: _mark(x, bits), "block int, bits binary").repartition("block").mapInArrow(_or, "block int, bits binary")
+    out = np.zeros((bits >> 16, 8192), np.uint8)
+    for r in merged.collect():  # bits / 8 bytes in all
         out[r["block"]] = np.frombuffer(r["bits"], np.uint8)
     shared = rows.sparkSession.sparkContext.broadcast(out.reshape(-1))
-    found = rows.filter("id is not null").mapInArrow(lambda x: _sets(x, shared, size), "id long, node long, grams array<long>")
+    found = rows.filter("id is not null").mapInArrow(lambda x: _sets(x, shared, bits, size), "id long, node long, grams array<long>")
     return keep(found.dropDuplicates(["node"]).select("node", "grams"), "sets")
 
 
@@ -189,7 +191,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("members"), F.min(F.struct(-F.col("copies"), "node")).alias("pivot")).filter("members > 1")
     member = keep(buckets.join(shared.select("bucket", "members", F.col("pivot.node").alias("pivot")), "bucket"), "members")
     remove(buckets)
-    sets = sets_of(texts, member.select("node", "id").distinct(), size)
+    sets = sets_of(texts, keep(member.select("node", "id").distinct(), "wanted"), size)
     links = keep(confirmed(_ordered(member.select(F.col("pivot").alias("u"), F.col("node").alias("v"))), sets, percent), "links")
     # Buckets that hold several components still may hide links between them.
     labelled = keep(_labelled(member, links), "labelled")
