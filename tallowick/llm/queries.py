@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallowick.llm import cotraining, decontaminate, line_dedup, minhash_dedup, packing, quality_rules, warc
+from tallowick.llm import cotraining, decontaminate, line_dedup, minhash_dedup, packing, quality_rules, secret_scan, warc
 from tallowick.llm.workspace import new_path
 
 
@@ -74,6 +74,15 @@ FROM marked GROUP BY r, doc_id
 """
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    samples = secret_scan.labelled_samples(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    found = secret_scan.scan(docs, samples)
+    base = F.filter("spans", lambda x: x["kind"] < 3)
+    count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
+    return found.select(F.col("id").alias("doc_id"), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secret_scan.written(base), 256).alias("base_sha256"), secret_scan.written(F.col("spans")).alias("spans"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
@@ -83,5 +92,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_classifier, op4_minhash_near_dedup, op5_benchmark_decontamination, op6_line_dedup, op9_best_fit_packing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_classifier, op4_minhash_near_dedup, op5_benchmark_decontamination, op6_line_dedup, op7_secret_scan, op9_best_fit_packing, op10_quality_rules)}
 ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op6_line_dedup": OP6_SQL}
