@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallowick.llm import cotraining, decontaminate, line_dedup, minhash_dedup, packing, ppm, quality_rules, secret_scan, warc
+from tallowick.llm import cotraining, decontaminate, line_dedup, minhash_dedup, packing, ppm, quality_rules, secret_scan, suffix_dedup, warc
 from tallowick.llm.workspace import new_path
 
 
@@ -42,6 +42,11 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("id").alias("doc_id"), "p_content", "p_metadata", "p_good", (F.col("p_good") >= 0.5).alias("kept"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_dedup.remove_repeats(documents(spark, sf_dir))
+    return left.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
@@ -96,5 +101,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_classifier, op4_minhash_near_dedup, op5_benchmark_decontamination, op6_line_dedup, op7_secret_scan, op8_lm_scoring, op9_best_fit_packing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_classifier, op3_suffix_array_dedup, op4_minhash_near_dedup, op5_benchmark_decontamination, op6_line_dedup, op7_secret_scan, op8_lm_scoring, op9_best_fit_packing, op10_quality_rules)}
 ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op6_line_dedup": OP6_SQL}
