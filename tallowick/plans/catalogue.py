@@ -288,9 +288,14 @@ _BITS_SQL = "bits AS (SELECT vec_id AS pos, label, list_aggregate(list_transform
 _NEAR = frames.NEAR
 
 
-@query(f"WITH {_BITS_SQL} SELECT a.pos AS a, b.pos AS b, CAST(hamming(a.b, b.b) AS INT) AS distance FROM bits a JOIN bits b ON a.pos < b.pos WHERE hamming(a.b, b.b) <= {_NEAR} AND a.b <> b.b")
+@query(f"WITH {_BITS_SQL}, c AS (SELECT b, min(pos) AS pos, count(*) AS copies FROM bits GROUP BY b) SELECT a.pos AS a, b.pos AS b, CAST(hamming(a.b, b.b) AS INT) AS distance, a.copies AS copies_a, b.copies AS copies_b FROM c a JOIN c b ON a.pos < b.pos WHERE hamming(a.b, b.b) <= {_NEAR}")
 def hamming_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames.similar_pairs(_hashes(spark, sf_dir), _NEAR).filter("distance > 0").select("a", "b", F.col("distance").cast("int").alias("distance"))
+    """Pairs between the first rows of different hashes, and how many rows have each hash."""
+    hashes = _hashes(spark, sf_dir)
+    pairs = frames.similar_pairs(hashes, _NEAR).filter("distance > 0").select("a", "b", F.col("distance").cast("int").alias("distance"))
+    copies = hashes.groupBy("hash").agg(F.min("pos").alias("pos"), F.count("*").alias("copies"))
+    one = lambda x: copies.select(F.col("pos").alias(x), F.col("copies").alias(f"copies_{x}"))
+    return pairs.join(one("a"), "a").join(one("b"), "b")
 
 
 @query(f"""WITH RECURSIVE {_BITS_SQL}, e AS (SELECT a.pos AS a, b.pos AS b FROM bits a JOIN bits b ON a.pos <> b.pos AND hamming(a.b, b.b) <= {_NEAR}),
