@@ -114,9 +114,11 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
     return read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
 
 
-def _join_pieces(pieces: list, head: int, length: int) -> bytes:
+def _join_pieces(pieces: list, head: int, length: int) -> bytes | None:
+    """The payload put together; None where the file ends before the record does."""
     whole = MAGIC.encode().join(bytes(p["value"]) for p in sorted(pieces, key=lambda p: p["at"]))
-    return _payload(whole[head + 4 : head + 4 + length])
+    block = whole[head + 4 : head + 4 + length]
+    return _payload(block) if len(block) == length else None
 
 
 def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,6 +126,8 @@ def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1).to_pylist()[0]
             body = _join_pieces(row["pieces"], row["head"], row["length"])
+            if body is None:
+                continue
             yield pa.RecordBatch.from_arrays([pa.array([row["file"]]), pa.array([row["at"]], pa.int64()), pa.array([hashlib.sha256(body).hexdigest()]), pa.array([len(body)], pa.int64())], ["file", "at", "whole_digest", "whole_bytes"])
 
 
@@ -170,7 +174,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     raw = _pieces(spark, path).mapInArrow(_raw, "file string, block long, rel long, value binary").join(base, ["file", "block"]).select("file", (F.col("base") + F.col("rel")).alias("at"), "value")
     whole = needed.join(raw, ["file", "at"]).groupBy("file", "owner", "head", "length").agg(F.collect_list(F.struct("at", "value")).alias("pieces")).withColumnRenamed("owner", "at")
     made = whole.select("file", "at", "head", "length", "pieces").mapInArrow(_assembled, "file string, at long, whole_digest string, whole_bytes long")
-    return out.join(made, ["file", "at"], "left").select("file", "at", "type", "record_id", "refers_to", "uri", F.coalesce("digest", "whole_digest").alias("digest"), F.coalesce("payload_bytes", "whole_bytes").alias("payload_bytes"))
+    return out.join(made, ["file", "at"], "left").select("file", "at", "type", "record_id", "refers_to", "uri", F.coalesce("digest", "whole_digest").alias("digest"), F.coalesce("payload_bytes", "whole_bytes").alias("payload_bytes")).filter("digest is not null")
 
 
 def page_records(records: DataFrame) -> DataFrame:
