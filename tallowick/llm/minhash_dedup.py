@@ -159,21 +159,23 @@ def _prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame
     Sets of sizes a and b are similar only if they share at least t / (1 + t) * (a + b)
     elements; then the a + 1 - that many rarest of one hold an element of those of the
     other.  Sizes fall into classes of 4 % so that the bound is known before the join.
+    Only elements found under several labels can be shared by the sets of such a pair, so
+    the others are left out before, and prefixes are taken of what is left.
     """
     t = percent / 100
     step = math.log(1.04)
-    base = sets.join(labels.select("node", "label"), "node")
-    token = base.select("node", F.explode("grams").alias("token"))
-    often = token.groupBy("token").agg(F.count("*").alias("df"))
-    ranked = token.join(often, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order"))
-    sized = ranked.join(labels.select("node", "label"), "node").withColumn("n", F.size("order")).withColumn("own", F.floor(F.log("n") / step))
+    token = sets.join(labels.select("node", "label"), "node").select("node", "label", F.size("grams").alias("n"), F.explode("grams").alias("token"))
+    spread = token.groupBy("token").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token", "df")
+    # Written, so that the join has a shuffle of its own, whose large partitions Spark splits.
+    ranked = token.join(keep(spread, "spread"), "token").groupBy("node", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order"))
+    sized = ranked.withColumn("own", F.floor(F.log("n") / step))
     reach = math.ceil(-math.log(t) / step) + 1
     aimed = sized.select("node", "label", "n", "own", "order", F.explode(F.sequence(F.col("own") - reach, F.col("own") + reach)).alias("other"))
     least = F.greatest(F.lit(1), F.floor(F.lit(1.0) * F.exp(F.col("other") * step)))  # the smallest set of the other class
     need = F.ceil(F.lit(t / (1 + t)) * (F.col("n") + least) - 1e-6)
-    length = F.greatest(F.lit(0), F.col("n") - F.greatest(need, F.lit(1)) + 1).cast("int")
-    keyed = aimed.withColumn("length", length).filter("other >= 0 and length > 0").select("node", "label", "own", "other", F.explode(F.slice("order", F.lit(1), F.col("length"))).alias("x")).select("node", "label", "own", "other", F.col("x.token").alias("token"), F.col("x.df").alias("df")).filter("df > 1")
-    # A token of one component only links nothing new.
+    length = F.greatest(F.lit(0), F.size("order") - F.greatest(need, F.lit(1)) + 1).cast("int")
+    keyed = aimed.withColumn("length", length).filter("other >= 0 and length > 0").select("node", "label", "own", "other", F.explode(F.slice("order", F.lit(1), F.col("length"))).alias("x")).select("node", "label", "own", "other", F.col("x.token").alias("token"))
+    # A token that is in prefixes of one component only links nothing new.
     mixed = keyed.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token")
     keyed = keep(keyed.join(mixed, "token", "left_semi"), "prefix")
     a = keyed.select(F.col("node").alias("u"), F.col("label").alias("lu"), "own", "other", "token")
