@@ -22,7 +22,6 @@ Rows with equal ids are judged by their own texts.  Extra columns are ignored.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -156,31 +155,32 @@ def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
 def _prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs of differently labelled classes that may be similar, by an exact prefix filter.
 
-    Sets of sizes a and b are similar only if they share at least t / (1 + t) * (a + b)
-    elements; then the a + 1 - that many rarest of one hold an element of those of the
-    other.  Sizes fall into classes of 4 % so that the bound is known before the join.
+    Sets of sizes a <= b are similar only if they share at least t / (1 + t) * (a + b)
+    elements, which is at least 2 * t / (1 + t) * a and at least t * b.  The rarest element
+    they share then stands early in both: a set is found under its first elements, fewer
+    when it is the smaller one, more when it is the larger one.  The elements that follow
+    the shared one bound the overlap, so the join drops pairs that can't reach it.
     Only elements found under several labels can be shared by the sets of such a pair, so
     the others are left out before, and prefixes are taken of what is left.
     """
     t = percent / 100
-    step = math.log(1.04)
+    overlap = lambda n: F.ceil(F.lit(t / (1 + t)) * n - 1e-6)
     token = sets.join(labels.select("node", "label"), "node").select("node", "label", F.size("grams").alias("n"), F.explode("grams").alias("token"))
     spread = token.groupBy("token").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token", "df")
     # Written, so that the join has a shuffle of its own, whose large partitions Spark splits.
     ranked = token.join(keep(spread, "spread"), "token").groupBy("node", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order"))
-    sized = ranked.withColumn("own", F.floor(F.log("n") / step))
-    reach = math.ceil(-math.log(t) / step) + 1
-    aimed = sized.select("node", "label", "n", "own", "order", F.explode(F.sequence(F.col("own") - reach, F.col("own") + reach)).alias("other"))
-    least = F.greatest(F.lit(1), F.floor(F.lit(1.0) * F.exp(F.col("other") * step)))  # the smallest set of the other class
-    need = F.ceil(F.lit(t / (1 + t)) * (F.col("n") + least) - 1e-6)
-    length = F.greatest(F.lit(0), F.size("order") - F.greatest(need, F.lit(1)) + 1).cast("int")
-    keyed = aimed.withColumn("length", length).filter("other >= 0 and length > 0").select("node", "label", "own", "other", F.explode(F.slice("order", F.lit(1), F.col("length"))).alias("x")).select("node", "label", "own", "other", F.col("x.token").alias("token"))
+    as_larger = F.size("order") - F.greatest(F.lit(1), F.ceil(F.lit(t) * F.col("n") - 1e-6)) + 1
+    as_smaller = F.size("order") - F.greatest(F.lit(1), overlap(2 * F.col("n"))) + 1
+    prefix = ranked.withColumns({"length": F.greatest(F.lit(0), as_larger).cast("int"), "short": as_smaller})
+    each = prefix.filter("length > 0").select("node", "label", "n", "short", F.size("order").alias("m"), F.posexplode(F.slice("order", F.lit(1), F.col("length"))).alias("at", "x"))
+    keyed = each.select("node", "label", "n", F.col("x.token").alias("token"), (F.col("m") - F.col("at")).alias("rest"), (F.col("at") < F.col("short")).alias("small"))
     # A token that is in prefixes of one component only links nothing new.
     mixed = keyed.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token")
     keyed = keep(keyed.join(mixed, "token", "left_semi"), "prefix")
-    a = keyed.select(F.col("node").alias("u"), F.col("label").alias("lu"), "own", "other", "token")
-    b = keyed.select(F.col("node").alias("v"), F.col("label").alias("lv"), F.col("own").alias("other"), F.col("other").alias("own"), "token")
-    return a.join(b, ["token", "own", "other"]).filter("u < v and lu <> lv").select("u", "v").distinct()
+    a = keyed.filter("small").select("token", F.col("node").alias("u"), F.col("label").alias("lu"), F.col("n").alias("nu"), F.col("rest").alias("ru"))
+    b = keyed.select("token", F.col("node").alias("v"), F.col("label").alias("lv"), F.col("n").alias("nv"), F.col("rest").alias("rv"))
+    may = (F.col("lu") != F.col("lv")) & (F.struct("nu", "u") < F.struct("nv", "v")) & (F.least("ru", "rv") >= overlap(F.col("nu") + F.col("nv")))
+    return _ordered(a.join(b, (a["token"] == b["token"]) & may).select("u", "v"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, size: int = SIZE, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
