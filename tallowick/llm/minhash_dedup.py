@@ -37,6 +37,8 @@ from tallowick.operators.components import connected_components
 PERMUTATIONS, ROWS, SIZE = 64, 4, 5
 #: a bucket of more classes than this goes to the prefix join
 SMALL_BUCKET = 24
+#: 64-bit words of the parity bitmap by which the prefix join bounds how far two sets differ
+PARITY_WORDS = 8
 #: bits for each class in the filter that picks documents, and the filter's least and largest size
 FILTER_RATE, FILTER_LEAST, FILTER_MOST = 16, 1 << 20, 1 << 27
 
@@ -152,6 +154,13 @@ def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
     return rows.join(connected_components(links, "u", "v"), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
 
 
+def _parity(token: str) -> list[F.Column]:
+    """For each bit of the bitmap, whether an odd number of a group's tokens falls on it."""
+    place = F.shiftrightunsigned(F.xxhash64(token), 32) % (64 * PARITY_WORDS)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    return [F.coalesce(F.bit_xor(F.when(F.floor(place / 64) == i, bit)), F.lit(0)).alias(f"parity{i}") for i in range(PARITY_WORDS)]
+
+
 def _prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs of differently labelled classes that may be similar, by an exact prefix filter.
 
@@ -159,7 +168,9 @@ def _prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame
     elements, which is at least 2 * t / (1 + t) * a and at least t * b.  The rarest element
     they share then stands early in both: a set is found under its first elements, fewer
     when it is the smaller one, more when it is the larger one.  The elements that follow
-    the shared one bound the overlap, so the join drops pairs that can't reach it.
+    the shared one bound the overlap, so the join drops pairs that can't reach it; so do
+    bitmaps of the parity of the elements that fall on each bit, as two sets differ in at
+    least as many elements as their bitmaps in bits.
     Only elements found under several labels can be shared by the sets of such a pair, so
     the others are left out before, and prefixes are taken of what is left.
     """
@@ -168,19 +179,23 @@ def _prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame
     token = sets.join(labels.select("node", "label"), "node").select("node", "label", F.size("grams").alias("n"), F.explode("grams").alias("token"))
     spread = token.groupBy("token").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token", "df")
     # Written, so that the join has a shuffle of its own, whose large partitions Spark splits.
-    ranked = token.join(keep(spread, "spread"), "token").groupBy("node", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order"))
+    ranked = token.join(keep(spread, "spread"), "token").groupBy("node", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order"), *_parity("token"))
+    marks = [f"parity{i}" for i in range(PARITY_WORDS)]
     as_larger = F.size("order") - F.greatest(F.lit(1), F.ceil(F.lit(t) * F.col("n") - 1e-6)) + 1
     as_smaller = F.size("order") - F.greatest(F.lit(1), overlap(2 * F.col("n"))) + 1
     prefix = ranked.withColumns({"length": F.greatest(F.lit(0), as_larger).cast("int"), "short": as_smaller})
-    each = prefix.filter("length > 0").select("node", "label", "n", "short", F.size("order").alias("m"), F.posexplode(F.slice("order", F.lit(1), F.col("length"))).alias("at", "x"))
-    keyed = each.select("node", "label", "n", F.col("x.token").alias("token"), (F.col("m") - F.col("at")).alias("rest"), (F.col("at") < F.col("short")).alias("small"))
+    each = prefix.filter("length > 0").select("node", "label", "n", "short", *marks, F.size("order").alias("m"), F.posexplode(F.slice("order", F.lit(1), F.col("length"))).alias("at", "x"))
+    keyed = each.select("node", "label", "n", "m", *marks, F.col("x.token").alias("token"), (F.col("m") - F.col("at")).alias("rest"), (F.col("at") < F.col("short")).alias("small"))
     # A token that is in prefixes of one component only links nothing new.
     mixed = keyed.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token")
     keyed = keep(keyed.join(mixed, "token", "left_semi"), "prefix")
-    a = keyed.filter("small").select("token", F.col("node").alias("u"), F.col("label").alias("lu"), F.col("n").alias("nu"), F.col("rest").alias("ru"))
-    b = keyed.select("token", F.col("node").alias("v"), F.col("label").alias("lv"), F.col("n").alias("nv"), F.col("rest").alias("rv"))
-    may = (F.col("lu") != F.col("lv")) & (F.struct("nu", "u") < F.struct("nv", "v")) & (F.least("ru", "rv") >= overlap(F.col("nu") + F.col("nv")))
-    return _ordered(a.join(b, (a["token"] == b["token"]) & may).select("u", "v"))
+    a, b = keyed.filter("small").alias("a"), keyed.alias("b")
+    of = lambda name: (F.col(f"a.{name}"), F.col(f"b.{name}"))
+    need = overlap(sum(of("n")))
+    differ = sum(F.bit_count(x.bitwiseXOR(y)) for x, y in map(of, marks))
+    smaller = F.struct("a.n", "a.node") < F.struct("b.n", "b.node")
+    may = smaller & (F.col("a.label") != F.col("b.label")) & (F.least(*of("rest")) >= need) & (sum(of("m")) - differ >= 2 * need)
+    return _ordered(a.join(b, (F.col("a.token") == F.col("b.token")) & may).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, size: int = SIZE, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
