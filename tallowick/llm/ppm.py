@@ -7,10 +7,12 @@ share what escape estimation (method C: the number of different bytes) leaves; a
 escape moves on to the next shorter context, from whose counts all bytes already seen
 are excluded, down to equal odds for the bytes not seen at all.
 
-The trie that is broadcast has a proven size bound.  Strings of up to three bytes are
-all in it, 2 ** 24 at most; longer ones are if they make up more than one
-``FREQUENT``-th of the training bytes, which fewer than ``FREQUENT`` of each length can.
-A context that is left out is scored by its longest part that is in the trie.
+What is broadcast has a proven size bound.  Strings and contexts of up to three bytes
+are all in it, 2 ** 24 of each at most, and the probabilities of the five-byte strings
+that make up more than one ``FREQUENT``-th of the training bytes, which fewer than
+``FREQUENT`` can.  The other five-byte strings of a document, seen in training or not, are
+joined with their counts, those of their context and of their last four bytes, so
+``FREQUENT`` changes no score.
 
 Words for the base score are counted over the same documents.  At most ``FREQUENT``
 words can have more than one ``FREQUENT``-th of all tokens; these are broadcast, and
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallowick.llm import kernels as K
@@ -94,10 +96,13 @@ class Trie:
     """Log10 probabilities of bytes after contexts, from counts of strings of each length.
 
     ``levels[k]`` holds the strings of ``k + 1`` bytes, sorted, and their counts; a
-    string's last byte is its lowest.  Where a longer string is held, so are its ends.
+    string's last byte is its lowest.  ``top`` holds the contexts one byte longer than
+    those, sorted; the sum and number of the counts after them; and the sum of the counts
+    that the bytes seen after them have in the next shorter context.  Longer strings come
+    with their counts.
     """
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], top: tuple[np.ndarray, ...]):
         self.strings, self.seen, self.contexts, self.escape, self.after, self.rest = [], [], [], [], [], []
         for k, (string, count) in enumerate(levels):
             n = count.astype(np.float64)
@@ -108,24 +113,31 @@ class Trie:
             self.seen.append(np.log10(n / (total + kinds)[of]))
             self.contexts.append(context)
             self.escape.append(np.log10(kinds / (total + kinds)))
-            # What an escape from this context leaves of the next shorter one: the
-            # counts and the kinds there less those of the bytes seen here.
             if k:
                 short, m = levels[k - 1]
                 shared = np.bincount(of, weights=m[np.searchsorted(short, string & ((1 << 8 * k) - 1))].astype(np.float64), minlength=len(context))
-                held, sums = self._sums[0], self._sums[1:]
-                parent = np.searchsorted(held, context & ((1 << 8 * (k - 1)) - 1))
-                counts_left, kinds_left = sums[0][parent] - shared, sums[1][parent] - kinds
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    self.after.append(np.where(kinds_left > 0, np.log10(counts_left + kinds_left), np.inf))
-                    self.rest.append(np.where(kinds_left > 0, np.log10(kinds_left / (counts_left + kinds_left)), 0.0))
+                self._left(context, kinds, shared, k)
             else:
                 left = 256 - kinds
                 self.after.append(np.log10(np.maximum(left, 1)))
                 self.rest.append(np.zeros(len(context)))
             self._sums = (context, total, kinds)
+        context, total, kinds, shared = top
+        self.contexts.append(context)
+        self.escape.append(np.log10(kinds / (total + kinds)))
+        self._left(context, kinds, shared, len(levels))
+        self._sums = (context, total, kinds)
         self.counts = [n for _, n in levels]
 
+    def _left(self, context: np.ndarray, kinds: np.ndarray, shared: np.ndarray, k: int) -> None:
+        """What an escape from these contexts leaves of the next shorter ones: the counts and the kinds there less those of the bytes seen here."""
+        held, *sums = self._sums
+        parent = np.searchsorted(held, context & ((1 << 8 * (k - 1)) - 1))
+        counts_left, kinds_left = sums[0][parent] - shared, sums[1][parent] - kinds
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.after.append(np.where(kinds_left > 0, np.log10(counts_left + kinds_left), np.inf))
+            self.rest.append(np.where(kinds_left > 0, np.log10(kinds_left / (counts_left + kinds_left)), 0.0))
+
     @staticmethod
     def _find(held: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(held):
@@ -133,10 +145,24 @@ class Trie:
         at = np.minimum(np.searchsorted(held, wanted), len(held) - 1)
         return at, held[at] == wanted
 
-    def log10(self, grams: np.ndarray) -> np.ndarray:
-        """The log10 probability of the last byte of each string after the bytes before it."""
-        out = np.zeros(len(grams))
-        todo, escaped = np.arange(len(grams)), np.full(len(grams), -1)  # place of the context escaped from, one level up
+    def log10(self, grams: np.ndarray, count: np.ndarray, total: np.ndarray, kinds: np.ndarray, shared: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+        """The log10 probability of the last byte of each string after the bytes before it.
+
+        ``count`` is the string's own, ``total``, ``kinds`` and ``shared`` are its context's
+        as in ``top``, ``shorter`` is the count of the string less its first byte; 0 if not seen.
+        """
+        top = len(self.strings)
+        inside, known = self._find(self.contexts[top], grams >> 8 & ((1 << 8 * top) - 1))
+        sums = [np.where(known, x[inside] if len(x) else 0.0, 0.0) for x in self._sums[1:]]
+        longest = kinds > 0
+        counts_left, kinds_left = sums[0] - np.where(longest, shared, 0), sums[1] - np.where(longest, kinds, 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out = np.where(longest, np.log10(kinds / (total + kinds)), 0.0)
+            out += np.where(shorter > 0, np.log10(shorter), np.where(kinds_left > 0, np.log10(kinds_left), 0.0))
+            out -= np.where((shorter > 0) | (kinds_left > 0), np.log10(counts_left + kinds_left), 0.0)
+            out = np.where(count > 0, np.log10(count / (total + kinds)), out)
+        todo = np.flatnonzero((count == 0) & (shorter == 0))
+        escaped = np.where(known, inside, -1)  # place of the context escaped from, one level up
         for k in range(len(self.strings) - 1, -1, -1):
             own = grams[todo] & ((1 << 8 * (k + 1)) - 1)
             place, seen = self._find(self.strings[k], own)
@@ -161,32 +187,52 @@ class Trie:
         return out
 
 
-def model(counted: DataFrame) -> Trie:
-    grams = counted.filter(F.col("kind") == GRAM).select("key", "n")
-    total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    levels = []
-    for k in range(ORDER, -1, -1):
-        if k >= 2:  # fewer than FREQUENT, or at most 2 ** 24, rows
-            sums = grams.groupBy(F.col("key").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("key")).agg(F.sum("n").alias("n"))
-            rows = (sums.filter(F.col("n") * FREQUENT > total) if k > 2 else sums).toPandas().sort_values("key")
-            key, n = rows["key"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
-        else:
-            key, where = np.unique(key & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
-            n = np.bincount(where, weights=n).astype(np.int64) if len(where) else key
-        levels.insert(0, (key, n))
-    return Trie(levels)
-
-
-def _score(batches: Iterator[pa.RecordBatch], trie, frequent, folds: int, fold: int) -> Iterator[pa.RecordBatch]:
-    """A row for each document, then rows ``(row, key, times)`` for its words that aren't broadcast."""
-    lm, (words, logs) = trie.value, frequent.value
+def _last(n: int) -> Column:
+    """The last ``n`` bytes of a string."""
+    return F.col("key").bitwiseAND((1 << 8 * n) - 1)
+
+
+def _contexts(strings: DataFrame, shorter: DataFrame, n: int) -> DataFrame:
+    """``context, total, kinds, shared`` of the contexts of strings of ``n`` bytes."""
+    below = shorter.select(F.col("key").alias("ending"), F.col("n").alias("m"))
+    return strings.join(below, _last(n - 1) == F.col("ending")).groupBy(F.shiftright("key", 8).alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum("m").alias("shared"))
+
+
+def _arrays(rows: DataFrame, by: str) -> list[np.ndarray]:
+    got = rows.toPandas().sort_values(by)
+    return [got[c].to_numpy() for c in rows.columns]
+
+
+def model(four: DataFrame) -> Trie:
+    three = keep(four.groupBy(_last(3).alias("key")).agg(F.sum("n").alias("n")), "three")
+    levels = [tuple(x.astype(np.int64) for x in _arrays(three, "key"))]  # at most 2 ** 24 rows, as in the contexts
+    for k in (1, 0):
+        key, n = levels[0]
+        key, where = np.unique(key & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+        levels.insert(0, (key, np.bincount(where, weights=n).astype(np.int64) if len(where) else key))
+    context, *sums = _arrays(_contexts(four, three, 4), "context")
+    return Trie(levels, (context.astype(np.int64), *(x.astype(np.float64) for x in sums)))
+
+
+def _logs(batches: Iterator[pa.RecordBatch], trie) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        key, *counts = (batch.column(c).fill_null(0).to_numpy(zero_copy_only=False) for c in ("key", "n", "total", "kinds", "shared", "shorter"))
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(trie.value.log10(key, *(x.astype(np.float64) for x in counts)))], ["key", "value"])
+
+
+def _score(batches: Iterator[pa.RecordBatch], often, frequent, folds: int, fold: int) -> Iterator[pa.RecordBatch]:
+    """A row for each document, then rows ``(row, kind, key, times)`` for its words and strings that aren't broadcast."""
+    (strings, odds), (words, logs) = often.value, frequent.value
     at = TaskContext.get().partitionId() << 36
     for batch in batches:
         for part in K.pieces(batch, "text"):
             data, offs = K.flat(part.column("text"))
             n = part.num_rows
             gram, inverse = np.unique(_grams(data, offs), return_inverse=True)
-            total = np.concatenate([[0.0], np.cumsum(lm.log10(gram)[inverse])])
+            place, held = Trie._find(strings, gram)
+            total = np.concatenate([[0.0], np.cumsum(np.where(held, odds[place] if len(strings) else 0.0, 0.0)[inverse])])
+            other = np.flatnonzero(~held[inverse])
+            gram_of = np.searchsorted(offs, other, side="right") - 1
             starts, ends, of = K.words(data, offs)
             key, where = np.unique(np.append(K.span_hash(data, starts, ends, lower=True).view(np.int64), END), return_inverse=True)
             place = np.minimum(np.searchsorted(words, key), max(0, len(words) - 1))
@@ -198,18 +244,21 @@ def _score(batches: Iterator[pa.RecordBatch], trie, frequent, folds: int, fold:
             hits = np.bincount(of, weights=known[where], minlength=n).astype(np.int64) + int(known[end])
             row = at + np.arange(n)
             none = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(row), part.column("id"), pa.array(held_out(part.column("id").to_pylist(), folds, fold)), pa.array(np.bincount(of, minlength=n) + 1), pa.array(hits), pa.array(base), pa.array(total[offs[1:]] - total[offs[:-1]]), none, none], SCORED)
+            yield pa.RecordBatch.from_arrays([pa.array(row), part.column("id"), pa.array(held_out(part.column("id").to_pylist(), folds, fold)), pa.array(np.bincount(of, minlength=n) + 1), pa.array(hits), pa.array(base), pa.array(total[offs[1:]] - total[offs[:-1]]), pa.nulls(n, pa.int32()), none, none], SCORED)
             rare = np.flatnonzero(~known[where])
             pair, times = np.unique(of[rare].astype(np.int64) * len(key) + where[rare], return_counts=True)
             if not known[end]:
                 pair, times = np.append(pair, np.arange(n) * len(key) + end), np.append(times, np.ones(n, np.int64))
-            m = len(pair)
-            if m:
-                yield pa.RecordBatch.from_arrays([pa.array(at + pair // len(key)), *(pa.nulls(m, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())), pa.array(key[pair % len(key)]), pa.array(times)], SCORED)
+            asked = [(WORD, key, pair, times)]
+            asked.append((GRAM, gram, *np.unique(gram_of.astype(np.int64) * len(gram) + inverse[other], return_counts=True)))
+            for kind, keys, pair, times in asked:
+                m = len(pair)
+                if m:
+                    yield pa.RecordBatch.from_arrays([pa.array(at + pair // len(keys)), *(pa.nulls(m, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())), pa.array(np.full(m, kind), pa.int32()), pa.array(keys[pair % len(keys)]), pa.array(times)], SCORED)
             at += n
 
 
-SCORED = ["row", "id", "held_out", "n_tokens", "n_known", "base", "score", "key", "times"]
+SCORED = ["row", "id", "held_out", "n_tokens", "n_known", "base", "score", "kind", "key", "times"]
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2) -> DataFrame:
@@ -225,10 +274,23 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     often = words.filter(F.col("n") * FREQUENT > tokens).select("key", "n").toPandas()  # fewer than FREQUENT rows
     order = np.argsort(often["key"].to_numpy())
     frequent = spark.sparkContext.broadcast((often["key"].to_numpy(np.int64)[order], np.log10(often["n"].to_numpy(np.float64)[order] + 1)))
-    trie = spark.sparkContext.broadcast(model(counted))
-    scored = keep(rows.mapInArrow(lambda x: _score(x, trie, frequent, folds, fold), "row long, id long, held_out boolean, n_tokens long, n_known long, base double, score double, key long, times long"), "scored")
-    rare = scored.filter("key is not null").select("row", "key", "times").join(words.filter(F.col("n") * FREQUENT <= tokens).select("key", "n"), "key")
-    more = rare.groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more_base"))
-    whole = scored.filter("key is null").drop("key", "times").join(more, "row", "left")
+    grams = counted.filter(F.col("kind") == GRAM).select("key", "n")
+    four = keep(grams.groupBy(_last(4).alias("key")).agg(F.sum("n").alias("n")), "four")
+    contexts = keep(_contexts(grams, four, 5), "contexts")
+    trie = spark.sparkContext.broadcast(model(four))
+    size = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    top = grams.filter(F.col("n") * FREQUENT > size).join(contexts, F.shiftright("key", 8) == F.col("context"))  # fewer than FREQUENT rows
+    string, value = _arrays(top.select("key", F.log10(F.col("n") / (F.col("total") + F.col("kinds"))).alias("value")), "key")
+    held = spark.sparkContext.broadcast((string.astype(np.int64), value.astype(np.float64)))
+    scored = keep(rows.mapInArrow(lambda x: _score(x, held, frequent, folds, fold), "row long, id long, held_out boolean, n_tokens long, n_known long, base double, score double, kind int, key long, times long"), "scored")
+    asked = scored.filter("key is not null").select("row", "kind", "key", "times")
+    wanted = asked.filter(F.col("kind") == GRAM).select("key").distinct().join(grams, "key", "left").join(contexts, F.shiftright("key", 8) == F.col("context"), "left")
+    counts = wanted.join(four.select(F.col("key").alias("ending"), F.col("n").alias("shorter")), _last(4) == F.col("ending"), "left").select("key", "n", "total", "kinds", "shared", "shorter")
+    values = words.filter(F.col("n") * FREQUENT <= tokens).select(F.lit(WORD).alias("kind"), "key", F.log10(F.col("n") + 1.0).alias("value")).union(counts.mapInArrow(lambda x: _logs(x, trie), "key long, value double").select(F.lit(GRAM).alias("kind"), "key", "value"))
+    part = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x).otherwise(0))
+    value = F.col("times") * F.col("value")
+    more = asked.join(values, ["kind", "key"]).groupBy("row").agg(part(WORD, F.col("times")).alias("more_known"), part(WORD, value).alias("more_base"), part(GRAM, value).alias("more_score"))
+    whole = scored.filter("key is null").drop("kind", "key", "times").join(more, "row", "left")
     base = F.col("base") + F.coalesce("more_base", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(tokens + distinct + 1)))
-    return whole.select("id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    score = F.col("score") + F.coalesce("more_score", F.lit(0.0))
+    return whole.select("id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))

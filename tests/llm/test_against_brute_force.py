@@ -190,6 +190,17 @@ def test_language_model(spark, monkeypatch, frequent):
             assert r.score == pytest.approx(brute_ppm(training, t), abs=1e-6)
 
 
+def test_language_model_scores_strings_that_are_not_broadcast(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = [*odd_texts(), *(prose(rng, n, 30) for n in range(1, 40)), "\x00zq\x00 unseen ÿ"]
+    training = [t for i, t in enumerate(texts) if not brute.held_out(i)]
+    for frequent in (1, 40, 1000):
+        monkeypatch.setattr(ppm, "FREQUENT", frequent)
+        rows = {r.id: r for r in ppm.score(frame(spark, texts)).collect()}
+        for i, t in enumerate(texts):
+            assert rows[i].score == pytest.approx(brute_ppm(training, t), abs=1e-6)
+
+
 def tokenizer():
     import public_tokenizers
 
