@@ -414,7 +414,7 @@ SELECT line_no, CAST(row_number() OVER (ORDER BY grp IS NULL, first, line_no) AS
 def group_contiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "conversations").filter("conv_id < 50")
     rows = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("line_no"), F.when((F.col("role") == "user") & (F.col("conv_id") % 3 == 0), None).otherwise(F.col("role")).alias("group"))
-    return export.contiguous(rows).select("line_no", "place")
+    return export.contiguous(rows).select("line_no", F.col("place").cast("int").alias("place"))
 
 
 @query("""WITH a AS (SELECT o_custkey % 50 AS scope, o_orderkey AS number, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_totalprice, o_orderkey) AS i, o_orderkey AS key FROM orders),

@@ -144,3 +144,16 @@ def test_watch_stream(spark, tmp_path):
         assert [(r.channel_key, r.action) for r in spark.table("watched").collect()] == [("A", "flag")]
     finally:
         q.stop()
+
+
+def test_contiguous_numbers_without_one_task(spark):
+    groups = [None, "", "b", "a", "c"]
+    lines = [(n, groups[n * 7919 % 5] if n > 3 else "c") for n in range(3000)]
+    made = export.contiguous(spark.createDataFrame(lines, "line_no long, group string").repartition(7))
+    first = {}
+    for n, g in lines:
+        first.setdefault(g or None, n)
+    want = sorted(lines, key=lambda x: (not x[1], first[x[1]] if x[1] else 0, x[0]))
+    assert {r.line_no: r.place for r in made.collect()} == {n: i + 1 for i, (n, _) in enumerate(want)}
+    assert "SinglePartition" not in made._jdf.queryExecution().toString()
+    assert export.contiguous(spark.createDataFrame([], "line_no long, group string")).count() == 0
