@@ -2,8 +2,8 @@
 
 ``STAGES`` lists ``(name, function)``; each function takes ``(spark, docs, sf_dir)``
 and returns what it keeps, which is written as Parquet and read as the next stage's
-``docs``.  All stages but the last return the columns of ``docs``; rows whose id is
-null go through the filters as documents of their own.
+``docs``.  All stages but the last return the columns of ``docs``.  Documents are judged
+by row: rows whose id is null or shared are documents of their own.
 """
 
 from __future__ import annotations
@@ -14,16 +14,24 @@ from pyspark.sql import functions as F
 from tallowick.llm import cotraining, decontaminate, line_dedup, minhash_dedup, packing, workspace
 from tallowick.llm.queries import tokenizer_path
 
+ROW = "_tw_row"
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the ids in ``ids.id``."""
-    return docs.join(ids.select(F.col("id").alias("_tw_gone")).distinct(), F.col("doc_id") == F.col("_tw_gone"), "left_anti")
+
+def _rows(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a key of its own for each row, written so that it is the same in every read."""
+    return workspace.keep(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
+def _without(rows: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
+    """``rows`` without those whose key is in ``gone``, and without the key."""
+    return rows.join(gone.select(F.col(key).alias("_tw_gone")).distinct(), F.col(ROW) == F.col("_tw_gone"), "left_anti").drop(ROW)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go that the co-trained classifiers take for bad rather than good."""
-    scored = cotraining.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, scored.filter("p_good < 0.5"))
+    rows = _rows(docs, "quality-rows")
+    scored = cotraining.score(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), row_col=ROW)
+    return _without(rows, scored.filter("p_good < 0.5"), "row")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,13 +44,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id stays."""
-    return _without(docs, minhash_dedup.near_duplicates(docs).filter(~F.col("kept")))
+    """Of each group of near-duplicates one row stays: of the smallest id, any id before null."""
+    rows = _rows(docs, "near-rows")
+    verdict = workspace.keep(minhash_dedup.near_duplicates(rows, id_col=ROW).select("id", "component_id"), "near-verdict")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), ROW)
+    best = verdict.join(rows.select(ROW, order.alias("order")), F.col("id") == F.col(ROW)).groupBy("component_id").agg(F.min("order").alias("x")).select(F.col(f"x.{ROW}").alias("id"))
+    return _without(rows, verdict.select("id").join(best, "id", "left_anti"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go that hold 75 % or more of the shingles of a benchmark item."""
-    return _without(docs, decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    rows = _rows(docs, "decontamination-rows")
+    return _without(rows, decontaminate.leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=ROW))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

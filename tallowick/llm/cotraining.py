@@ -78,13 +78,13 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             layout = [np.log2(chars + 1).astype(int), np.log2(n_lines).astype(int), np.log2(chars / n_lines + 1).astype(int), _share(K.per_row(kinds == 1, offs), chars), _share(K.per_row(kinds == 3, offs), chars), _share(K.per_row(kinds == 2, offs), chars), _share(K.per_row(kinds == 4, offs), chars), _share(distinct, count), np.minimum(chars // np.maximum(count, 1), 20)]
             named = [np.array([zlib.crc32((x or "").encode()) % 512 for x in part.column(c).to_pylist()], np.int64) for c in ("source", "lang")]
             meta = np.stack([*(i * 32 + np.minimum(x, 31) for i, x in enumerate(layout)), 512 + named[0], 1024 + named[1]], 1).astype("<u2")
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([content[2 * i : 2 * j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()), pa.array([x.tobytes() for x in meta], pa.binary())], ["id", "content", "meta"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("row"), pa.array([content[2 * i : 2 * j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()), pa.array([x.tobytes() for x in meta], pa.binary())], ["id", "row", "content", "meta"])
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", row_col: str | None = None) -> DataFrame:
     text = lambda c: F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text(text_col).alias("text"), text(source_col).alias("source"), text(lang_col).alias("lang"))
-    return rows.mapInArrow(_features, "id long, content binary, meta binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row"), text(text_col).alias("text"), text(source_col).alias("source"), text(lang_col).alias("lang"))
+    return rows.mapInArrow(_features, "id long, row long, content binary, meta binary")
 
 
 def _scores(column: pa.Array, weights: np.ndarray) -> np.ndarray:
@@ -139,7 +139,7 @@ def _fit(rows: DataFrame, model: tuple[np.ndarray, np.ndarray] | None) -> tuple[
 
 def _score(batches: Iterator[pa.RecordBatch], model: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "label", "held")), *(pa.array(_scores(batch.column(c), w)) for c, w in zip(("content", "meta"), model, strict=True))], ["id", "label", "held", "content", "meta"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "row", "label", "held")), *(pa.array(_scores(batch.column(c), w)) for c, w in zip(("content", "meta"), model, strict=True))], ["id", "row", "label", "held", "content", "meta"])
 
 
 def platt(score: np.ndarray, good: np.ndarray, bad: np.ndarray) -> tuple[float, float]:
@@ -158,18 +158,19 @@ def platt(score: np.ndarray, good: np.ndarray, bad: np.ndarray) -> tuple[float,
     return float(max(a, 0.0)), float(b)
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", label_col: str = "quality", rounds: int = ROUNDS) -> DataFrame:
-    """``id, p_content, p_metadata, p_good`` for each row of ``docs``; labels come by ``id_col``."""
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", label_col: str = "quality", rounds: int = ROUNDS, row_col: str | None = None) -> DataFrame:
+    """``id, p_content, p_metadata, p_good`` for each row of ``docs``, and ``row``, its ``row_col`` if given; labels come by ``id_col``."""
+    named = ["id", "row"] if row_col else ["id"]
     truth = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("labelled")).agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
     # Every fifth labelled document, by a hash of its id, is kept for calibration.
-    made = features(docs, id_col, text_col, source_col, lang_col)
-    rows = keep(made.join(truth, made["id"] == truth["labelled"], "left").select("id", "content", "meta", "label", (F.col("label").isNotNull() & (F.pmod(F.xxhash64("id"), F.lit(5)) == 0)).alias("held")), "features")
+    made = features(docs, id_col, text_col, source_col, lang_col, row_col)
+    rows = keep(made.join(truth, made["id"] == truth["labelled"], "left").select("id", "row", "content", "meta", "label", (F.col("label").isNotNull() & (F.pmod(F.xxhash64("id"), F.lit(5)) == 0)).alias("held")), "features")
     model = _fit(rows, None)
     for _ in range(rounds if model else 0):
         model = _fit(rows, model) or model
     if model is None:
-        return rows.select("id", *(F.lit(0.5).alias(c) for c in ("p_content", "p_metadata", "p_good")))
-    scored = keep(rows.mapInArrow(lambda x: _score(x, model), "id long, label int, held boolean, content double, meta double"), "scores")
+        return rows.select(*named, *(F.lit(0.5).alias(c) for c in ("p_content", "p_metadata", "p_good")))
+    scored = keep(rows.mapInArrow(lambda x: _score(x, model), "id long, row long, label int, held boolean, content double, meta double"), "scores")
     low, high, odds = -20.0, 20.0, {}
     held = scored.filter("held")
     prior = 0.0
@@ -182,4 +183,4 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         prior = float(np.log((counts[1].sum() + 1) / (counts[0].sum() + 1)))
         odds[view] = F.lit(a) * F.col(view) + F.lit(b)
     logistic = lambda x: 1 / (1 + F.exp(-x))
-    return scored.select("id", logistic(odds["content"]).alias("p_content"), logistic(odds["meta"]).alias("p_metadata"), logistic(odds["content"] + odds["meta"] - F.lit(prior)).alias("p_good"))
+    return scored.select(*named, logistic(odds["content"]).alias("p_content"), logistic(odds["meta"]).alias("p_metadata"), logistic(odds["content"] + odds["meta"] - F.lit(prior)).alias("p_good"))

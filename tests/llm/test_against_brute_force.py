@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
+import corpus_pipeline
 from tallowick.llm import cotraining, decontaminate, line_dedup, minhash_dedup, packing, ppm, quality_rules, secret_scan, suffix_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node long, label int, key string"
@@ -299,3 +300,35 @@ def test_null_ids_and_texts_have_results_everywhere(spark):
     for made in (minhash_dedup.near_duplicates(docs), suffix_dedup.remove_repeats(docs), line_dedup.dedup_lines(docs), ppm.score(docs), packing.pack(docs, tokenizer()), quality_rules.judge(docs), cotraining.score(docs, labels), secret_scan.scan(docs, secret_scan.labelled_samples(docs, labels))):
         assert made.count() == 4
     assert decontaminate.leaks(docs, items).count() == 0
+
+
+def test_pipeline_judges_rows(spark, tmp_path):
+    rng = random.Random(14)
+    good = lambda n=60: prose(rng, n, 5000)
+    bad = lambda: " ".join(f"CLICK ### {rng.randrange(10**6)} $$$ || %%" for _ in range(15))
+    item, twin, own, copied = good(20), good(), good(), good()
+    rows = [(i, good(), True) for i in range(60)] + [(i, bad(), False) for i in range(60, 120)]
+    rows += [(None, bad(), False), (None, bad(), False), (500, bad(), False), (500, good(), True), (501, rows[3][1], True), (501, own, True)]
+    rows += [(502, twin, True)] * 3 + [(None, copied, True)] * 3 + [(None, rows[5][1], True), (-1, rows[6][1] + " tail", True)]
+    rows += [(None, good(30) + " " + item, True), (503, item + " " + good(30), True), (503, good(), True), (None, None, True), (None, None, True)]
+    docs = frame(spark, [t for _, t, _ in rows], [i for i, _, _ in rows], 5)
+    sf = str(tmp_path)
+    docs.write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 60), 0) for i in range(120)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    left = [(i, t) for i, t, fine in rows if fine or t is None]
+    groups = brute.near_duplicates({n: t for n, (_, t) in enumerate(left)})
+    best = {}
+    for n, (i, t) in enumerate(left):
+        key = groups[n][1]
+        best[key] = min(best.get(key, (True, 0, n)), (i is None, i or 0, n))
+    left = [left[n] for _, _, n in best.values()]
+    s = brute.shingle_set(item)
+    want = [(i, t) for i, t in left if 100 * len(s & brute.shingle_set(t)) < 75 * len(s)]
+    got = docs
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        got = stage(spark, got, sf)
+    got = corpus_pipeline.decontamination(spark, got, sf)
+    assert got.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(want)
+    assert Counter(r.doc_id for r in corpus_pipeline.run(spark, sf).filter("piece = 0").collect()) == Counter(i for i, _ in want)
