@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallowick.storage import shared_dir
+
 
 def _saved(df: DataFrame) -> DataFrame:
     """Cut the lineage through the checkpoint folder that executors share."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallowick-"))
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

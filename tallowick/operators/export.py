@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallowick.llm.workspace import keep
+from tallowick.storage import keep
 
 
 def expanded(channels: DataFrame, separate: bool = False) -> DataFrame:
