@@ -59,8 +59,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     joined.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
-_FIELD = re.compile(rb"(?im)^(content-length|warc-type|warc-record-id|warc-refers-to|warc-target-uri)[ \t]*:[ \t]*(.*?)[ \t]*\r?$")
-SEGMENT = "file string, block long, rel long, size long, run long, head long, length long, type string, record_id string, refers_to string, uri string, digest string, payload_bytes long"
+_FIELD = re.compile(rb"(?im)^(content-length|warc-type|warc-record-id|warc-refers-to|warc-target-uri|warc-payload-digest)[ \t]*:[ \t]*(.*?)[ \t]*\r?$")
+SEGMENT = "file string, block long, rel long, size long, run long, head long, length long, type string, record_id string, refers_to string, uri string, said string, digest string, payload_bytes long"
 
 
 def _payload(block: bytes) -> bytes:
@@ -81,12 +81,12 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             head, gap, rest = value.partition(b"\r\n\r\n")
             fields = {k.lower(): v for k, v in _FIELD.findall(head)} if gap and re.match(rb"\d+\r?\n", head) else {}
             length = fields.get(b"content-length", b"")
-            row = [file, block, place, len(value) + len(MAGIC), *[None] * 9]
+            row = [file, block, place, len(value) + len(MAGIC), *[None] * 10]
             if length.isdigit() and len(length) < 16:
                 length = int(length)
                 run = run if due == place else place
                 due = place + len(MAGIC) + len(head) + 4 + length + 4
-                text = [fields.get(k, b"").decode("utf-8", "replace") or None for k in (b"warc-type", b"warc-record-id", b"warc-refers-to", b"warc-target-uri")]
+                text = [fields.get(k, b"").decode("utf-8", "replace") or None for k in (b"warc-type", b"warc-record-id", b"warc-refers-to", b"warc-target-uri", b"warc-payload-digest")]
                 body = _payload(rest[:length]) if length <= len(rest) else None
                 row[4:] = [run, len(head), length, *text, None if body is None else hashlib.sha256(body).hexdigest(), None if body is None else len(body)]
             else:
@@ -150,9 +150,10 @@ def chain(candidates: DataFrame) -> DataFrame:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """``file, at, type, record_id, refers_to, uri, digest, payload_bytes`` for each record on a file's chain.
+    """``file, at, type, record_id, refers_to, uri, said, digest, payload_bytes`` for each record on a file's chain.
 
-    ``at`` is the record's offset; ``digest`` and ``payload_bytes`` are of the payload that the record itself holds.
+    ``at`` is the record's offset; ``said`` is the payload's digest as its header has it; ``digest`` and
+    ``payload_bytes`` are of the payload that the record itself holds.
     """
     segments = keep(_pieces(spark, path).mapInArrow(_segments, SEGMENT), "segments")
     # A block begins where those before it end; the file's first piece comes before any magic.
@@ -163,7 +164,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     candidates = placed.filter("run is not null and at >= 0")
     reached = chain(candidates)
     records = keep(candidates.join(reached, ["file", "run"]).filter("at >= entry"), "records")
-    out = records.select("file", "at", "type", "record_id", "refers_to", "uri", "digest", "payload_bytes")
+    out = records.select("file", "at", "type", "record_id", "refers_to", "uri", "said", "digest", "payload_bytes")
     broken = records.filter("digest is null").select("file", "at", "head", "length")
     if broken.isEmpty():
         return out
@@ -174,15 +175,20 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     raw = _pieces(spark, path).mapInArrow(_raw, "file string, block long, rel long, value binary").join(base, ["file", "block"]).select("file", (F.col("base") + F.col("rel")).alias("at"), "value")
     whole = needed.join(raw, ["file", "at"]).groupBy("file", "owner", "head", "length").agg(F.collect_list(F.struct("at", "value")).alias("pieces")).withColumnRenamed("owner", "at")
     made = whole.select("file", "at", "head", "length", "pieces").mapInArrow(_assembled, "file string, at long, whole_digest string, whole_bytes long")
-    return out.join(made, ["file", "at"], "left").select("file", "at", "type", "record_id", "refers_to", "uri", F.coalesce("digest", "whole_digest").alias("digest"), F.coalesce("payload_bytes", "whole_bytes").alias("payload_bytes")).filter("digest is not null")
+    return out.join(made, ["file", "at"], "left").select("file", "at", "type", "record_id", "refers_to", "uri", "said", F.coalesce("digest", "whole_digest").alias("digest"), F.coalesce("payload_bytes", "whole_bytes").alias("payload_bytes")).filter("digest is not null")
 
 
 def page_records(records: DataFrame) -> DataFrame:
-    """``page_id, payload_bytes, payload_digest, record_type, refers_to``, revisits with their response's payload."""
+    """``page_id, payload_bytes, payload_digest, record_type, refers_to``, revisits with their response's payload.
+
+    Ids may repeat, so a revisit's response is the one of the id it refers to whose
+    payload has the digest in the revisit's header.
+    """
     number = lambda c: F.regexp_extract(c, "<urn:page:(-?[0-9]+)>", 1).try_cast("long")
-    rows = records.select(number("record_id").alias("page_id"), F.col("type").alias("record_type"), number("refers_to").alias("refers_to"), "digest", "payload_bytes")
-    said = rows.filter("record_type = 'response' and page_id is not null").groupBy(F.col("page_id").alias("refers_to")).agg(F.max(F.struct("payload_bytes", "digest")).alias("full"))
-    wanted = said.join(rows.filter("record_type = 'revisit'").select("refers_to").distinct(), "refers_to", "left_semi")
-    both = rows.join(keep(wanted, "referred"), "refers_to", "left")
-    own = F.col("record_type") == "response"
-    return both.select("page_id", F.when(own, F.col("payload_bytes")).otherwise(F.col("full.payload_bytes")).alias("payload_bytes"), F.when(own, F.col("digest")).otherwise(F.col("full.digest")).alias("payload_digest"), "record_type", "refers_to")
+    own = F.col("type") == "response"
+    digest = F.when(own, F.col("digest")).otherwise(F.regexp_extract("said", "^sha256:([0-9a-f]{64})$", 1))
+    rows = records.select(number("record_id").alias("page_id"), F.col("type").alias("record_type"), number("refers_to").alias("refers_to"), digest.alias("payload_digest"), F.col("payload_bytes").alias("own_bytes"))
+    said = rows.filter("record_type = 'response' and page_id is not null").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("own_bytes").alias("bytes"))
+    wanted = said.join(rows.filter("record_type = 'revisit'").select("refers_to", "payload_digest").distinct(), ["refers_to", "payload_digest"], "left_semi")
+    both = rows.join(keep(wanted, "referred"), ["refers_to", "payload_digest"], "left")
+    return both.select("page_id", F.when(F.col("record_type") == "response", F.col("own_bytes")).otherwise(F.col("bytes")).alias("payload_bytes"), "payload_digest", "record_type", "refers_to")

@@ -15,6 +15,7 @@ def rows():
         (1, "http://a/1", "short"), (2, "http://a/2", "short"), (3, None, None), (4, "http://a/ b\n", ""), (5, "u", long), (6, "u", long), (7, "u", long),
         (8, "u", whole), (9, "u", "before " + whole + whole + " after"), (10, "u", "WARC/1.0 and WARC/1.1\r\n\r\n" * 9), (11, "u", FAKE.format(4000, "runs on")),
         (12, "u", "é" * 200), (13, "u", "\r\n\r\n" + whole[:-4]), (14, "u", "y" * 5000), (14, "u", "y" * 5000), (None, "u", "z" * 120), (15, "u", "z" * 120),
+        (16, "u", "first " * 30), (16, "u", "second one " * 40), (17, "u", "first " * 30), (18, "u", "second one " * 40), (19, "u", "long page " * 120_000), (20, "u", "long page " * 120_000),
     ]
 
 
