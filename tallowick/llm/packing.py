@@ -1,7 +1,8 @@
 """Packing of tokenised documents into sequences by minimum bin slack.
 
 For one bin after the other, a bitset dynamic programme over the lengths still
-available finds the fullest combination, which is then removed.  Only how many
+available finds the fullest combination, which is then removed; equally full ones
+that hold the longest piece come first.  Only how many
 pieces there are of each length, at most ``capacity`` numbers, goes to the driver;
 a combination is repeated while its lengths last, so the plan is a short table of
 runs.  Pieces find their place from their rank among the pieces of their length;
@@ -18,8 +19,7 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,22 +33,26 @@ from tallowick.llm.workspace import keep
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
 
-@lru_cache(maxsize=2)
-def byte_bpe(path: str):
+def byte_bpe(path: str) -> Callable[[list[str]], list[list[int]]]:
     """A function from texts to lists of ids, equal to ``tokenizers`` on a byte-level BPE file.
 
     The vocabulary of the file is run by tiktoken, several times faster, where its
     ids are in the order of its merges; texts that hold a special token, and other
-    files, go to tokenizers itself.
+    files, go to tokenizers itself, which is loaded only then.
     """
     import public_tokenizers
     import tiktoken
     from tokenizers import Tokenizer
 
-    own = Tokenizer.from_file(path)
+    own: list[Tokenizer] = []
+
+    def plain(texts: list[str]) -> list[list[int]]:
+        if not own:
+            own.append(Tokenizer.from_file(path))
+        return [x.ids for x in own[0].encode_batch(texts, add_special_tokens=False)]
+
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    plain = lambda texts: [x.ids for x in own.encode_batch(texts, add_special_tokens=False)]
     pre, model = spec["pre_tokenizer"] or {}, spec["model"]
     special = [t["content"] for t in spec["added_tokens"]]
     ids = model["vocab"]
@@ -84,29 +88,23 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: in
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], [c.split()[0] for c in PIECE_SCHEMA.split(", ")])
 
 
-def fullest(counts: dict[int, int], capacity: int) -> list[int]:
-    """Lengths, each used at most as often as it is available, with the largest sum up to ``capacity``.
-
-    The longest length available is always taken, so that long pieces, the hardest
-    to place, go first.
-    """
-    top = max(counts)
-    room = capacity - top
-    reach, steps = 1, []
-    mask = (1 << (room + 1)) - 1
+def _reached(counts: dict[int, int], room: int) -> tuple[int, list[tuple[int, int, int]]]:
+    """The sums up to ``room`` as a bitset, and ``(length, copies, sums before)`` for each step to it; ends at a full bin."""
+    reach, steps, mask = 1, [], (1 << (room + 1)) - 1
     for length in sorted((x for x in counts if x <= room), reverse=True):
-        left = min(counts[length] - (length == top), room // length)
-        some = 1
+        left, some = min(counts[length], room // length), 1
         while left > 0:  # powers of two make every number of copies
             some = min(some, left)
-            new = (reach | reach << (some * length)) & mask
             steps.append((length, some, reach))
-            reach, left, some = new, left - some, some * 2
+            reach = (reach | reach << (some * length)) & mask
             if reach >> room & 1:
-                break
-        if reach >> room & 1:
-            break
-    at, out = reach.bit_length() - 1, [top]
+                return reach, steps
+            left, some = left - some, some * 2
+    return reach, steps
+
+
+def _chosen(reach: int, steps: list[tuple[int, int, int]]) -> list[int]:
+    at, out = reach.bit_length() - 1, []
     for length, some, before in reversed(steps):
         if not before >> at & 1:
             out += [length] * some
@@ -114,11 +112,27 @@ def fullest(counts: dict[int, int], capacity: int) -> list[int]:
     return out
 
 
-def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
+def fullest(counts: dict[int, int], capacity: int, longest: bool = False) -> list[int]:
+    """Lengths, each used at most as often as it is available, with the largest sum up to ``capacity``.
+
+    Of combinations with that sum, one with the longest piece is taken where there is
+    one, as long pieces are the hardest to place.  ``longest`` takes the fullest
+    combination with the longest piece even where another is fuller.
+    """
+    top = max(counts)
+    rest = {x: n - (x == top) for x, n in counts.items() if n > (x == top)}
+    with_top = [top, *_chosen(*_reached(rest, capacity - top))]
+    if longest or sum(with_top) == capacity:
+        return with_top
+    free = _chosen(*_reached(counts, capacity))
+    return free if sum(free) > sum(with_top) else with_top
+
+
+def plan(counts: dict[int, int], capacity: int, longest: bool = False) -> list[tuple[int, int, int, int, int]]:
     """Runs ``(length, first rank, pieces, first sequence, offset)``: the k-th piece of a run goes to the k-th sequence from the first."""
     left, used, runs, sequence = dict(counts), dict.fromkeys(counts, 0), [], 0
     while left:
-        chosen = fullest(left, capacity)
+        chosen = fullest(left, capacity, longest)
         each = {x: chosen.count(x) for x in set(chosen)}
         times = min(left[x] // n for x, n in each.items())
         offset = 0
