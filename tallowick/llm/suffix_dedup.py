@@ -7,7 +7,10 @@ equals; equal windows have equal minimizers at equal places.  Neighbouring start
 minimizer make one row with the hash of all bytes their windows cover, so the corpus
 becomes a row for about every 180 bytes.
 
-Rows of equal bytes repeat in full.  Minimizers with one row only repeat nothing.
+Rows of equal bytes repeat in full; they are told by 64-bit hashes of all their bytes
+among the rows of one minimizer, itself a 64-bit hash, so two different rows count as
+equal with a probability of about 1e-5 over 100 TB.  Minimizers with one row only
+repeat nothing.
 Only minimizers with rows of different bytes need sorting: one row of each kind is
 fetched with its bytes, and the suffixes that start at the minimizers, and likewise the
 prefixes that end there read backwards, are put in order: multikey quicksort on
@@ -16,8 +19,13 @@ prefix is longer.  Common prefix lengths of neighbours in the two orders tell fo
 start whether the whole window is found in another row: it is if another row has the
 same class both of the bytes before and of the bytes from the minimizer on.
 
-Minimizers with very many kinds of rows are split by the place of the minimizer in
-the window, as windows that differ there can't be equal.
+A minimizer with more than ``HOT`` kinds of rows would be too much for one task.  Its rows are
+cut into ranges of ``RANGE`` places of the minimizer in the window.  All windows of a
+range cover the same core of ``length - RANGE + 1`` bytes, so equal windows have equal
+cores, and rows are filed under the core's hash.  Equal pieces repeat in full; where a core
+still has several kinds of pieces, as at the border of a passage that very many
+documents share, their single windows are counted by hash.  All of this is grouping with
+partial sums, so no group of rows comes together in one task.
 
 Defined results: a null or empty text loses nothing; rows are judged by their own
 texts, so equal rows repeat each other; extra columns are ignored.
@@ -39,8 +47,10 @@ from tallowick.llm.workspace import keep
 
 GRAM = 32
 SHALLOW = 2  # eight-byte words
-#: a minimizer with more kinds of rows than this is split into ranges of this many places
-HOT, RANGE = 512, 16
+#: a minimizer with more kinds of rows than this is cut into ranges of this many places
+HOT, RANGE = 4096, 16
+#: rows of a hot group are spread over this many tasks when they meet its count
+SALTS = 16
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -183,29 +193,51 @@ def _words(strings: list[bytes], words: int) -> np.ndarray:
     return np.frombuffer(raw, ">u8").reshape(len(strings), words).astype(np.uint64)
 
 
+def multikey_quicksort(group: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by group, then by the words of each row, and the number of the tie each place of it belongs to.
+
+    All segments go one step at a time: each is split into the rows whose word is below, equal
+    to and above that of its middle row, and only equal rows move on to the next word.
+    """
+    order = np.argsort(group, kind="stable")
+    segment = np.cumsum(np.diff(group[order], prepend=group[order[:1]]) != 0)
+    depth = np.zeros(len(order), np.int64)
+    while True:
+        active = np.flatnonzero((np.bincount(segment)[segment] > 1) & (depth < words.shape[1])) if len(order) else order
+        if not len(active):
+            return order, segment
+        own, row = segment[active], order[active]
+        word = words[row, depth[active]]
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        size = np.diff(np.append(first, len(own)))
+        pivot = np.repeat(word[first + size // 2], size)
+        side = (word > pivot).astype(np.int64) + (word >= pivot)
+        place = np.argsort(own * 3 + side, kind="stable")
+        order[active], depth[active] = row[place], depth[active] + (side[place] == 1)
+        split = segment * 3
+        split[active] += side[place]
+        segment = np.cumsum(np.diff(split, prepend=split[0]) != 0)
+
+
 def deep_shallow(group: np.ndarray, strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """An order of the strings within each group, and each string's common prefix with the one before it (-1 at a group's start)."""
-    shallow = _words(strings, SHALLOW)
-    order = np.lexsort((*shallow.T[::-1], group))
+    order, tie = multikey_quicksort(group, _words(strings, SHALLOW))
     shared = np.full(len(order), -1, np.int64)
-    g, w = group[order], shallow[order]
+    g = group[order]
     same_group = np.append(False, g[1:] == g[:-1])
-    tied = same_group & np.append(False, (w[1:] == w[:-1]).all(1))
-    for i in np.flatnonzero(same_group & ~tied):
-        shared[i] = common_prefix(strings[order[i - 1]], strings[order[i]])
+    tied = np.append(False, tie[1:] == tie[:-1])
     first = np.flatnonzero(~tied)
     for i, j in zip(first, np.append(first[1:], len(order)), strict=True):
         if j - i > 1:
-            own = order[i:j]
+            own = order[i:j].copy()
             trie = BlindTrie([strings[k] for k in own])
             for k in range(j - i):
                 trie.insert(k)
             inner, prefix = trie.ordered()
-            before = strings[order[i - 1]] if same_group[i] else None
             order[i:j] = own[inner]
             shared[i + 1 : j] = prefix[1:]
-            if before is not None:
-                shared[i] = common_prefix(strings[order[i - 1]], strings[order[i]])
+    for i in np.flatnonzero(same_group & ~tied):
+        shared[i] = common_prefix(strings[order[i - 1]], strings[order[i]])
     return order, shared
 
 
@@ -271,24 +303,35 @@ def _sorted(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
 
 
 def _fetch(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The bytes of the rows wanted of each document; rows of hot minimizers are cut by place."""
+    """The bytes of the rows wanted of each document."""
     for batch in batches:
         for i in range(batch.num_rows):
             doc, text, wanted = (batch.column(c)[i].as_py() for c in ("doc", "text", "wanted"))
             data = (text or "").encode()
-            out: list[list] = [[] for _ in range(6)]
-            for w in wanted:
-                begin, starts, at, key = w["begin"], w["starts"], w["at"], w["key"]
-                cuts = [(0, starts)]
-                if w["hot"]:  # by the place of the minimizer in the window, in ranges of RANGE
-                    edges = sorted({0, starts, *(at - p + 1 for p in range(at // RANGE * RANGE, at - starts, -RANGE) if 0 < at - p + 1 < starts)})
-                    cuts = list(zip(edges[:-1], edges[1:], strict=True))
-                for a, b in cuts:
-                    part = key if not w["hot"] else int(K.mix(np.array([key], np.int64).view(np.uint64) + np.uint64((at - a) // RANGE + 1)).view(np.int64)[0])
-                    for column, value in zip(out, (doc, begin + a, b - a, at - a, part, data[begin + a : begin + b + length - 1]), strict=True):
-                        column.append(value)
+            out = [(doc, w["begin"], w["starts"], w["at"], w["key"], data[w["begin"] : w["begin"] + w["starts"] + length - 1]) for w in wanted]
             types = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["doc", "begin", "starts", "at", "part", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["doc", "begin", "starts", "at", "part", "bytes"])
+
+
+def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Rows of hot minimizers cut by the place of the minimizer, with the hash of their core, of all their bytes and of each window."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            doc, text, wanted = (batch.column(c)[i].as_py() for c in ("doc", "text", "wanted"))
+            data = memoryview((text or "").encode())
+            out = []
+            for w in wanted:
+                begin, starts, at = w["begin"], w["starts"], w["at"]
+                edges = sorted({0, starts, *(at - p + 1 for p in range(at // RANGE * RANGE, at - starts, -RANGE) if 0 < at - p + 1 < starts)})
+                for a, b in zip(edges[:-1], edges[1:], strict=True):
+                    places = (at - a) // RANGE
+                    core = begin + at - places * RANGE
+                    part = xxhash.xxh3_64_intdigest(data[core : core + length - RANGE + 1], seed=(w["key"] + places) % 2**64)
+                    piece = xxhash.xxh3_64_intdigest(data[begin + a : begin + b + length - 1], seed=at - a)
+                    windows = [xxhash.xxh3_64_intdigest(data[s : s + length], seed=begin + at - s) for s in range(begin + a, begin + b)]
+                    out.append((doc, begin + a, b - a, *(np.array(x, np.uint64).view(np.int64).tolist() for x in (part, piece, windows))))
+            types = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["doc", "begin", "starts", "part", "piece", "windows"])
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,6 +351,27 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array([hashlib.sha256(x).hexdigest() for x in out[3]]), pa.array(out[3], pa.binary())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
+def _meeting(rows: DataFrame, counted: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` whose keys are in ``counted``, those of one key spread over ``SALTS`` tasks."""
+    salted = counted.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("doc", "begin"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt"])
+
+
+def _hot_spans(rows: DataFrame, hot: DataFrame, length: int) -> DataFrame:
+    wanted = hot.groupBy("doc").agg(F.collect_list(F.struct("begin", "starts", "at", "key")).alias("wanted"))
+    cut = rows.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(lambda x: _cut(x, length), "doc string, begin int, starts int, part long, piece long, windows array<long>")
+    pieces = keep(cut, "pieces")
+    kinds = pieces.groupBy("part", "piece").agg(F.count("*").alias("n"), F.min(F.struct("doc", "begin", "windows")).alias("one"))
+    kinds = keep(kinds, "piece-kinds")
+    full = _meeting(pieces, kinds.filter("n > 1"), ["part", "piece"]).select("doc", F.col("begin").alias("start"), (F.col("begin") + F.col("starts") + F.lit(length - 1)).alias("stop"))
+    several = kinds.groupBy("part").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("part")
+    single = _meeting(kinds.select("part", "one.*"), several, ["part"]).select("part", "doc", "begin", F.posexplode("windows").alias("i", "window"))
+    single = keep(single, "windows")
+    again = single.groupBy("part", "window").agg(F.count("*").alias("n")).filter("n > 1")
+    start = F.col("begin") + F.col("i")
+    return full.union(_meeting(single, again, ["part", "window"]).select("doc", start.alias("start"), (start + length).alias("stop")))
+
+
 def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     """``doc, start, stop``: byte spans of repeated windows; spans of a document may overlap."""
     runs = keep(rows.mapInArrow(lambda x: _rows(x, length), "doc string, begin int, starts int, at int, key long, kind long"), "runs")
@@ -315,11 +379,13 @@ def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     busy = keep(kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("n").alias("rows")).filter("rows > 1"), "busy")
     known = keep(kinds.join(busy.select("key", "kinds"), "key"), "kinds")
     full = runs.join(known.filter("n > 1").select("key", "kind"), ["key", "kind"]).select("doc", F.col("begin").alias("start"), (F.col("begin") + F.col("starts") + F.lit(length - 1)).alias("stop"))
-    mixed = known.filter("kinds > 1").select("one.*", "key", (F.col("kinds") > HOT).alias("hot"))
-    wanted = mixed.groupBy("doc").agg(F.collect_list(F.struct("begin", "starts", "at", "key", "hot")).alias("wanted"))
+    mixed = known.filter((F.col("kinds") > 1) & (F.col("kinds") <= HOT)).select("one.*", "key")
+    wanted = mixed.groupBy("doc").agg(F.collect_list(F.struct("begin", "starts", "at", "key")).alias("wanted"))
     fetched = rows.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(lambda x: _fetch(x, length), "doc string, begin int, starts int, at int, part long, bytes binary")
     together = fetched.repartition("part").sortWithinPartitions("part")
-    return full.union(together.mapInArrow(lambda x: _sorted(x, length), "doc string, start int, stop int"))
+    spans = full.union(together.mapInArrow(lambda x: _sorted(x, length), "doc string, start int, stop int"))
+    hot = keep(known.filter(F.col("kinds") > HOT).select("one.*", "key"), "hot")
+    return spans if hot.isEmpty() else spans.union(_hot_spans(rows, hot, length))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
@@ -327,5 +393,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # A name that is the same in every read of the table, whatever its partitions; rows that share it are equal.
     name = F.concat_ws(":", F.col(id_col).cast("string"), F.xxhash64(F.col(text_col).cast("string")))
     rows = docs.select(name.alias("doc"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    spans = repeated_spans(rows.select("doc", "text"), length).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = repeated_spans(rows.select("doc", "text"), length).groupBy("doc").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     return rows.join(spans, "doc", "left").select("id", "text", "spans").mapInArrow(_remove, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
