@@ -41,13 +41,14 @@ def _bits(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _mark(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    flags = np.zeros(BITS, bool)
+    packed = np.zeros(BITS >> 3, np.uint8)
     for batch in batches:
         for part in K.pieces(batch, "text"):
             for at in _bits(K.shingles(part.column("text"), size)[0]):
-                flags[at] = True
-    for block in np.unique(np.flatnonzero(flags) >> 16):
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(flags[block << 16 : (block + 1) << 16]).tobytes()])], ["block", "bits"])
+                K.set_bits(packed, at)
+    blocks = packed.reshape(-1, 8192)
+    for block in np.flatnonzero(blocks.any(1)):
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([blocks[block].tobytes()])], ["block", "bits"])
 
 
 def _thin(batches: Iterator[pa.RecordBatch], shared, size: int) -> Iterator[pa.RecordBatch]:

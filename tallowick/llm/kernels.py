@@ -143,6 +143,15 @@ def bit_set(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
     return packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & np.uint8(1) > 0
 
 
+def set_bits(packed: np.ndarray, at: np.ndarray) -> None:
+    """Set positions in a bitmap as made by ``numpy.packbits``, in place."""
+    at = np.unique(at)
+    if len(at):
+        byte = at >> 3
+        first = np.flatnonzero(np.diff(byte, prepend=-1))
+        packed[byte[first]] |= np.bitwise_or.reduceat(np.right_shift(np.uint8(128), (at & 7).astype(np.uint8)), first)
+
+
 def per_row(flags: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """How many of the flags are set in each row."""
     total = np.zeros(len(flags) + 1, np.int64)

@@ -8,13 +8,16 @@ never missed.  Pass two: only keys that the twice-seen filter holds are shuffled
 their documents are counted exactly, by the key's text, and the repeats removed.
 
 A filter is cut into chunks that tasks emit as bit positions where these are
-shorter.  The twice-seen filter that goes to the executors has ``bits`` bits, a
-fixed size; a filter that is too full makes pass two shuffle more and changes no
-result.
+shorter.  Filters have eight bits for each line of the table, between ``LEAST_BITS``
+and ``MOST_BITS``, which bounds what a task holds and what is broadcast (32 MB).
+Beyond some 30 million different lines they fill up: pass two then shuffles more of the
+lines, up to all, and no result changes; larger executors may raise ``MOST_BITS``.
 
 Key of a line: ``[\\x20\\x09-\\x0D]`` stripped at both ends, A-Z lower-cased.  Each
 row counts as one document, repeated rows and null ids included; a null or empty
-text is one empty line.  Empty keys are never repeats.  Extra columns are ignored.
+text is one empty line.  Empty keys are never repeats.  Extra columns are kept; one
+that has the name of a result is replaced by it.  With ``keep_first``, rows equal in id and
+text are one first occurrence, and all keep the line.
 """
 
 from __future__ import annotations
@@ -30,8 +33,10 @@ from pyspark.sql import functions as F
 from tallowick.llm import kernels as K
 from tallowick.llm.workspace import keep
 
-BITS = 1 << 26
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 CHUNK = 1 << 16
+#: a key's lines are spread over this many tasks when they are marked
+SALTS = 16
 
 
 def _lines(column: pa.Array) -> tuple[np.ndarray, ...]:
@@ -52,22 +57,22 @@ def _bits(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (hashes % np.uint64(bits)).astype(np.int64), ((hashes >> np.uint64(32)) % np.uint64(bits)).astype(np.int64)
 
 
-def _packed(flags: np.ndarray) -> bytes:
-    """A chunk as its bit positions or as a bitmap, whichever is shorter."""
-    at = np.flatnonzero(flags)
-    return b"p" + at.astype(np.uint16).tobytes() if len(at) * 16 < CHUNK else b"b" + np.packbits(flags).tobytes()
+def _packed(chunk: np.ndarray) -> bytes:
+    """A chunk of a bitmap as its bit positions or as it is, whichever is shorter."""
+    at = np.flatnonzero(np.unpackbits(chunk))
+    return b"p" + at.astype(np.uint16).tobytes() if len(at) * 16 < CHUNK else b"b" + chunk.tobytes()
 
 
 def _unpacked(data: bytes) -> np.ndarray:
     if data[:1] == b"b":
-        return np.unpackbits(np.frombuffer(data, np.uint8, offset=1)).astype(bool)
-    flags = np.zeros(CHUNK, bool)
-    flags[np.frombuffer(data, np.uint16, offset=1)] = True
-    return flags
+        return np.frombuffer(data, np.uint8, offset=1).copy()
+    packed = np.zeros(CHUNK // 8, np.uint8)
+    K.set_bits(packed, np.frombuffer(data, np.uint16, offset=1).astype(np.int64))
+    return packed
 
 
 def _filters(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
+    once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
     for batch in batches:
         for part in K.pieces(batch, "text"):
             row, _, begin, end, data = _lines(part.column("text"))
@@ -77,13 +82,14 @@ def _filters(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Record
             hashes = hashes[np.unique(own, return_index=True)[1]]
             hashes, times = np.unique(hashes, return_counts=True)
             a, b = _bits(hashes, bits)
-            again = (times > 1) | (once[a] & once[b])
-            twice[a[again]] = twice[b[again]] = True
-            once[a] = once[b] = True
-    chunks = np.flatnonzero(once.reshape(-1, CHUNK).any(1))
+            again = (times > 1) | (K.bit_set(once, a) & K.bit_set(once, b))
+            K.set_bits(twice, np.concatenate([a[again], b[again]]))
+            K.set_bits(once, np.concatenate([a, b]))
+    once, twice = once.reshape(-1, CHUNK // 8), twice.reshape(-1, CHUNK // 8)
+    chunks = np.flatnonzero(once.any(1))
     for at in range(0, len(chunks), 256):
         own = chunks[at : at + 256]
-        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([_packed(once[c * CHUNK : (c + 1) * CHUNK]) for c in own], pa.binary()), pa.array([_packed(twice[c * CHUNK : (c + 1) * CHUNK]) for c in own], pa.binary())], ["chunk", "once", "twice"])
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([_packed(once[c]) for c in own], pa.binary()), pa.array([_packed(twice[c]) for c in own], pa.binary())], ["chunk", "once", "twice"])
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,12 +103,18 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen[0] |= a
             else:
                 held[chunk] = [a, b]
-    found = [(c, np.packbits(t).tobytes()) for c, (_, t) in sorted(held.items()) if t.any()]
+    found = [(c, t.tobytes()) for c, (_, t) in sorted(held.items()) if t.any()]
     if found:
         yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int32()), pa.array([t for _, t in found], pa.binary())], ["chunk", "twice"])
 
 
-def twice_seen(rows: DataFrame, bits: int = BITS) -> np.ndarray:
+def _size(rows: DataFrame) -> int:
+    """Bits for the filters of ``rows``: a power of two."""
+    lines = rows.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 1
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (8 * int(lines) - 1).bit_length()))
+
+
+def twice_seen(rows: DataFrame, bits: int) -> np.ndarray:
     """The packed twice-seen filter of the lines of column ``text``: ``bits / 8`` bytes."""
     made = rows.select("text").mapInArrow(lambda x: _filters(x, bits), "chunk int, once binary, twice binary")
     merged = made.repartition("chunk").mapInArrow(_merge, "chunk int, twice binary")
@@ -128,13 +140,15 @@ def _suspects(batches: Iterator[pa.RecordBatch], shared, bits: int) -> Iterator[
             yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(row[hit])), part.column("text_hash").take(pa.array(row[hit])), pa.array(number[hit], pa.int32()), pa.array([raw[i:j].decode("utf-8", "replace") for i, j in zip(begin[hit], end[hit], strict=True)], pa.string()), pa.array(new)], ["id", "text_hash", "line", "key", "first"])
 
 
-def repeated_lines(rows: DataFrame, min_docs: int, bits: int = BITS, keep_first: bool = False) -> DataFrame:
+def repeated_lines(rows: DataFrame, min_docs: int, bits: int | None = None, keep_first: bool = False) -> DataFrame:
     """``id``, ``text_hash`` and ``dropped``, the numbers of the lines to remove, for documents that lose a line."""
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(twice_seen(rows, bits))
+    bits = bits or _size(rows)
+    shared = rows.sparkSession.sparkContext.broadcast(twice_seen(rows, bits))
     found = keep(rows.mapInArrow(lambda x: _suspects(x, shared, bits), "id long, text_hash long, line int, key string, first long"), "suspects")
     counted = found.groupBy("key").agg(F.sum("first").alias("docs"), F.min(F.struct("id", "text_hash", "line")).alias("first_at")).filter(F.col("docs") >= min_docs)
-    hit = found.join(counted.select("key", "first_at"), "key")
+    # A key found in very many documents: its lines meet copies of its row in several tasks.
+    often = keep(counted, "often").select("key", "first_at", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    hit = found.withColumn("salt", F.pmod(F.xxhash64("text_hash", "line"), F.lit(SALTS)).cast("int")).join(often, ["key", "salt"])
     if keep_first:
         hit = hit.filter(~F.struct("id", "text_hash", "line").eqNullSafe(F.col("first_at")))
     return hit.groupBy("id", "text_hash").agg(F.collect_set("line").alias("dropped"))
@@ -149,7 +163,7 @@ def _without(text: pd.Series, dropped: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, bits: int = BITS, keep_first: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, bits: int | None = None, keep_first: bool = False, lines_col: str = "n_lines", dropped_col: str = "n_dropped") -> DataFrame:
     """All columns of ``docs`` with the repeated lines removed from the text, then ``n_lines`` and ``n_dropped``.
 
     Keys found in at least ``min_docs`` documents lose all their lines, or with
@@ -161,5 +175,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dropped = repeated_lines(rows, min_docs, bits, keep_first)
     joined = docs.withColumns({"_tw_id": row_id, "_tw_hash": F.xxhash64(text)}).join(dropped.select(F.col("id").alias("_tw_id2"), F.col("text_hash").alias("_tw_hash2"), F.col("dropped").alias("_tw_dropped")), F.col("_tw_id").eqNullSafe(F.col("_tw_id2")) & (F.col("_tw_hash") == F.col("_tw_hash2")), "left")
     hit = F.col("_tw_dropped").isNotNull()
-    left = F.pandas_udf(_without, "string")(F.when(hit, text), F.col("_tw_dropped"))
-    return joined.select(*(F.when(hit, left).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns), (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"), F.coalesce(F.size("_tw_dropped"), F.lit(0)).cast("long").alias("n_dropped"))
+    left = F.when(hit, F.pandas_udf(_without, "string")(F.when(hit, text), F.col("_tw_dropped"))).otherwise(F.col(text_col))
+    own = [left.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in (lines_col, dropped_col)]
+    return joined.select(*own, (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias(lines_col), F.coalesce(F.size("_tw_dropped"), F.lit(0)).cast("long").alias(dropped_col))

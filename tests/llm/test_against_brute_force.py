@@ -66,7 +66,7 @@ def test_near_duplicates_null_and_repeated_ids(spark):
     assert sorted((r.id or -1, r.component_id or -1, r.kept) for r in rows) == [(-1, -1, True), (3, 3, True), (5, 5, True), (5, 5, True)]
 
 
-@pytest.mark.parametrize("hot", [512, 1])
+@pytest.mark.parametrize("hot", [4096, 2, 1])
 def test_repeated_bytes(spark, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     rng = random.Random(3)
@@ -108,6 +108,8 @@ def test_line_dedup(spark):
     rows = {r.doc_id: r for r in line_dedup.dedup_lines(frame(spark, texts)).withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256)).collect()}
     assert [(rows[i].n_lines, rows[i].n_dropped, rows[i].sha) for i in range(len(texts))] == brute.lines(texts)
     assert rows[0].text is None
+    clash = line_dedup.dedup_lines(frame(spark, ["a\nb"]).withColumn("n_dropped", F.lit("x")).withColumn("n_lines", F.lit(9)))
+    assert (clash.first().n_lines, clash.first().n_dropped) == (2, 0) and len(set(clash.columns)) == len(clash.columns)
     first = line_dedup.dedup_lines(frame(spark, ["same\nown"] * 12), keep_first=True).collect()
     assert sorted((r.doc_id, r.text) for r in first) == [(0, "same\nown"), *((i, "") for i in range(1, 12))]
 
