@@ -39,8 +39,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Keeping the first occurrence keeps one copy of a text of which there are many.
     """
-    left = line_dedup.dedup_lines(docs, keep_first=True)
-    return left.filter((F.col("n_dropped") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select(docs.columns)
+    left = line_dedup.dedup_lines(docs, keep_first=True, lines_col="_tw_lines", dropped_col="_tw_lost")
+    return left.filter((F.col("_tw_lost") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
