@@ -177,6 +177,7 @@ def _prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame
     t = percent / 100
     overlap = lambda n: F.ceil(F.lit(t / (1 + t)) * n - 1e-6)
     token = sets.join(labels.select("node", "label"), "node").select("node", "label", F.size("grams").alias("n"), F.explode("grams").alias("token"))
+    token = keep(token, "tokens")  # read twice
     spread = token.groupBy("token").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token", "df")
     # Written, so that the join has a shuffle of its own, whose large partitions Spark splits.
     ranked = token.join(keep(spread, "spread"), "token").groupBy("node", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order"), *_parity("token"))
