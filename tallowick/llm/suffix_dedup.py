@@ -378,7 +378,14 @@ def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     kinds = runs.groupBy("key", "kind").agg(F.count("*").alias("n"), F.min(F.struct("doc", "begin", "starts", "at")).alias("one"))
     busy = keep(kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("n").alias("rows")).filter("rows > 1"), "busy")
     known = keep(kinds.join(busy.select("key", "kinds"), "key"), "kinds")
-    full = runs.join(known.filter("n > 1").select("key", "kind"), ["key", "kind"]).select("doc", F.col("begin").alias("start"), (F.col("begin") + F.col("starts") + F.lit(length - 1)).alias("stop"))
+    span = lambda x: x.select("doc", F.col("begin").alias("start"), (F.col("begin") + F.col("starts") + F.lit(length - 1)).alias("stop"))
+    # Of very many equal rows no join collects all: the few such kinds are taken out first.
+    much = keep(known.filter(F.col("n") > HOT).select("key", "kind"), "much")
+    if much.isEmpty():
+        full = span(runs.join(known.filter("n > 1").select("key", "kind"), ["key", "kind"]))
+    else:
+        few = known.filter((F.col("n") > 1) & (F.col("n") <= HOT)).select("key", "kind")
+        full = span(runs.join(much, ["key", "kind"], "left_semi")).union(span(runs.join(much, ["key", "kind"], "left_anti").join(few, ["key", "kind"])))
     mixed = known.filter((F.col("kinds") > 1) & (F.col("kinds") <= HOT)).select("one.*", "key")
     wanted = mixed.groupBy("doc").agg(F.collect_list(F.struct("begin", "starts", "at", "key")).alias("wanted"))
     fetched = rows.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(lambda x: _fetch(x, length), "doc string, begin int, starts int, at int, part long, bytes binary")
