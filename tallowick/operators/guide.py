@@ -32,19 +32,29 @@ def name_index(channels: DataFrame) -> DataFrame:
     return found.select("key", F.when(F.col("ids") == 1, F.col("any_id")).when((F.col("identities") == 1) & (F.col("hd") == 1), F.col("hd_id")).alias("guide_id")).filter("guide_id is not null")
 
 
+def _heads(key: Column, least: int) -> Column:
+    """All beginnings of a key that are at least ``least`` characters long."""
+    return F.when(F.length(key) >= least, F.transform(F.sequence(F.lit(least), F.length(key)), lambda n: F.substring(key, F.lit(1), n)))
+
+
 def resolve(wanted: DataFrame, index: DataFrame, known_ids: DataFrame) -> DataFrame:
     """``wanted`` (``row, key, tvg_id``) with ``guide_id`` and ``stage``.
 
     A known ``tvg_id`` comes first, then the key, then the one key that goes on from it
     or from which it goes on, both of at least six characters and alike in timeshift.
+    A key begins with another if one of its beginnings equals it, so both ways are joins on
+    whole keys.
     """
     known = known_ids.select(F.col("guide_id").alias("known")).distinct()
     step = wanted.join(known, F.col("tvg_id") == F.col("known"), "left").join(index.select("key", F.col("guide_id").alias("by_key")), "key", "left")
     open_rows = step.filter("known is null and by_key is null").select("row", "key").filter(F.length("key") >= PREFIX)
+    long = index.filter(F.length("key") >= PREFIX).select(F.col("key").alias("other"), F.col("guide_id").alias("near_id"))
+    shorter = open_rows.select("row", "key", F.explode(_heads(F.col("key"), PREFIX)).alias("head")).join(long, F.col("head") == F.col("other")).select("row", "key", "other", "near_id")
+    longer = long.select("other", "near_id", F.explode(_heads(F.col("other"), PREFIX)).alias("head")).join(open_rows.withColumnRenamed("key", "own"), F.col("head") == F.col("own")).select("row", F.col("own").alias("key"), "other", "near_id")
     shift = lambda c: F.col(c).contains("TIMESHIFT")
-    near = open_rows.withColumn("cut", F.substring("key", 1, PREFIX)).join(index.filter(F.length("key") >= PREFIX).select(F.substring("key", 1, PREFIX).alias("cut"), F.col("key").alias("other"), F.col("guide_id").alias("near_id")), "cut")
-    near = near.filter((F.expr("startswith(key, other) or startswith(other, key)")) & (shift("key") == shift("other")))
-    one = near.groupBy("row").agg(F.count_distinct("other").alias("n"), F.min("near_id").alias("by_prefix")).filter("n = 1").drop("n")
+    near = shorter.union(longer).filter(shift("key") == shift("other"))
+    # Two keys are enough to know that there is not one.
+    one = near.groupBy("row").agg(F.min("other").alias("a"), F.max("other").alias("b"), F.min("near_id").alias("by_prefix")).filter("a = b").drop("a", "b")
     out = step.join(one, "row", "left")
     return out.select("row", "key", "tvg_id", F.coalesce("known", "by_key", "by_prefix").alias("guide_id"), F.when(F.col("known").isNotNull(), "id").when(F.col("by_key").isNotNull(), "key").when(F.col("by_prefix").isNotNull(), "prefix").alias("stage"))
 
@@ -52,12 +62,18 @@ def resolve(wanted: DataFrame, index: DataFrame, known_ids: DataFrame) -> DataFr
 def now_playing(probes: DataFrame, programmes: DataFrame, at: str = "at") -> DataFrame:
     """``probes`` (``probe, guide_id`` and a time) with the first programme in order that runs then, if any.
 
-    A programme without an end runs on, and so hides those after it.
+    A programme without an end runs on, and so hides those after it.  Programmes whose end comes
+    after the next one's start make several hits; of these the first is taken.
     """
     hit = (F.col(at) >= F.col("start")) & (F.col("stop").isNull() | (F.col(at) < F.col("stop")))
-    rows = probes.join(programmes, "guide_id").filter(hit)
+    # A programme meets the probes of the days that it touches; one without an end, or of over a month, those of all days.
+    day = lambda c: F.to_date(c)
+    short = F.datediff(day("stop"), day("start")) <= 31
+    dated = programmes.filter(F.coalesce(short, F.lit(False))).withColumn("_day", F.explode(F.sequence(day("start"), day("stop"))))
+    rest = programmes.filter(~F.coalesce(short, F.lit(False)))
+    rows = probes.withColumn("_day", day(at)).join(dated, ["guide_id", "_day"]).filter(hit).drop("_day").unionByName(probes.join(rest, "guide_id").filter(hit))
     first = rows.groupBy("probe").agg(F.min(F.struct("start", "prog_pos", "stop", "title")).alias("x"))
-    return probes.join(first.select("probe", F.col("x.start").alias("start"), F.col("x.stop").alias("stop"), F.col("x.title").alias("title")), "probe", "left")
+    return probes.join(first.select("probe", F.col("x.start").alias("start"), F.col("x.stop").alias("stop"), F.col("x.title").alias("title"), F.col("x.prog_pos").alias("prog_pos")), "probe", "left")
 
 
 def title_search(programmes: DataFrame, text: str, at: Column, tolerance: str = "90 minutes", limit: int = 25) -> DataFrame:

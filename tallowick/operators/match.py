@@ -20,43 +20,43 @@ def exact(wanted: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
     return wanted.join(keys.select(F.col(key).alias("pool_key")).distinct(), F.col(key) == F.col("pool_key"), "left")
 
 
+def _cuts(key: str, head: bool) -> F.Column:
+    """All beginnings or endings of a key that are at least ``MIN_LENGTH`` characters long."""
+    n = F.length(key)
+    part = (lambda i: F.substring(F.col(key), F.lit(1), i)) if head else (lambda i: F.substr(F.col(key), n - i + 1, i))
+    return F.when(n >= MIN_LENGTH, F.transform(F.sequence(F.lit(MIN_LENGTH), n), part))
+
+
 def by_affix(wanted: DataFrame, pools: DataFrame) -> DataFrame:
     """``key, pool_key, stage`` for wanted keys that a pool's key resembles.
 
     Stages in order, the first that applies counts: with or without a leading
     ``UAND``; a pool's key goes on after the wanted one; the wanted one goes on after a
     pool's, by three characters at most; exactly one pool's key ends with it.  Of
-    several the shortest, then the first.  The first or last five characters are the keys
-    of the joins.  ``pools`` has ``key`` and ``pos``.
+    several the shortest, then the first.  A key begins or ends with another if one of its
+    beginnings or endings equals it, so all joins are on whole keys, and the pools are
+    reduced to the best hit before they are joined.  ``pools`` has ``key`` and ``pos``.
     """
     w = wanted.select(F.col("key").alias("want")).filter(F.length("key") >= MIN_LENGTH).distinct()
     p = pools.select("key", "pos", F.length("key").alias("n"))
     other = F.when(F.col("want").startswith("UAND"), F.substr("want", F.lit(5))).otherwise(F.concat(F.lit("UAND"), "want"))
-    long = p.filter(F.col("n") >= MIN_LENGTH)
-    head, tail = F.substring("key", 1, MIN_LENGTH), F.substr("key", -F.lit(MIN_LENGTH))
-    want_head, want_tail = F.substring("want", 1, MIN_LENGTH), F.substr("want", -F.lit(MIN_LENGTH))
-    near = w.withColumn("cut", want_head).join(long.withColumn("cut", head), "cut")
-    ends = w.withColumn("cut", want_tail).join(long.withColumn("cut", tail), "cut").filter("endswith(key, want) and key <> want")
-    stages = [
-        w.withColumn("key", other).join(p, "key"),
-        near.filter("startswith(key, want) and key <> want"),
-        near.filter(F.expr("startswith(want, key) and key <> want") & (F.length("want") - F.col("n") <= EXCESS)),
-        ends.join(ends.groupBy("want").count().filter("count = 1").select("want"), "want", "left_semi"),
-    ]
-    rows = None
-    for i, s in enumerate(stages):
-        s = s.select("want", "key", "pos", "n", F.lit(i).alias("stage"))
-        rows = s if rows is None else rows.unionByName(s)
-    best = rows.groupBy("want").agg(F.min(F.struct("stage", "n", "pos", "key")).alias("x"))
-    return best.select(F.col("want").alias("key"), F.col("x.key").alias("pool_key"), F.col("x.stage").alias("stage"))
-
-
-def by_words(wanted: DataFrame, pools: DataFrame, mode: str = "normal") -> DataFrame:
+    best = F.min(F.struct("n", "pos", "key")).alias("x")
+    heads = p.select("key", "pos", "n", F.explode(_cuts("key", True)).alias("want")).filter("want <> key").groupBy("want").agg(best)
+    ends = p.select("key", "pos", "n", F.explode(_cuts("key", False)).alias("want")).filter("want <> key").groupBy("want").agg(best, F.count("*").alias("hits")).filter("hits = 1").drop("hits")
+    short = w.select("want", F.explode(_cuts("want", True)).alias("key")).filter(F.expr("key <> want") & (F.length("want") - F.length("key") <= EXCESS))
+    hit = lambda stage, rows: rows.select("want", F.struct(F.lit(stage).alias("stage"), "x.n", "x.pos", "x.key").alias("x"))
+    whole = F.struct("n", "pos", "key").alias("x")
+    rows = hit(0, w.withColumn("key", other).join(p, "key").select("want", whole)).union(hit(1, w.join(heads, "want"))).union(hit(2, short.join(p, "key").select("want", whole))).union(hit(3, w.join(ends, "want")))
+    return rows.groupBy("want").agg(F.min("x").alias("x")).select(F.col("want").alias("key"), F.col("x.key").alias("pool_key"), F.col("x.stage").alias("stage"))
+
+
+def by_words(wanted: DataFrame, pools: DataFrame, mode: str = "normal", blocks: int = 32) -> DataFrame:
     """``key, pool_key, ratio`` for names whose words in order are alike, unless the two best are too close to tell.
 
     ``wanted`` has ``key, name`` and holds only what nothing else matched; ``pools`` has
-    ``key, name, pos``, one row for each pool.  Names are compared in blocks of wanted
-    rows against all pools, inside Arrow batches.
+    ``key, name, pos``, one row for each pool.  The wanted rows are cut into blocks and each
+    block meets all pools; names whose lengths or letters already rule the ratio out go
+    before Python sees them.
     """
     if mode not in RATIOS:
         return wanted.select("key", F.lit(None).cast("string").alias("pool_key"), F.lit(None).cast("double").alias("ratio")).limit(0)
@@ -69,11 +69,15 @@ def by_words(wanted: DataFrame, pools: DataFrame, mode: str = "normal") -> DataF
             out.append(m.ratio() if m.real_quick_ratio() >= least and m.quick_ratio() >= least else 0.0)
         return pd.Series(out, dtype=float)
 
-    w = wanted.select("key", titles.token_set(F.col("name")).alias("a")).filter("a <> ''")
-    p = pools.select(F.col("key").alias("pool_key"), "pos", titles.token_set(F.col("name")).alias("b")).filter("b <> ''")
-    # Texts of which one is over 2/least - 1 times as long as the other can't reach the ratio.
-    alike = F.least(F.length("a"), F.length("b")) * 2 >= (F.length("a") + F.length("b")) * least
-    scored = w.join(p, alike).withColumn("ratio", F.pandas_udf(ratio, "double")("a", "b")).filter(F.col("ratio") >= least)
+    w = wanted.select("key", titles.token_set(F.col("name")).alias("a")).filter("a <> ''").withColumn("_block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
+    p = pools.select(F.col("key").alias("pool_key"), "pos", titles.token_set(F.col("name")).alias("b")).filter("b <> ''").withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # Texts of which one is over 2/least - 1 times as long as the other can't reach the ratio,
+    # nor can texts with too many letters that the other lacks.
+    total = F.length("a") + F.length("b")
+    alike = F.least(F.length("a"), F.length("b")) * 2 >= total * least
+    lacking = F.expr("length(translate(a, b, '')) + length(translate(b, a, ''))")
+    near = w.join(p, "_block").filter(alike & (total - lacking >= total * least))
+    scored = near.withColumn("ratio", F.pandas_udf(ratio, "double")("a", "b")).filter(F.col("ratio") >= least)
     order = Window.partitionBy("key").orderBy(F.desc("ratio"), "pos")
     best = scored.withColumn("place", F.row_number().over(order)).withColumn("second", F.lead("ratio").over(order))
     return best.filter((F.col("place") == 1) & (F.col("second").isNull() | (F.col("ratio") - F.col("second") >= MARGIN))).select("key", "pool_key", "ratio")

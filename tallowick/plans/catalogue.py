@@ -6,17 +6,14 @@ its SQL does the same.  ``query`` registers a function and its SQL under its nam
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallowick.functions import media, titles
 from tallowick.functions.titles import Titles
 from tallowick.operators import curate, events, export, frames, guide, log, match, pools, rank
+from tallowick.plans.registry import pick, query, read, sql_pick
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "top_k_declared"
 
 PREFIXES = ("UK: ", "UKFHD | ", "US: ", "", "DE - ", "FR/")
@@ -25,39 +22,17 @@ SUFFIXES = (" HD", "", " 4K", " FHD", " [Multi-Audio]")
 RANKS = (40, 0, 90, 60, 0)
 
 
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _pick(values: tuple, n: F.Column) -> F.Column:
-    return F.get(F.array(*(F.lit(v).cast("string") for v in values)), F.pmod(n, F.lit(len(values))).cast("int"))
-
-
 def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A catalogue: part names with region in front and quality behind, by the part's key."""
     part, k = read(spark, sf_dir, "part"), F.col("p_partkey")
-    name = F.concat(_pick(PREFIXES, k), "p_name", _pick(SUFFIXES, F.floor(k / 7)))
+    name = F.concat(pick(PREFIXES, k), "p_name", pick(SUFFIXES, F.floor(k / 7)))
     return part.select(k.alias("src_pos"), k.alias("id"), name.alias("name"), F.col("p_type").alias("group"), "p_name")
 
 
-def _sql_case(values: tuple, n: str) -> str:
-    return "CASE (" + n + f") % {len(values)} " + " ".join(f"WHEN {i} THEN " + ("NULL" if v is None else repr(v)) for i, v in enumerate(values)) + " END"
-
-
 STREAMS_SQL = f"""
 streams AS (
-    SELECT p_partkey AS src_pos, {_sql_case(PREFIXES, "p_partkey")} || p_name || {_sql_case(SUFFIXES, "p_partkey // 7")} AS name, p_type AS grp,
-           upper(replace(p_name, ' ', '')) AS channel_key, {_sql_case(REGIONS, "p_partkey")} AS region, {_sql_case(tuple(RANKS), "p_partkey // 7").replace("'", "")} AS declared
+    SELECT p_partkey AS src_pos, {sql_pick(PREFIXES, "p_partkey")} || p_name || {sql_pick(SUFFIXES, "p_partkey // 7")} AS name, p_type AS grp,
+           upper(replace(p_name, ' ', '')) AS channel_key, {sql_pick(REGIONS, "p_partkey")} AS region, {sql_pick(tuple(map(str, RANKS)), "p_partkey // 7").replace("'", "")} AS declared
     FROM part)
 """
 
@@ -243,9 +218,7 @@ SELECT probes.probe, hits.title, hits.prog_pos FROM probes LEFT JOIN hits ON pro
 def asof_now_playing(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(o_orderkey % 700 as int))")
     probes = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("probe"), (F.col("o_custkey") % 150).alias("guide_id"), at.alias("at"))
-    programmes = _programmes(spark, sf_dir)
-    found = guide.now_playing(probes, programmes)
-    return found.join(programmes.select("guide_id", "start", "prog_pos"), ["guide_id", "start"], "left").select("probe", "title", "prog_pos")
+    return guide.now_playing(probes, _programmes(spark, sf_dir)).select("probe", "title", "prog_pos")
 
 
 @query(f"""WITH {_PROGRAMMES_SQL} SELECT prog_pos, guide_id FROM programmes WHERE contains(title, 'purch') AND start <= TIMESTAMP '2024-01-05 01:30:00' AND coalesce(stop, start + INTERVAL 3 HOUR) >= TIMESTAMP '2024-01-04 22:30:00' ORDER BY prog_pos LIMIT 25""")
@@ -395,7 +368,7 @@ SELECT channel, source AS winner, agree >= 2 AS consensus FROM r WHERE i = 1""")
 def consensus_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = read(spark, sf_dir, "region")
     n = read(spark, sf_dir, "nation")
-    rows = n.join(F.broadcast(r), F.lit(True))  # five regions
+    rows = n.join(r, F.lit(True))  # the sources, five, against all channels
     other = F.concat("n_name", F.lit(" "), F.when(F.col("n_nationkey") % 2 == F.col("r_regionkey") % 2, "").otherwise("X"))
     checks = rows.select(F.col("n_name").alias("channel"), F.col("r_name").alias("source"), (titles.word_overlap(F.col("n_name"), other) + (F.col("n_nationkey") + F.col("r_regionkey")) % 3).alias("score"))
     trust = r.select(F.col("r_name").alias("source"), (F.col("r_regionkey") + 1).alias("wins"), F.lit(7).alias("seen"))
@@ -408,11 +381,11 @@ def redact_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", titles.redacted(secret).alias("url"))
 
 
-@query("""WITH c AS (SELECT conv_id * 1000 + turn AS line_no, CASE WHEN role = 'user' AND conv_id % 3 = 0 THEN NULL ELSE role END AS grp FROM conversations WHERE conv_id < 50),
+@query("""WITH c AS (SELECT conv_id * 1000 + turn AS line_no, CASE WHEN role = 'user' AND conv_id % 3 = 0 THEN NULL ELSE role END AS grp FROM conversations),
 f AS (SELECT *, min(line_no) OVER (PARTITION BY grp) AS first FROM c)
 SELECT line_no, CAST(row_number() OVER (ORDER BY grp IS NULL, first, line_no) AS INT) AS place FROM f""")
 def group_contiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read(spark, sf_dir, "conversations").filter("conv_id < 50")
+    c = read(spark, sf_dir, "conversations")
     rows = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("line_no"), F.when((F.col("role") == "user") & (F.col("conv_id") % 3 == 0), None).otherwise(F.col("role")).alias("group"))
     return export.contiguous(rows).select("line_no", F.col("place").cast("int").alias("place"))
 
