@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallowick.sources.contents import as_text
+
 _NAME = "array<struct<_VALUE:string,_lang:string>>"
 
 
@@ -15,6 +17,20 @@ def time_of(text: Column) -> Column:
     return F.when(digits != "", F.try_to_timestamp(full, F.lit("yyyyMMddHHmmss Z")))
 
 
+def readable(spark: SparkSession, path: str) -> str:
+    """A folder with the guides at ``path``, unpacked by their first bytes; an error if one is no XML."""
+    return as_text(spark, path, r"^\ufeff?\s*<")
+
+
+def joined_names(rows: DataFrame) -> DataFrame:
+    """``guide_id, names, icon``: a channel that a guide lists again adds to its names; the first icon that is there counts.
+
+    ``rows`` is what ``read_channels`` returns with ``chan_pos``, the order of its rows.
+    """
+    each = F.array_sort(F.collect_list(F.struct("chan_pos", "name")))
+    return rows.groupBy("guide_id").agg(F.transform(each, lambda x: x["name"]).alias("names"), F.min_by("icon", F.when(F.col("icon").isNotNull(), F.col("chan_pos"))).alias("icon"))
+
+
 def read_channels(spark: SparkSession, path: str) -> DataFrame:
     """``file, guide_id, name, icon``: a row for each name that is not blank; the first icon counts."""
     rows = spark.read.format("xml").option("rowTag", "channel").schema(f"_id string, `display-name` {_NAME}, icon array<struct<_src:string>>").load(path)
@@ -37,9 +53,10 @@ def _escaped(c: Column) -> Column:
 
 
 def written(channels: DataFrame, programmes: DataFrame) -> DataFrame:
-    """``section, pos, value``: all channels, then their programmes; without an end no ``stop`` is written."""
+    """``section, pos, value``: a document's lines, all channels, then their programmes; without an end no ``stop`` is written."""
     stamp = lambda c: F.date_format(c, "yyyyMMddHHmmss +0000")
     heads = channels.select(F.lit(1).alias("section"), F.col("chan_pos").alias("pos"), F.concat(F.lit('<channel id="'), _escaped(F.col("guide_id")), F.lit('"><display-name>'), _escaped(F.col("name")), F.lit("</display-name></channel>")).alias("value"))
     stop = F.coalesce(F.concat(F.lit(' stop="'), stamp("stop"), F.lit('"')), F.lit(""))
     body = programmes.join(channels.select("guide_id").distinct(), "guide_id", "left_semi").select(F.lit(2).alias("section"), F.col("prog_pos").alias("pos"), F.concat(F.lit('<programme channel="'), _escaped(F.col("guide_id")), F.lit('" start="'), stamp("start"), F.lit('"'), stop, F.lit("><title>"), _escaped(F.col("title")), F.lit("</title></programme>")).alias("value"))
-    return heads.unionByName(body).orderBy("section", "pos")
+    frame = channels.sparkSession.createDataFrame([(0, 0, '<?xml version="1.0" encoding="UTF-8"?>\n<tv>'), (3, 0, "</tv>")], "section int, pos long, value string")
+    return frame.unionByName(heads).unionByName(body).orderBy("section", "pos")

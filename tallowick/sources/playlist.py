@@ -15,9 +15,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallowick.sources.contents import contents
+
 SCHEMA = "file string, src_pos long, id string, name string, url string, group string, logo string, tvg_id string, attrs map<string,string>"
-_ATTRIBUTE = re.compile(r"""([A-Za-z0-9_-]+)=(?:"([^"]*)"|'([^']*)'|([^\s,]+))""")
-_URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://")
+# How an attribute and an address are written in playlists.
+_ATTRIBUTE = re.compile(r"""([A-Za-z0-9_-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s,]+))""")
+_URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://|/")
 
 
 def looks_like_playlist(text: str) -> bool:
@@ -39,7 +42,7 @@ def entries(text: str) -> Iterator[dict]:
             if what.upper() == "#EXTINF":
                 head, _, title = rest.partition(",")
                 title = title.strip()
-                attrs = {m[1].lower(): next(v for v in (m[2], m[3], m[4], "") if v is not None) for m in _ATTRIBUTE.finditer(head)}
+                attrs = {m[1].lower(): next(v for v in (m[2], m[3], m[4], "") if v is not None).strip("\"'") for m in _ATTRIBUTE.finditer(head)}
             elif what.upper() == "#EXTGRP":
                 group = rest.strip()
             continue
@@ -51,8 +54,8 @@ def entries(text: str) -> Iterator[dict]:
         title, attrs, group = "", {}, ""
 
 
-def read_playlists(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each stream of each file, undecodable bytes replaced."""
+def parsed(files: DataFrame) -> DataFrame:
+    """One row for each stream of each file of ``path, content``, undecodable bytes replaced."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -61,7 +64,23 @@ def read_playlists(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pd.DataFrame(rows)[[c.split()[0] for c in SCHEMA.split(", ")]]
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, SCHEMA)
+    return files.select("path", "content").mapInPandas(parse, SCHEMA)
+
+
+def read_playlists(spark: SparkSession, path: str) -> DataFrame:
+    """The streams of all files below ``path``, packed by gzip or not; an error if there are none and no file is a playlist."""
+    files = contents(spark, path)
+    rows = parsed(files)
+    playlist = F.decode(F.substring("content", 1, 4096), "ISO-8859-1").rlike("(?i)^[\\xEF\\xBB\\xBF \\t\\r\\n]*#EXTM3U")
+    if rows.isEmpty() and files.filter(playlist).isEmpty():
+        raise ValueError(f"no playlist at {path}")
+    return rows
+
+
+def with_defaults(channels: DataFrame, prefix: str = "tallowick.") -> DataFrame:
+    """``channels`` (``key, group, tvg_id``) as an export needs them: a group, and a guide id made from the key where there is none."""
+    blank = lambda c: F.nullif(F.col(c), F.lit(""))
+    return channels.withColumns({"group": F.coalesce(blank("group"), F.lit("Uncategorised")), "tvg_id": F.coalesce(blank("tvg_id"), F.concat(F.lit(prefix), F.lower("key")))})
 
 
 def written(streams: DataFrame, order: str = "src_pos") -> DataFrame:

@@ -98,7 +98,7 @@ def test_guide_files(spark, tmp_path):
     shows = guide_files.read_programmes(spark, f"file://{tmp_path}")
     assert sorted(r.name for r in names.collect()) == ["BBC 1", "BBC One"] and shows.first().stop is None
     lines = [r.value for r in guide_files.written(names.limit(1).withColumn("chan_pos", F.lit(0)), shows.withColumn("prog_pos", F.lit(0))).collect()]
-    assert len(lines) == 2 and "stop=" not in lines[1] and "News &amp; more" in lines[1]
+    assert len(lines) == 4 and "stop=" not in lines[2] and "News &amp; more" in lines[2]
 
 
 def test_wantlist(spark):
@@ -157,3 +157,30 @@ def test_contiguous_numbers_without_one_task(spark):
     assert {r.line_no: r.place for r in made.collect()} == {n: i + 1 for i, (n, _) in enumerate(want)}
     assert "SinglePartition" not in made._jdf.queryExecution().toString()
     assert export.contiguous(spark.createDataFrame([], "line_no long, group string")).count() == 0
+
+
+def test_sources_say_what_is_wrong(spark, tmp_path):
+    from tallowick.sources import load
+
+    (tmp_path / "page").write_text("<html>\n<p>not found</p>\n/>\n</html>")
+    with pytest.raises(ValueError, match="no playlist"):
+        load.load(spark, f"file://{tmp_path}/page")
+    with pytest.raises(ValueError, match="can't read"):
+        load.load(spark, f"file://{tmp_path}/none")
+    with pytest.raises(ValueError, match="gopher"):
+        load.load(spark, "gopher://x")
+    (tmp_path / "empty").write_text("#EXTM3U\n")
+    assert load.load(spark, f"file://{tmp_path}/empty").count() == 0
+    (tmp_path / "odd").write_text('#EXTINF:-1 tvg-id = "x",A\n/srv/a.ts\n')
+    assert [(r.tvg_id, r.url) for r in load.load(spark, f"file://{tmp_path}/odd").collect()] == [("x", "/srv/a.ts")]
+    (tmp_path / "lineup.json").write_text('{"channels": []}')
+    with pytest.raises(ValueError, match="categories"):
+        wantlist.reference_lineup(spark, f"file://{tmp_path}/lineup.json", Titles())
+    with pytest.raises(ValueError, match="no such file"):
+        guide_files.readable(spark, f"file://{tmp_path}/empty")
+
+
+def test_lines_that_are_no_entries(spark):
+    text = ["Name | two words", "101: ", "Fine | a.b", "1234567 Seven"]
+    got = wantlist.parse(spark.createDataFrame(list(enumerate(text)), "line_no long, value string"), Titles()).orderBy("line_no").collect()
+    assert [(r.number, r.name, r.tvg_id, r.problem) for r in got] == [(None, None, None, "no name"), (None, None, None, "no name"), (None, "Fine", "a.b", None), (None, "1234567 Seven", "", None)]
