@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallowick.functions import media
 from tallowick.operators.components import connected_components
+from tallowick.storage import keep
 
 NEAR, ALIKE = 8, 10.0
 
@@ -29,28 +30,55 @@ def similar_pairs(hashes: DataFrame, near: int = NEAR) -> DataFrame:
     return found.unionByName(copies)
 
 
+def _alike(reps: DataFrame, near: DataFrame) -> DataFrame:
+    """``a, b``: links between pictures (``pos, hash, frame``) of equal or near hashes whose grey values differ by ``ALIKE`` at most.
+
+    Pictures that are alike differ as little in their mean, so they stand in one cell of means
+    or in neighbouring ones.  In a cell all are compared with its first picture; only cells
+    that then still hold several components are compared in full, across components.
+    """
+    level = F.aggregate("frame", F.lit(0).cast("double"), lambda s, x: s + x, lambda s: s / F.size("frame"))
+    rows = reps.filter("frame is not null").withColumn("cell", F.floor(level / ALIKE).cast("int"))
+    within = media.mean_difference(F.col("frame"), F.col("other")) <= ALIKE
+    pivot = rows.groupBy("hash", "cell").agg(F.min_by(F.struct("pos", "frame"), "pos").alias("x")).select("hash", "cell", F.col("x.pos").alias("a"), F.col("x.frame").alias("other"))
+    first = keep(rows.join(pivot, ["hash", "cell"]).filter((F.col("pos") != F.col("a")) & within).select("a", F.col("pos").alias("b")), "picture-links")
+    label = connected_components(first, "a", "b").select(F.col("node").alias("pos"), "component")
+    rows = keep(rows.join(label, "pos", "left").withColumn("label", F.coalesce("component", "pos")).drop("component"), "pictures")
+    both = near.select("ha", "hb").union(near.select(F.col("hb"), F.col("ha"))).union(rows.select(F.col("hash").alias("ha"), F.col("hash").alias("hb")).distinct())
+    cells = rows.groupBy("hash", "cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    left = cells.select(F.col("hash").alias("ha"), F.explode(F.array(F.col("cell") - 1, "cell", F.col("cell") + 1)).alias("cb"), F.col("cell").alias("ca"), F.col("lo").alias("la"), F.col("hi").alias("ma"))
+    right = cells.select(F.col("hash").alias("hb"), F.col("cell").alias("cb"), "lo", "hi")
+    open_cells = left.join(both, "ha").join(right, ["hb", "cb"]).filter("least(la, lo) < greatest(ma, hi) and (ha < hb or ha = hb and ca <= cb)").select("ha", "ca", "hb", "cb")
+    x = rows.select(F.col("hash").alias("ha"), F.col("cell").alias("ca"), F.col("pos").alias("a"), "frame", F.col("label").alias("la"))
+    y = rows.select(F.col("hash").alias("hb"), F.col("cell").alias("cb"), F.col("pos").alias("b"), F.col("frame").alias("other"), F.col("label").alias("lb"))
+    more = x.join(open_cells, ["ha", "ca"]).join(y, ["hb", "cb"]).filter((F.col("la") != F.col("lb")) & within).select("a", "b")
+    return first.union(more)
+
+
 def still_groups(records: DataFrame) -> DataFrame:
     """``pos, group`` for still pictures alike, by single links; groups count from 1 in the order of their first member.
 
-    ``records``: ``pos, hash, low_motion, frame`` (an array of grey values or null).
+    ``records``: ``pos, hash, low_motion, frame`` (an array of grey values or null).  Pictures
+    decide where both are there; a record without one is like all of near hashes.
     """
-    still = records.filter("low_motion and hash is not null")
-    if still.filter("frame is not null").isEmpty():
-        links = similar_pairs(still.select("pos", "hash"))
-    else:  # pictures decide where both are there, so each picture is compared as it is
-        own = still.select("pos", F.concat("hash", F.coalesce(F.sha2(F.to_json(F.array("frame")), 256), F.lit(""))).alias("same"), "hash", "frame")
-        first = own.groupBy("same").agg(F.min("pos").alias("pos"))
-        copies = own.join(first.select("same", F.col("pos").alias("a")), "same").filter("pos <> a").select("a", F.col("pos").alias("b"))
-        reps = own.join(first.select("pos"), "pos", "left_semi")
-        hashes = reps.groupBy("hash").agg(F.collect_list("pos").alias("all"), F.min("pos").alias("pos"))
-        near = similar_pairs(hashes.select("pos", "hash")).filter("distance >= 0").select("a", "b").unionByName(hashes.filter("size(all) > 1").select(F.col("pos").alias("a"), F.col("pos").alias("b")))
-        pairs = near.join(hashes.select(F.col("pos").alias("a"), F.col("all").alias("xs")), "a").join(hashes.select(F.col("pos").alias("b"), F.col("all").alias("ys")), "b")
-        pairs = pairs.select(F.explode("xs").alias("a"), "ys").select("a", F.explode("ys").alias("b")).filter("a <> b")
-        both = pairs.join(reps.select(F.col("pos").alias("a"), F.col("frame").alias("fa")), "a").join(reps.select(F.col("pos").alias("b"), F.col("frame").alias("fb")), "b")
-        alike = F.col("fa").isNull() | F.col("fb").isNull() | (media.mean_difference(F.col("fa"), F.col("fb")) <= ALIKE)
-        links = both.filter(alike).select("a", "b").unionByName(copies)
-    found = connected_components(links, "a", "b")
-    numbered = found.select("component").distinct().selectExpr("component", "row_number() over (order by component) as group")
+    still = records.filter("low_motion and hash is not null").select("pos", "hash", "frame", F.concat("hash", F.coalesce(F.sha2(F.to_json(F.array("frame")), 256), F.lit(""))).alias("same"))
+    first = still.groupBy("same").agg(F.min("pos").alias("a"))
+    copies = still.join(first, "same").filter("pos <> a").select("a", F.col("pos").alias("b"))
+    reps = keep(still.join(first.select(F.col("a").alias("pos")), "pos", "left_semi").select("pos", "hash", "frame"), "pictures")
+    hashes = reps.groupBy("hash").agg(F.min("pos").alias("pos"))
+    named = lambda x: hashes.select(F.col("pos").alias(x), F.col("hash").alias(f"h{x}"))
+    near = keep(similar_pairs(hashes.select("pos", "hash")).join(named("a"), "a").join(named("b"), "b").select("ha", "hb"), "near-hashes")
+    # One record for each hash at most has no picture here, as copies are taken out.
+    blind = reps.filter("frame is null").select(F.col("pos").alias("a"), "hash")
+    reach = near.select(F.col("ha").alias("hash"), F.col("hb").alias("to")).union(near.select(F.col("hb"), F.col("ha"))).union(blind.select("hash", F.col("hash").alias("to")))
+    stars = blind.join(reach, "hash").join(reps.select(F.col("hash").alias("to"), F.col("pos").alias("b")), "to").filter("a <> b").select("a", "b")
+    found = keep(connected_components(copies.union(stars).union(_alike(reps, near)), "a", "b"), "picture-groups")
+    # Numbered by counting the groups in ranges of their first members.
+    heads = keep(found.select("component").distinct().repartitionByRange("component").withColumn("_range", F.spark_partition_id()), "group-heads")
+    sizes = heads.groupBy("_range").count().select(F.col("_range").alias("_r"), F.col("count").alias("_n"))
+    before = heads.select("_range").distinct().join(sizes, F.col("_r") < F.col("_range"), "left").groupBy("_range").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("before"))  # a row for each partition
+    number = F.row_number().over(Window.partitionBy("_range").orderBy("component")) + F.col("before")
+    numbered = heads.join(before, "_range").select("component", number.cast("long").alias("group"))
     return found.join(numbered, "component").select(F.col("node").alias("pos"), "group")
 
 

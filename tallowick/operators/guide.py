@@ -37,26 +37,85 @@ def _heads(key: Column, least: int) -> Column:
     return F.when(F.length(key) >= least, F.transform(F.sequence(F.lit(least), F.length(key)), lambda n: F.substring(key, F.lit(1), n)))
 
 
-def resolve(wanted: DataFrame, index: DataFrame, known_ids: DataFrame) -> DataFrame:
+def resolve(wanted: DataFrame, index: DataFrame, known_ids: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """``wanted`` (``row, key, tvg_id``) with ``guide_id`` and ``stage``.
 
     A known ``tvg_id`` comes first, then the key, then the one key that goes on from it
     or from which it goes on, both of at least six characters and alike in timeshift.
     A key begins with another if one of its beginnings equals it, so both ways are joins on
-    whole keys.
+    whole keys.  ``by`` names columns of all three tables that must be equal, as a source.
     """
-    known = known_ids.select(F.col("guide_id").alias("known")).distinct()
-    step = wanted.join(known, F.col("tvg_id") == F.col("known"), "left").join(index.select("key", F.col("guide_id").alias("by_key")), "key", "left")
-    open_rows = step.filter("known is null and by_key is null").select("row", "key").filter(F.length("key") >= PREFIX)
-    long = index.filter(F.length("key") >= PREFIX).select(F.col("key").alias("other"), F.col("guide_id").alias("near_id"))
-    shorter = open_rows.select("row", "key", F.explode(_heads(F.col("key"), PREFIX)).alias("head")).join(long, F.col("head") == F.col("other")).select("row", "key", "other", "near_id")
-    longer = long.select("other", "near_id", F.explode(_heads(F.col("other"), PREFIX)).alias("head")).join(open_rows.withColumnRenamed("key", "own"), F.col("head") == F.col("own")).select("row", F.col("own").alias("key"), "other", "near_id")
+    known = known_ids.select(*by, F.col("guide_id").alias("tvg_id"), F.col("guide_id").alias("known")).distinct()
+    step = wanted.join(known, [*by, "tvg_id"], "left").join(index.select(*by, "key", F.col("guide_id").alias("by_key")), [*by, "key"], "left")
+    open_rows = step.filter("known is null and by_key is null").select(*by, "row", "key").filter(F.length("key") >= PREFIX)
+    long = index.filter(F.length("key") >= PREFIX).select(*by, F.col("key").alias("other"), F.col("guide_id").alias("near_id"))
+    found = [*by, "row", "key", "other", "near_id"]
+    shorter = open_rows.withColumn("head", F.explode(_heads(F.col("key"), PREFIX))).join(long.withColumn("head", F.col("other")), [*by, "head"]).select(found)
+    longer = long.withColumn("head", F.explode(_heads(F.col("other"), PREFIX))).join(open_rows.withColumn("head", F.col("key")), [*by, "head"]).select(found)
     shift = lambda c: F.col(c).contains("TIMESHIFT")
     near = shorter.union(longer).filter(shift("key") == shift("other"))
     # Two keys are enough to know that there is not one.
-    one = near.groupBy("row").agg(F.min("other").alias("a"), F.max("other").alias("b"), F.min("near_id").alias("by_prefix")).filter("a = b").drop("a", "b")
-    out = step.join(one, "row", "left")
-    return out.select("row", "key", "tvg_id", F.coalesce("known", "by_key", "by_prefix").alias("guide_id"), F.when(F.col("known").isNotNull(), "id").when(F.col("by_key").isNotNull(), "key").when(F.col("by_prefix").isNotNull(), "prefix").alias("stage"))
+    one = near.groupBy(*by, "row").agg(F.min("other").alias("a"), F.max("other").alias("b"), F.min("near_id").alias("by_prefix")).filter("a = b").drop("a", "b")
+    out = step.join(one, [*by, "row"], "left")
+    return out.select(*by, "row", "key", "tvg_id", F.coalesce("known", "by_key", "by_prefix").alias("guide_id"), F.when(F.col("known").isNotNull(), "id").when(F.col("by_key").isNotNull(), "key").when(F.col("by_prefix").isNotNull(), "prefix").alias("stage"))
+
+
+def in_all_sources(wanted: DataFrame, sources: DataFrame, index: DataFrame, known_ids: DataFrame, own: DataFrame | None = None, blocks: int = 32) -> DataFrame:
+    """``source, row, guide_id`` for every source and every wanted row (``row, key, tvg_id``), null where the source lacks it.
+
+    ``own`` (``row, source, guide_id``) holds ids picked by hand, which count where the source knows
+    them.  Sources are few; their rows are repeated for each block of wanted rows.
+    """
+    each = sources.select("source").withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    all_rows = wanted.withColumn("_block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")).join(each, "_block").drop("_block")
+    found = resolve(all_rows, index, known_ids, by=("source",))
+    if own is None:
+        return found.select("source", "row", "guide_id")
+    real = own.join(known_ids.select("source", "guide_id").distinct(), ["source", "guide_id"]).select("source", "row", F.col("guide_id").alias("own_id"))
+    return found.join(real, ["source", "row"], "left").select("source", "row", F.coalesce("own_id", "guide_id").alias("guide_id"))
+
+
+def chosen_guides(answers: DataFrame, sources: DataFrame, picked: DataFrame) -> DataFrame:
+    """``row, source, guide_id``: for each row the first source with an answer, the one picked for the row (``row, pick``) before all others.
+
+    ``sources`` has ``source, priority``; those without a priority come last, equals by name.
+    """
+    rows = answers.filter("guide_id is not null").join(sources, "source").join(picked, "row", "left")
+    order = F.struct((~F.coalesce(F.col("source") == F.col("pick"), F.lit(False))).alias("other"), F.col("priority").isNull().alias("none"), "priority", "source")
+    return rows.groupBy("row").agg(F.min_by(F.struct("source", "guide_id"), order).alias("x")).select("row", "x.*")
+
+
+def checked(answers: DataFrame, names: DataFrame, wanted: DataFrame, playing: DataFrame) -> DataFrame:
+    """What every source says of a row: ``matched``, the guide's own name, how many words it shares with the row's, what runs now, the icon.
+
+    ``names`` has ``source, guide_id, guide_name, icon``, ``playing`` ``source, guide_id, title``.
+    """
+    rows = answers.join(names, ["source", "guide_id"], "left").join(playing, ["source", "guide_id"], "left").join(wanted.select("row", "name"), "row")
+    matched = F.col("guide_id").isNotNull()
+    shown = F.when(matched, F.coalesce("guide_name", "guide_id"))
+    return rows.select("row", "source", matched.alias("matched"), shown.alias("guide_name"), F.when(matched, titles.word_overlap(F.col("name"), shown)).otherwise(0).alias("score"), F.col("title").alias("now"), "icon")
+
+
+def channel_list(names: DataFrame, key: str = "key", family: str = "family") -> DataFrame:
+    """``guide_id, guide_name, alts``: one row for each channel of a guide, its regional kinds in ``alts``.
+
+    Of rows of one key the shortest name counts, the first of equals; keys of one family, the key
+    of the name without its region, make one row, again of the shortest name.  ``names`` has
+    ``guide_id, guide_name, chan_pos, key, family``, a row for each channel's first name.
+    """
+    size = F.length("guide_name")
+    by_key = names.groupBy(key).agg(F.min_by(F.struct("guide_id", "guide_name", family), F.struct(size, "chan_pos")).alias("x"), F.min("chan_pos").alias("at")).select("x.*", "at")
+    members = F.array_sort(F.collect_list(F.struct(size.alias("n"), "at", "guide_id", "guide_name")))
+    listed = by_key.groupBy(family).agg(members.alias("m"))
+    alts = F.transform(F.slice("m", F.lit(2), F.size("m")), lambda x: F.struct(x["guide_id"].alias("guide_id"), x["guide_name"].alias("guide_name")))
+    return listed.select(F.get("m", F.lit(0))["guide_id"].alias("guide_id"), F.get("m", F.lit(0))["guide_name"].alias("guide_name"), alts.alias("alts"))
+
+
+def sizes(channels: DataFrame, programmes: DataFrame) -> DataFrame:
+    """One row: channels of a guide, those with programmes, programmes."""
+    heads = channels.agg(F.count_distinct("guide_id").alias("channels"))
+    body = programmes.agg(F.count_distinct("guide_id").alias("with_programmes"), F.count("*").alias("programmes"))
+    return heads.join(body)  # one row each
 
 
 def now_playing(probes: DataFrame, programmes: DataFrame, at: str = "at") -> DataFrame:

@@ -46,3 +46,14 @@ def moved(log: DataFrame, old_key: str, new_key: str) -> DataFrame:
     """The log with one channel's rows filed under another."""
     key = F.when(F.col("channel_key") == old_key, new_key).otherwise(F.col("channel_key"))
     return log.withColumn("channel_key", key).withColumn("rec_key", F.concat_ws("|", "channel_key", "stream_id"))
+
+
+def removed(log: DataFrame, gone: DataFrame, on: str) -> DataFrame:
+    """The log without the rows of the channels or streams in ``gone``; so are selections that hang on them."""
+    return log.join(gone.select(on).distinct(), on, "left_anti")
+
+
+def duplicated(log: DataFrame, old_key: str, new_key: str) -> DataFrame:
+    """The log with one channel's rows filed under another as well."""
+    again = log.filter(F.col("channel_key") == old_key).withColumn("channel_key", F.lit(new_key).cast(log.schema["channel_key"].dataType))
+    return log.unionByName(again.withColumn("rec_key", F.concat_ws("|", "channel_key", "stream_id")))

@@ -60,3 +60,24 @@ def worklist(pools: DataFrame, log: DataFrame, key: str = "channel_key") -> Data
     seen = log.groupBy(key).agg(F.bool_or(F.col("status") == "ok").alias("clean"), F.max("probed_at").alias("last_seen"))
     keys = pools.select(key).distinct().join(seen, key, "left")
     return keys.orderBy(F.coalesce("clean", F.lit(False)), F.coalesce("last_seen", F.lit(0.0)), key)
+
+
+def of_channels(pools: DataFrame, keys: DataFrame, key: str = "channel_key") -> DataFrame:
+    """The pools of the keys named."""
+    return pools.join(keys.select(key), key, "left_semi")
+
+
+def region_warning(pools: DataFrame, key: str = "channel_key", regions: int = 4, per_channel: float = 6.0, shown: int = 8) -> DataFrame:
+    """One row: how many regions the candidates name, the commonest of them, candidates for each channel, and whether either is too many."""
+    each = region_counts(pools)
+    top = each.orderBy(F.desc("n"), "region").limit(shown).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "region"))), lambda x: F.concat_ws(" ", x["region"], -x["n"])).alias("spread"))
+    size = pools.agg(F.count("*").alias("streams"), F.count_distinct(key).alias("channels"))
+    number = each.agg(F.count("*").alias("regions"))
+    mean = F.round(F.try_divide(F.col("streams"), F.col("channels")), 1)
+    return size.join(number).join(top).select("regions", "spread", mean.alias("per_channel"), (F.col("regions") >= regions).alias("diverse"), F.coalesce(F.col("streams") > per_channel * F.col("channels"), F.lit(False)).alias("many"))  # one row each
+
+
+def totals(records: DataFrame, key: str = "channel_key") -> DataFrame:
+    """One row: channels, candidates, and channels with a clean candidate."""
+    each = records.groupBy(key).agg(F.count("*").alias("n"), F.bool_or(F.col("status") == "ok").alias("clean"))
+    return each.agg(F.count("*").alias("channels"), F.coalesce(F.sum("n"), F.lit(0)).alias("candidates"), F.count_if("clean").alias("with_clean"))
