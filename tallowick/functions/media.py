@@ -67,6 +67,82 @@ def duration(text: Column) -> Column:
     return F.when((value > 0) & (value < float("inf")), value)
 
 
+def no_frame_reason(rate_limited: Column, has_picture: Column, decoded: Column, kbps: Column, errors: Column) -> Column:
+    """Why a stream with video gave no picture: refused, declined, or simply none."""
+    return F.when(F.coalesce(rate_limited, F.lit(False)), "rate limited").when(served_nothing(has_picture, decoded, kbps, errors), "provider declined").otherwise("no frame")
+
+
+def served_nothing(has_picture: Column, decoded: Column, kbps: Column, errors: Column) -> Column:
+    """A connection that delivered errors and nothing else."""
+    zero = lambda c: F.coalesce(c, F.lit(0)) == 0
+    return ~F.coalesce(has_picture, F.lit(False)) & zero(decoded) & zero(kbps) & (F.coalesce(errors, F.lit(0)) > 0)
+
+
+def several_rates(variants: Column) -> Column:
+    return F.coalesce(variants, F.lit(1)) > 1
+
+
+def several_rates_dash(variants: Column, container: Column) -> Column:
+    """Several renditions in a DASH manifest, by the container that the metadata name."""
+    return several_rates(variants) & F.lower(F.coalesce(container, F.lit(""))).contains("dash")
+
+
+def slow_fetch(seconds: Column, sample: Column, timed_out: Column) -> Column:
+    """A capture that took nine tenths of the sample's length or more, and ended."""
+    return ~F.coalesce(timed_out, F.lit(False)) & (F.coalesce(seconds, F.lit(0)) >= sample * 0.9)
+
+
+# What decoders and servers write of progress, damage and refusals, and how long a decoder takes to start.
+PROGRESS = r"^frame=.*\btime=(\d+):(\d+):([\d.]+)"
+DAMAGE = "(?i)NALU|PPS|SPS|corrupt|invalid|concealing|no frame|non-existing|missing picture|decode_slice|Invalid data|error while decoding"
+REFUSAL = r"(?i)\b429\b|Too Many Requests|\b403\b|forbidden"
+WARMUP = 2.0
+
+
+def damage(text: Column) -> Column:
+    """A struct of what a decoder's messages say: errors, damaged at the start and after it, seconds decoded, steady damage per second, refused.
+
+    Lines of progress date the lines after them; damage within the first two seconds is the start's.
+    """
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|\n|\r"), F.trim), lambda x: x != "")
+    clock = lambda x, i: F.regexp_extract(x, PROGRESS, i)
+    seconds = lambda x: F.when(clock(x, 3) != "", clock(x, 1).try_cast("long") * 3600 + clock(x, 2).try_cast("long") * 60 + clock(x, 3).try_cast("double"))
+    zero = F.lit(0).cast("int")
+    start = F.struct(F.lit(0.0).alias("at"), F.lit(0.0).alias("decoded"), zero.alias("errors"), zero.alias("startup"), zero.alias("steady"))
+
+    def step(acc: Column, line: Column) -> Column:
+        at = seconds(line)
+        bad = at.isNull() & line.rlike(DAMAGE)
+        count = lambda name, rule: (acc[name] + F.when(rule, 1).otherwise(0)).alias(name)
+        return F.struct(F.coalesce(at, acc["at"]).alias("at"), F.greatest(acc["decoded"], F.coalesce(at, F.lit(0.0))).alias("decoded"), count("errors", at.isNull()), count("startup", bad & (acc["at"] < WARMUP)), count("steady", bad & (acc["at"] >= WARMUP)))
+
+    def done(acc: Column) -> Column:
+        window = F.greatest(F.lit(1.0), acc["decoded"] - WARMUP)
+        return F.struct(acc["errors"].alias("errors"), acc["startup"].alias("startup"), acc["steady"].alias("steady"), F.round(acc["decoded"], 1).alias("decoded"), F.round(acc["steady"] / window, 2).alias("per_second"), F.coalesce(text.rlike(REFUSAL), F.lit(False)).alias("refused"))
+
+    return F.aggregate(lines, start, step, done)
+
+
+def best_rendition(streams: Column) -> Column:
+    """Of an array of structs the video stream of the largest picture, the first of equals."""
+    video = F.filter(streams, lambda s: s["codec_type"] == "video")
+    area = lambda s: F.coalesce(s["width"], F.lit(0)) * F.coalesce(s["height"], F.lit(0))
+    most = F.array_max(F.transform(video, area))
+    return F.get(F.filter(video, lambda s: area(s) == most), F.lit(0))
+
+
+def first_audio(streams: Column) -> Column:
+    return F.get(F.filter(streams, lambda s: s["codec_type"] == "audio"), F.lit(0))
+
+
+def crop(box: Column, width: Column, height: Column) -> Column:
+    """A box of fractions of a frame as whole pixels inside it, at least one wide and high."""
+    part = lambda share, whole: F.greatest(F.lit(0), F.least(whole - 1, F.floor(share * whole))).cast("int")
+    x, y = part(box["x"], width), part(box["y"], height)
+    size = lambda share, whole, at: F.greatest(F.lit(1), F.least(whole - at, F.round(share * whole))).cast("int")
+    return F.struct(x.alias("x"), y.alias("y"), size(box["w"], width, x).alias("w"), size(box["h"], height, y).alias("h"))
+
+
 def status(has_metadata: Column, has_video: Column, finite: Column, has_picture: Column, corruption: Column, corruption_limit: float = 1.0) -> Column:
     """The result of a probe: the first rule that applies."""
     no = lambda c: ~F.coalesce(c, F.lit(False))

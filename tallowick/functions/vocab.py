@@ -41,3 +41,8 @@ REGION_WORDS = (
     "NORTH WEST", "NORTHWEST", "NW", "SCOTLAND", "SCOT", "SOUTH EAST", "SOUTHEAST", "SE", "SOUTH WEST", "SOUTHWEST", "SW", "SOUTH", "STH",
     "WALES", "WAL", "WEST MIDLANDS", "WM", "WEST", "WST", "YORKS AND LINCS", "Y&L", "YORKSHIRE", "YORKS", "YKS",
 )
+# The countries of reference line-ups by the codes in their file names.
+LINEUP_COUNTRIES = {
+    "UK": "United Kingdom", "US": "United States", "CA": "Canada", "AU": "Australia", "FR": "France", "ES": "Spain",
+    "NL": "Netherlands", "DE": "Germany", "IT": "Italy", "IE": "Ireland", "NZ": "New Zealand",
+}

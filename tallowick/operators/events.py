@@ -21,10 +21,18 @@ def failures(events: DataFrame, channel: str = "channel", at: str = "ts", kind:
 
 
 def burst_candidates(events: DataFrame, key: str, at: str = "ts", seconds: int = 60, least: int = 3) -> DataFrame:
-    """Events at which at least ``least`` of their key fell within the last ``seconds``."""
+    """Events at which at least ``least`` of their key fell within the last ``seconds``.
+
+    Keys are few and hot, so each is cut into stretches of time; an event counts in its own
+    stretch and stands in the next one only to be counted.
+    """
+    length = max(10 * seconds, 1) * 1_000_000
     micros = F.unix_micros(F.col(at).cast("timestamp"))
-    window = Window.partitionBy(key).orderBy("_at").rangeBetween(-seconds * 1_000_000, 0)
-    return events.withColumn("_at", micros).withColumn("recent", F.count("*").over(window)).filter(F.col("recent") >= least).drop("_at")
+    stretch = F.floor(F.col("_at") / length)
+    near_end = F.col("_at") >= (stretch + 1) * length - seconds * 1_000_000
+    rows = events.withColumn("_at", micros).withColumn("_in", F.explode(F.when(near_end, F.array(stretch, stretch + 1)).otherwise(F.array(stretch))))
+    window = Window.partitionBy(key, "_in").orderBy("_at").rangeBetween(-seconds * 1_000_000, 0)
+    return rows.withColumn("recent", F.count("*").over(window)).filter((F.col("recent") >= least) & (F.col("_in") == stretch)).drop("_at", "_in")
 
 
 def to_channels(events: DataFrame, claims: DataFrame) -> DataFrame:
@@ -36,3 +44,9 @@ def to_channels(events: DataFrame, claims: DataFrame) -> DataFrame:
 
 def over_threshold(events: DataFrame, key: str, least: int) -> DataFrame:
     return events.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+
+
+def polled(events: DataFrame, mark: int, kinds: tuple[str, ...] = ("channel_error", "channel_reconnect")) -> DataFrame:
+    """One row: ``mark``, the largest id seen, which moves on even if nothing new counts; how many events are new and how many count."""
+    new = F.col("id") > mark
+    return events.agg(F.greatest(F.lit(mark).cast("long"), F.coalesce(F.max("id"), F.lit(mark))).alias("mark"), F.count_if(new).alias("new"), F.count_if(new & F.col("event_type").isin(*kinds)).alias("counting"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallowick.storage import keep
+from tallowick.operators.order import placed
 
 
 def expanded(channels: DataFrame, separate: bool = False) -> DataFrame:
@@ -51,21 +51,9 @@ def dealt_numbers(rows: DataFrame, scope: str, order: str) -> DataFrame:
 
 
 def contiguous(rows: DataFrame, group: str = "group", line: str = "line_no") -> DataFrame:
-    """``rows`` with ``place``: groups in the order of their first line, ungrouped rows last, lines in order.
-
-    Rows are dealt out by ranges of that order and numbered within each range, from the
-    number of rows in the ranges before it.
-    """
+    """``rows`` with ``place``: groups in the order of their first line, ungrouped rows last, lines in order."""
     blank = F.col(group).isNull() | (F.col(group) == "")
     first = rows.filter(~blank).groupBy(F.col(group).alias("_group")).agg(F.min(line).alias("_first"))
     grouped = rows.filter(~blank).join(first, F.col(group) == F.col("_group")).select(*rows.columns, F.lit(False).alias("_last"), "_first")
     rest = rows.filter(blank).select(*rows.columns, F.lit(True).alias("_last"), F.lit(None).cast(first.schema["_first"].dataType).alias("_first"))
-    order = ["_last", "_first", line]
-    dealt = keep(grouped.union(rest).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
-    before, offsets = 0, []
-    for r in dealt.groupBy("_range").count().orderBy("_range").collect():  # a row for each partition
-        offsets.append((r["_range"], before))
-        before += r["count"]
-    start = rows.sparkSession.createDataFrame(offsets, "_range int, _before long")
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + F.col("_before")
-    return dealt.join(F.broadcast(start), "_range").select(*rows.columns, place.alias("place"))
+    return placed(grouped.union(rest), "_last", "_first", line).drop("_last", "_first")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallowick.functions import media
 from tallowick.operators.components import connected_components
+from tallowick.operators.order import placed
 from tallowick.storage import keep
 
 NEAR, ALIKE = 8, 10.0
@@ -73,12 +74,7 @@ def still_groups(records: DataFrame) -> DataFrame:
     reach = near.select(F.col("ha").alias("hash"), F.col("hb").alias("to")).union(near.select(F.col("hb"), F.col("ha"))).union(blind.select("hash", F.col("hash").alias("to")))
     stars = blind.join(reach, "hash").join(reps.select(F.col("hash").alias("to"), F.col("pos").alias("b")), "to").filter("a <> b").select("a", "b")
     found = keep(connected_components(copies.union(stars).union(_alike(reps, near)), "a", "b"), "picture-groups")
-    # Numbered by counting the groups in ranges of their first members.
-    heads = keep(found.select("component").distinct().repartitionByRange("component").withColumn("_range", F.spark_partition_id()), "group-heads")
-    sizes = heads.groupBy("_range").count().select(F.col("_range").alias("_r"), F.col("count").alias("_n"))
-    before = heads.select("_range").distinct().join(sizes, F.col("_r") < F.col("_range"), "left").groupBy("_range").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("before"))  # a row for each partition
-    number = F.row_number().over(Window.partitionBy("_range").orderBy("component")) + F.col("before")
-    numbered = heads.join(before, "_range").select("component", number.cast("long").alias("group"))
+    numbered = placed(found.select("component").distinct(), "component", name="group").withColumn("group", F.col("group").cast("long"))
     return found.join(numbered, "component").select(F.col("node").alias("pos"), "group")
 
 
