@@ -50,3 +50,14 @@ def override_analysis(decisions: DataFrame, dimensions: tuple[str, ...]) -> Data
     """
     pairs = F.array(*(F.struct(F.lit(d).alias("dimension"), F.coalesce(F.col(f"curator_{d}").cast("double"), F.lit(0.0)).alias("c"), F.coalesce(F.col(f"algorithm_{d}").cast("double"), F.lit(0.0)).alias("a")) for d in dimensions))
     return decisions.select(F.explode(pairs).alias("x")).groupBy(F.col("x.dimension").alias("dimension")).agg(F.count_if(F.expr("x.c > x.a")).alias("better"), F.count_if(F.expr("x.c < x.a")).alias("worse"), F.count_if(F.expr("x.c = x.a")).alias("same"))
+
+
+def avoided(decisions: DataFrame, flags: tuple[str, ...]) -> DataFrame:
+    """``dimension, better``: how often the curator left a candidate with a flag for one without; flags never left are not listed."""
+    pairs = F.array(*(F.struct(F.lit(f).alias("dimension"), F.coalesce(F.col(f"algorithm_{f}"), F.lit(False)).alias("a"), F.coalesce(F.col(f"curator_{f}"), F.lit(False)).alias("c")) for f in flags))
+    return decisions.select(F.explode(pairs).alias("x")).groupBy(F.col("x.dimension").alias("dimension")).agg(F.count_if(F.expr("x.a and not x.c")).alias("better")).filter("better > 0")
+
+
+def recent(decisions: DataFrame, n: int = 25, pos: str = "pos") -> DataFrame:
+    """The last decisions, the newest first."""
+    return decisions.orderBy(F.desc(pos)).limit(n)

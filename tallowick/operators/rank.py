@@ -46,6 +46,12 @@ def ranked(records: DataFrame, key: str = "channel_key", tie: tuple[str, ...] =
     return records.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*terms(records.columns), *tie)))
 
 
+def with_demoted(records: DataFrame, watched: DataFrame, stream: str = "stream_id") -> DataFrame:
+    """``records`` with ``demoted``: whether the watch list (``demoted_id``) holds the stream against its channel."""
+    flag = watched.select(F.col("demoted_id").alias(stream), F.lit(True).alias("demoted")).distinct()
+    return records.join(flag, stream, "left").withColumn("demoted", F.coalesce("demoted", F.lit(False)))
+
+
 def picks(ranked_records: DataFrame, n: int) -> DataFrame:
     """The best ``n`` candidates of each channel that play."""
     usable = ranked_records.filter(F.col("status").isin("ok", "dirty"))

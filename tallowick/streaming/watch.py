@@ -11,9 +11,10 @@ from dataclasses import asdict, dataclass, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-FIRST_INTERVAL, LONGEST, STABLE = 900.0, 21_600.0, 72 * 3600.0
+FIRST_INTERVAL, LONGEST, STABLE, PROBING = 900.0, 21_600.0, 72 * 3600.0, 180.0
 
 
 @dataclass(frozen=True)
@@ -56,25 +57,73 @@ def step(state: Watch, kind: str, at: float, primary: str | None, threshold: int
     return replace(state, stable_since=since, interval=interval, next_check=at + interval), "recheck"
 
 
-def watch(rows: DataFrame, threshold: int = 1) -> DataFrame:
-    """Actions from a stream of ``channel_key, kind, at, primary`` with a watermark or none."""
+def watch(rows: DataFrame, threshold: int = 1, timers: bool = False) -> DataFrame:
+    """Actions from a stream of ``channel_key, kind, at, primary`` with a watermark or none.
+
+    With ``timers`` a watched channel also wakes up by itself: when its next check is due, an action
+    ``check`` is emitted and the check put off by ``PROBING`` seconds, until its result
+    comes in.
+    """
 
     def run(key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = Watch(*state.get) if state.exists else Watch()
         out = []
-        for part in parts:
-            for r in part.sort_values("at", kind="stable").itertuples():
-                now, action = step(now, r.kind, float(r.at), r.primary if isinstance(r.primary, str) and r.primary else None, threshold)
-                if action:
-                    out.append((key[0], float(r.at), action, now.demoted, now.next_check))
+        if state.hasTimedOut:
+            clock = state.getCurrentProcessingTimeMs() / 1000
+            if now.flagged_at and clock >= now.next_check:
+                now = replace(now, next_check=clock + PROBING)
+                out.append((key[0], clock, "check", now.demoted, now.next_check))
+        else:
+            for part in parts:
+                for r in part.sort_values("at", kind="stable").itertuples():
+                    now, action = step(now, r.kind, float(r.at), r.primary if isinstance(r.primary, str) and r.primary else None, threshold)
+                    if action:
+                        out.append((key[0], float(r.at), action, now.demoted, now.next_check))
         if now == Watch():
             if state.exists:
                 state.remove()
         else:
             state.update(tuple(asdict(now).values()))
-        yield pd.DataFrame(out, columns=["channel_key", "at", "action", "demoted", "next_check"])
+            if timers and now.flagged_at:
+                clock = state.getCurrentProcessingTimeMs() / 1000
+                state.setTimeoutDuration(max(1, int(1000 * (now.next_check - clock))))
+        if out:
+            yield pd.DataFrame(out, columns=["channel_key", "at", "action", "demoted", "next_check"])
+
+    return rows.groupBy("channel_key").applyInPandasWithState(run, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if timers else GroupStateTimeout.NoTimeout)
+
+
+def due(states: DataFrame, now: float) -> DataFrame:
+    """Watched channels whose check is due, each put off by ``PROBING`` seconds."""
+    return states.filter((F.col("flagged_at") > 0) & (F.col("next_check") <= now)).withColumn("next_check", F.lit(now + PROBING))
+
+
+def deferred(states: DataFrame, now: float) -> DataFrame:
+    """Channels whose check could not run, put off by the interval that they have."""
+    return states.withColumn("next_check", F.lit(float(now)) + F.col("interval"))
+
+
+def tick(states: DataFrame, results: DataFrame, now: float, reachable: bool = True) -> DataFrame:
+    """``channel_key, action, status, next_check``: what to do with each watched channel now.
+
+    A result that is in (``channel_key, status``) is evaluated; a channel that is due without one
+    gets a check; others wait.  While the remote system can't be reached, channels that are due
+    are down and put off.
+    """
+    rows = states.filter("flagged_at > 0").join(results.groupBy("channel_key").agg(F.max("status").alias("status")), "channel_key", "left")
+    ready = F.col("next_check") <= now
+    action = F.when(F.col("status").isNotNull(), "evaluate").when(ready & F.lit(not reachable), "down").when(ready, "check").otherwise("wait")
+    later = F.when(action == "check", F.lit(now + PROBING)).when(action == "down", F.lit(float(now)) + F.col("interval")).otherwise(F.col("next_check"))
+    return rows.select("channel_key", action.alias("action"), "status", later.alias("next_check"))
+
+
+def on_batches(rows: DataFrame, path: str, threshold: int = 1):
+    """A stream writer that adds the actions of every batch to the table at ``path``, once each, whatever is run again."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return rows.groupBy("channel_key").applyInPandasWithState(run, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return watch(rows, threshold).writeStream.outputMode("append").foreachBatch(add)
 
 
 def trips(times: Iterable[float], least: int = 3, window: float = 60.0, first: float = 30.0, longest: float = 300.0, quiet: float = 180.0) -> list[tuple[float, float]]:

@@ -184,3 +184,58 @@ def test_lines_that_are_no_entries(spark):
     text = ["Name | two words", "101: ", "Fine | a.b", "1234567 Seven"]
     got = wantlist.parse(spark.createDataFrame(list(enumerate(text)), "line_no long, value string"), Titles()).orderBy("line_no").collect()
     assert [(r.number, r.name, r.tvg_id, r.problem) for r in got] == [(None, None, None, "no name"), (None, None, None, "no name"), (None, "Fine", "a.b", None), (None, "1234567 Seven", "", None)]
+
+
+def test_words_and_logos_against_plain_ratios(spark):
+    import difflib
+    import random
+
+    from tallowick.operators import search
+
+    rng = random.Random(3)
+    words = ["alpha", "bravo", "charlie", "delta", "echo", "news", "sport", "one", "two"]
+    pools = [(f"P{i}", " ".join(rng.sample(words, 3)), i) for i in range(60)]
+    wanted = [(f"W{i}", " ".join(x if rng.random() < 0.7 else x + "s" for x in rng.sample(words, 3))) for i in range(60)]
+    got = {r.key: (r.pool_key, round(r.ratio, 9)) for r in match.by_words(spark.createDataFrame(wanted, "key string, name string"), spark.createDataFrame(pools, "key string, name string, pos int"), "relaxed").collect()}
+    want, plain = {}, lambda x: " ".join(sorted(x.lower().split()))
+    for key, name in wanted:
+        scored = sorted(((-difflib.SequenceMatcher(None, plain(name), plain(n)).ratio(), pos, k) for k, n, pos in pools))
+        fit = [s for s in scored if -s[0] >= 0.72]
+        if fit and (len(fit) == 1 or fit[1][0] - fit[0][0] >= 0.03):
+            want[key] = (fit[0][2], round(-fit[0][0], 9))
+    assert got == want
+    files = spark.createDataFrame([(n, k) for k, n, _ in pools], "name string, file_key string")
+    rows = [(r.name, r.ratio) for r in search.logos(files, "P1").collect()]
+    assert rows == sorted(((n, round(difflib.SequenceMatcher(None, "P1", k).ratio(), 3)) for k, n, _ in pools), key=lambda x: (-x[1], x[0]))[:25]
+
+
+def test_pictures_alike_across_cells_and_without_a_picture(spark):
+    rows, rng = [], __import__("random").Random(4)
+    for i in range(120):
+        base = rng.choice([5, 15, 24, 90, 200])
+        rows.append((i, "0" * 15 + rng.choice("01f"), True, None if i % 40 == 0 else [min(255, max(0, base + rng.randrange(-9, 10))) for _ in range(8)], f"C{i % 3}"))
+    top = list(range(len(rows)))
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for i, a in enumerate(rows):
+        for j, b in enumerate(rows[:i]):
+            near = bin(int(a[1], 16) ^ int(b[1], 16)).count("1") <= 8
+            if near and (not a[3] or not b[3] or sum(abs(x - y) for x, y in zip(a[3], b[3], strict=True)) / 8 <= 10):
+                x, y = find(i), find(j)
+                top[max(x, y)] = min(x, y)
+    sizes = __import__("collections").Counter(find(i) for i in range(len(rows)))
+    heads = sorted(h for h, n in sizes.items() if n > 1)
+    want = {i: heads.index(find(i)) + 1 for i in range(len(rows)) if sizes[find(i)] > 1}
+    df = spark.createDataFrame(rows, "pos long, hash string, low_motion boolean, frame array<int>, channel_key string").repartition(3)
+    assert {r.pos: r.group for r in frames.still_groups(df).collect()} == want
+
+
+def test_timers_of_the_watch_list(spark):
+    state = spark.createDataFrame([("a", 5.0, 100.0, 900.0), ("b", 0.0, 1.0, 900.0), ("c", 5.0, 50.0, 1800.0)], "channel_key string, flagged_at double, next_check double, interval double")
+    assert {r.channel_key: r.next_check for r in watch.due(state, 60.0).collect()} == {"c": 240.0}
+    got = {r.channel_key: (r.action, r.next_check) for r in watch.tick(state, spark.createDataFrame([("a", "ok")], "channel_key string, status string"), 60.0, reachable=False).collect()}
+    assert got == {"a": ("evaluate", 100.0), "c": ("down", 1860.0)}
