@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallowick.llm import cotraining, decontaminate, line_dedup, minhash_dedup, packing, ppm, quality_rules, secret_scan, suffix_dedup, warc
-from tallowick.llm.workspace import new_path
+from tallowick.llm.workspace import new_path, small_batches
 
 
 def tokenizer_path(name: str) -> str:
@@ -16,12 +16,12 @@ def tokenizer_path(name: str) -> str:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
-    warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    warc.write_archives(small_batches(spark).read.parquet(f"{sf_dir}/pages.parquet"), path)
     return warc.page_records(warc.read_archives(spark, path))
 
 
