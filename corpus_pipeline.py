@@ -29,6 +29,7 @@ def _without(rows: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go that the co-trained classifiers take for bad rather than good."""
+    workspace.small_batches(spark)
     rows = _rows(docs, "quality-rows")
     scored = cotraining.score(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), row_col=ROW)
     return _without(rows, scored.filter("p_good < 0.5"), "row")
@@ -39,12 +40,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Keeping the first occurrence keeps one copy of a text of which there are many.
     """
+    workspace.small_batches(spark)
     left = line_dedup.dedup_lines(docs, keep_first=True, lines_col="_tw_lines", dropped_col="_tw_lost")
     return left.filter((F.col("_tw_lost") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates one row stays: of the smallest id, any id before null."""
+    workspace.small_batches(spark)
     rows = _rows(docs, "near-rows")
     verdict = workspace.keep(minhash_dedup.near_duplicates(rows, id_col=ROW).select("id", "component_id"), "near-verdict")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), ROW)
@@ -54,12 +57,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go that hold 75 % or more of the shingles of a benchmark item."""
+    workspace.small_batches(spark)
     rows = _rows(docs, "decontamination-rows")
     return _without(rows, decontaminate.leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=ROW))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of the documents' pieces in sequences of 1024 tokens."""
+    workspace.small_batches(spark)
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
