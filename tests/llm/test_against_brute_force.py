@@ -331,6 +331,9 @@ def test_pipeline_judges_rows(spark, tmp_path):
     got = docs
     for _, stage in corpus_pipeline.STAGES[:3]:
         got = stage(spark, got, sf)
+    keys = corpus_pipeline._rows(spark.read.parquet(f"{sf}/documents.parquet"), "keys")
+    assert keys.select(corpus_pipeline.ROW).distinct().count() == len(rows) and keys.columns[:-1] == docs.columns
+    assert corpus_pipeline._rows(docs.limit(0), "none").count() == 0
     got = corpus_pipeline.decontamination(spark, got, sf)
     assert got.columns == docs.columns
     assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(want)
