@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from tallowick.llm import cotraining, decontaminate, line_dedup, minhash_dedup, packing, workspace
 from tallowick.llm.queries import tokenizer_path
@@ -18,8 +19,19 @@ ROW = "_tw_row"
 
 
 def _rows(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` with a key of its own for each row, written so that it is the same in every read."""
-    return workspace.keep(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+    """``docs`` with a key of its own for each row that is the same in every read.
+
+    Rows of Parquet files have one already, their file and place in it; other rows are
+    written with one first.
+    """
+    try:
+        found = docs.select("*", F.col("_metadata.file_path").alias("_tw_file"), F.col("_metadata.row_index").alias("_tw_index"))
+    except AnalysisException:
+        return workspace.keep(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+    files = sorted(r[0] for r in found.select("_tw_file").distinct().collect())  # a row for each file
+    numbered = docs.sparkSession.createDataFrame(list(enumerate(files)), "_tw_number long, _tw_file string")
+    key = F.shiftleft("_tw_number", 40) + F.col("_tw_index")
+    return found.join(numbered, "_tw_file").select(*docs.columns, key.alias(ROW))
 
 
 def _without(rows: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
