@@ -39,6 +39,8 @@ PERMUTATIONS, ROWS, SIZE = 64, 4, 5
 SMALL_BUCKET = 24
 #: 64-bit words of the parity bitmap by which the prefix join bounds how far two sets differ
 PARITY_WORDS = 8
+#: of at most so many shared elements, the prefix join sends the table to the sets instead of the sets to it
+LOOKUP_MOST = 1 << 20
 #: bits for each class in the filter that picks documents, and the filter's least and largest size
 FILTER_RATE, FILTER_LEAST, FILTER_MOST = 16, 1 << 20, 1 << 27
 
@@ -161,6 +163,36 @@ def _parity(token: str) -> list[F.Column]:
     return [F.coalesce(F.bit_xor(F.when(F.floor(place / 64) == i, bit)), F.lit(0)).alias(f"parity{i}") for i in range(PARITY_WORDS)]
 
 
+def _label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``label, token, n``: in how many sets of each label an element stands, summed up for each batch."""
+    for batch in batches:
+        column = batch.column("grams")
+        bounds = np.asarray(column.offsets).astype(np.int64)
+        label, of = np.unique(np.repeat(batch.column("label").to_numpy(), np.diff(bounds)), return_inverse=True)
+        token, at = np.unique(column.values.to_numpy()[bounds[0] : bounds[-1]], return_inverse=True)
+        pair, n = np.unique(of.astype(np.int64) * max(1, len(token)) + at, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(label[pair // max(1, len(token))], pa.int64()), pa.array(token[pair % max(1, len(token))], pa.int64()), pa.array(n, pa.int64())], ["label", "token", "n"])
+
+
+def _looked_up(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """Each set's shared elements, the rarest first, and the parities of its bitmap."""
+    tokens, df = shared.value
+    for batch in batches:
+        column, rows = batch.column("grams"), batch.num_rows
+        bounds = np.asarray(column.offsets).astype(np.int64)
+        value, of = column.values.to_numpy()[bounds[0] : bounds[-1]], np.repeat(np.arange(rows), np.diff(bounds))
+        at = np.minimum(np.searchsorted(tokens, value), len(tokens) - 1)
+        hit = tokens[at] == value
+        value, of, n = value[hit], of[hit], df[at[hit]]
+        order = np.lexsort((value, n, of))
+        place = (K.mix(value.view(np.uint64)) >> np.uint64(32)) % np.uint64(64 * PARITY_WORDS)
+        parity = np.zeros((rows, PARITY_WORDS), np.uint64)
+        np.bitwise_xor.at(parity, (of, (place >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (place & np.uint64(63)))
+        pairs = pa.StructArray.from_arrays([pa.array(n[order], pa.int64()), pa.array(value[order], pa.int64())], ["df", "token"])
+        lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(rows + 1)).astype(np.int32)), pairs)
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("label"), pa.array(np.diff(bounds).astype(np.int32)), lists, *(pa.array(p.view(np.int64)) for p in parity.T.copy())], ["node", "label", "n", "order", *(f"parity{i}" for i in range(PARITY_WORDS))])
+
+
 def _prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs of differently labelled classes that may be similar, by an exact prefix filter.
 
@@ -176,11 +208,19 @@ def _prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame
     """
     t = percent / 100
     overlap = lambda n: F.ceil(F.lit(t / (1 + t)) * n - 1e-6)
-    token = sets.join(labels.select("node", "label"), "node").select("node", "label", F.size("grams").alias("n"), F.explode("grams").alias("token"))
-    token = keep(token, "tokens")  # read twice
-    spread = token.groupBy("token").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token", "df")
-    # Written, so that the join has a shuffle of its own, whose large partitions Spark splits.
-    ranked = token.join(keep(spread, "spread"), "token").groupBy("node", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order"), *_parity("token"))
+    own = sets.join(labels.select("node", "label"), "node").select("node", "label", "grams")
+    counted = own.select("label", "grams").mapInArrow(_label_counts, "label long, token long, n long")
+    spread = keep(counted.groupBy("token").agg(F.sum("n").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token", "df"), "spread")
+    found = spread.count()
+    if not found:
+        return sets.sparkSession.createDataFrame([], "u long, v long")
+    if found <= LOOKUP_MOST:
+        table = spread.toPandas().sort_values("token")  # LOOKUP_MOST rows at most
+        shared = sets.sparkSession.sparkContext.broadcast((table["token"].to_numpy(np.int64), table["df"].to_numpy(np.int64)))
+        ranked = own.mapInArrow(lambda x: _looked_up(x, shared), "node long, label long, n int, order array<struct<df:long,token:long>>, " + ", ".join(f"parity{i} long" for i in range(PARITY_WORDS)))
+    else:
+        token = own.select("node", "label", F.size("grams").alias("n"), F.explode("grams").alias("token"))
+        ranked = token.join(spread, "token").groupBy("node", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order"), *_parity("token"))
     marks = [f"parity{i}" for i in range(PARITY_WORDS)]
     as_larger = F.size("order") - F.greatest(F.lit(1), F.ceil(F.lit(t) * F.col("n") - 1e-6)) + 1
     as_smaller = F.size("order") - F.greatest(F.lit(1), overlap(2 * F.col("n"))) + 1

@@ -46,8 +46,10 @@ def test_near_duplicates(spark):
     assert got == brute.near_duplicates(dict(enumerate(texts)))
 
 
-def test_near_duplicates_of_large_buckets(spark, monkeypatch):
+@pytest.mark.parametrize("lookup", [1 << 20, 1])
+def test_near_duplicates_of_large_buckets(spark, monkeypatch, lookup):
     monkeypatch.setattr(minhash_dedup, "SMALL_BUCKET", 2)
+    monkeypatch.setattr(minhash_dedup, "LOOKUP_MOST", lookup)
     rng = random.Random(2)
     hot = prose(rng, 80).split()
     texts = []
