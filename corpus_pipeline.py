@@ -30,6 +30,7 @@ def _rows(docs: DataFrame, name: str) -> DataFrame:
         return workspace.keep(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
     files = sorted(r[0] for r in found.select("_tw_file").distinct().collect())  # a row for each file
     numbered = docs.sparkSession.createDataFrame(list(enumerate(files)), "_tw_number long, _tw_file string")
+    numbered = F.broadcast(numbered) if sum(map(len, files)) <= 8 << 20 else numbered  # else the sizes decide
     key = F.shiftleft("_tw_number", 40) + F.col("_tw_index")
     return found.join(numbered, "_tw_file").select(*docs.columns, key.alias(ROW))
 
