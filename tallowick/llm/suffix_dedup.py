@@ -380,11 +380,12 @@ def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     known = keep(kinds.join(busy.select("key", "kinds"), "key"), "kinds")
     span = lambda x: x.select("doc", F.col("begin").alias("start"), (F.col("begin") + F.col("starts") + F.lit(length - 1)).alias("stop"))
     # Rows of very frequent kinds are marked from the short list of these kinds and spread
-    # over all tasks; only the others meet the counts of their kinds.
+    # over all tasks; only the others meet the counts of their kinds.  A marked row stays
+    # whether or not it meets one.
     much = keep(known.filter(F.col("n") > HOT).select("key", "kind", F.lit(True).alias("frequent")), "much")
-    few = known.filter((F.col("n") > 1) & (F.col("n") <= HOT)).select("key", "kind", F.lit(0).cast("long").alias("spread"), F.lit(True).alias("found"))
-    marked = runs.join(much, ["key", "kind"], "left").withColumn("spread", F.when(F.col("frequent"), F.xxhash64("doc", "begin")).otherwise(0))
-    full = span(marked.join(few, ["key", "kind", "spread"], "left").filter(F.col("frequent").isNotNull() | F.col("found").isNotNull()))
+    few = known.filter((F.col("n") > 1) & (F.col("n") <= HOT)).select(F.col("key").alias("meets"), "kind", F.lit(True).alias("found"))
+    marked = runs.join(much, ["key", "kind"], "left").withColumn("meets", F.when(F.col("frequent"), F.xxhash64("doc", "begin")).otherwise(F.col("key")))
+    full = span(marked.join(few, ["meets", "kind"], "left").filter(F.col("frequent").isNotNull() | F.col("found").isNotNull()))
     mixed = known.filter((F.col("kinds") > 1) & (F.col("kinds") <= HOT)).select("one.*", "key")
     wanted = mixed.groupBy("doc").agg(F.collect_list(F.struct("begin", "starts", "at", "key")).alias("wanted"))
     fetched = rows.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(lambda x: _fetch(x, length), "doc string, begin int, starts int, at int, part long, bytes binary")
