@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallowick.operators.slices import latest
+
 
 def failures(events: DataFrame, channel: str = "channel", at: str = "ts", kind: str = "kind", stream: str = "stream_id", since=None) -> DataFrame:
     """How often each stream was the last one started or switched to, more than a second before a failover.
 
-    If that last event has no stream, the failover is nobody's.  ``since`` limits failovers, not what came before.
+    If that last event has no stream, the failover is nobody's; of events of one time the largest stream counts.  ``since`` limits failovers, not what came before.
     """
-    micros = F.unix_micros(F.col(at).cast("timestamp"))
-    before = Window.partitionBy(channel).orderBy("_at").rangeBetween(Window.unboundedPreceding, -1_000_001)
-    rows = events.withColumn("_at", micros)
-    last = F.last(F.when(F.col(kind).isin("channel_start", "stream_switch"), F.struct(F.col(stream).alias("s"))), ignorenulls=True).over(before)
-    hit = rows.withColumn("_last", last).filter(F.col(kind) == "channel_failover")
-    hit = hit if since is None else hit.filter(F.col(at) >= since)
-    return hit.filter("_last.s is not null").groupBy(channel, F.col("_last.s").alias(stream)).agg(F.count("*").alias("failures"))
+    rows = events.select(F.col(channel).alias("channel"), F.col(at).alias("when"), F.unix_micros(F.col(at).cast("timestamp")).alias("at"), F.col(kind).alias("kind"), F.col(stream).alias("stream"))
+    starts = rows.filter(F.col("kind").isin("channel_start", "stream_switch")).select("channel", "at", "stream")
+    failed = rows.filter(F.col("kind") == "channel_failover")
+    failed = failed if since is None else failed.filter(F.col("when") >= since)
+    found = latest(failed.select("channel", (F.col("at") - 1_000_001).alias("at")), starts, ["channel"], "at", "last", ties=["stream"])
+    return found.filter("last.stream is not null").groupBy(F.col("channel").alias(channel), F.col("last.stream").alias(stream)).agg(F.count("*").alias("failures"))
 
 
 def burst_candidates(events: DataFrame, key: str, at: str = "ts", seconds: int = 60, least: int = 3) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallowick.functions import media
@@ -11,23 +11,60 @@ from tallowick.operators.order import placed
 from tallowick.storage import keep
 
 NEAR, ALIKE = 8, 10.0
+#: rows under a band's value beyond which other bands must meet as well
+CROWD = 1024
+
+
+def _bands(bits: Column, width: int, number: int) -> Column:
+    """An array of ``band, part, flip``: the bands' values and all that differ from one in a single bit, which ``flip`` tells from 1 on."""
+    edges = [round(i * width / number) for i in range(number + 1)]
+    near = []
+    for i, (begin, end) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        value = F.conv(F.substring(bits, begin + 1, end - begin), 2, -10).cast("long")
+        flips = F.array(*(F.lit(x - (1 << 64) if x >> 63 else x) for x in (0, *(1 << j for j in range(end - begin)))))
+        near.append(F.transform(flips, lambda x, n: F.struct(F.lit(i).alias("band"), value.bitwiseXOR(x).alias("part"), n.alias("flip"))))  # noqa: B023
+    return F.concat(*near)
+
+
+def candidates(classes: DataFrame, near: int = NEAR) -> DataFrame:
+    """``a, b, ha, hb`` for rows (``pos, hash``) of different hashes that meet in a band; in some pairs several do.
+
+    Of hashes that differ in ``near`` bits, cut into bands, one band differs in two bits at
+    most if there are more than ``near / 3`` of them; and what differs in two bits has a value
+    between, one bit from either.  So every hash stands under its bands' values and those one
+    bit away, and near hashes meet under one.  Where more than ``CROWD`` rows stand under a value,
+    the other bits are cut into bands in the same way and must meet as well.
+    """
+    number = near // 3 + 1
+    bits = F.concat(*(F.lpad(F.conv(F.substring("hash", i, 8), 16, 2), 32, "0") for i in (1, 9)))
+    rows = classes.select("pos", "hash", bits.alias("bits"))
+    keyed = rows.select("*", F.explode(_bands(F.col("bits"), 64, number)).alias("x")).select("pos", "hash", "bits", "x.*")
+    crowded = keyed.groupBy("band", "part").count().filter(F.col("count") > CROWD).select("band", "part", F.lit(True).alias("crowded"))
+    marked = keyed.join(crowded, ["band", "part"], "left")
+    edges = [round(i * 64 / number) for i in range(number + 1)]
+    one = F.array(F.struct(F.lit(-1).alias("band"), F.lit(0).cast("long").alias("part"), F.lit(0).alias("flip")))
+    more = one
+    for i, (begin, end) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        if end - begin < 64:
+            rest = F.concat(F.substring("bits", 1, begin), F.substring("bits", end + 1, 64 - end))
+            more = F.when(F.col("crowded") & (F.col("band") == i), _bands(rest, 64 - (end - begin), number)).otherwise(more)
+    both = marked.select("pos", "hash", "band", "part", "flip", F.explode(more).alias("y")).select("pos", "hash", "band", "part", "flip", F.col("y.band").alias("band2"), F.col("y.part").alias("part2"), F.col("y.flip").alias("flip2"))
+    keys = ["band", "part", "band2", "part2"]
+    a, b = (both.select(F.col("pos").alias(x), F.col("hash").alias(f"h{x}"), *keys, F.col("flip").alias(f"f{x}"), F.col("flip2").alias(f"g{x}")) for x in "ab")
+    # Where two values differ in one bit or two, they meet twice; where they are equal, once for each bit.
+    once = "(fa < fb or fa = 0 and fb = 0) and (ga < gb or ga = 0 and gb = 0)"
+    return a.join(b, keys).filter(f"a < b and {once}").select("a", "b", "ha", "hb")
 
 
 def similar_pairs(hashes: DataFrame, near: int = NEAR) -> DataFrame:
     """``a, b, distance`` for rows (``pos, hash``) whose 64-bit hashes differ in at most ``near`` bits.
 
-    Cut into ``near + 1`` bands, two such hashes are equal in one band at least; bands
-    are the keys of the join.  Equal hashes form one class first, so that copies of one
-    picture make no pairs: they are chained to the first of their class.
+    Equal hashes form one class first, so that copies of one picture make no pairs: they
+    are chained to the first of their class.
     """
     classes = hashes.groupBy("hash").agg(F.min("pos").alias("pos"))
     copies = hashes.join(classes.select("hash", F.col("pos").alias("a")), "hash").filter("pos <> a").select("a", F.col("pos").alias("b"), F.lit(0).alias("distance"))
-    bits = F.concat(*(F.lpad(F.conv(F.substring("hash", i, 8), 16, 2), 32, "0") for i in (1, 9)))
-    edges = [round(i * 64 / (near + 1)) for i in range(near + 2)]
-    bands = F.array(*(F.struct(F.lit(i).alias("band"), F.substring("bits", a + 1, b - a).alias("part")) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))))
-    rows = classes.withColumn("bits", bits).select("pos", "hash", F.explode(bands).alias("x")).select("pos", "hash", "x.band", "x.part")
-    a, b = rows.select(F.col("pos").alias("a"), F.col("hash").alias("ha"), "band", "part"), rows.select(F.col("pos").alias("b"), F.col("hash").alias("hb"), "band", "part")
-    found = a.join(b, ["band", "part"]).filter("a < b").select("a", "b", media.hamming(F.col("ha"), F.col("hb")).alias("distance")).filter(F.col("distance") <= near).distinct()
+    found = candidates(classes, near).select("a", "b", media.hamming(F.col("ha"), F.col("hb")).alias("distance")).filter(F.col("distance") <= near).distinct()
     return found.unionByName(copies)
 
 

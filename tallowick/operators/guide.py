@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallowick.functions import titles
+from tallowick.operators.slices import latest, running
 
 PREFIX = 6
 
@@ -118,21 +119,28 @@ def sizes(channels: DataFrame, programmes: DataFrame) -> DataFrame:
     return heads.join(body)  # one row each
 
 
+def shown(programmes: DataFrame) -> DataFrame:
+    """``programmes`` with ``begins``: from then on, until its end, a programme is the first in order that runs.
+
+    Those before it must be over, one without an end never is; a programme that is never the first
+    is left out.  So the times of a channel's programmes don't overlap.
+    """
+    rows = programmes.filter("start is not null")
+    over = F.coalesce("stop", F.lit("9999-12-31").cast(dict(programmes.dtypes)["stop"]))
+    rows = running(rows, ["guide_id"], ["start", "prog_pos", "stop", "title"], _hidden=("max", over))
+    return rows.withColumn("begins", F.greatest("start", "_hidden")).filter(F.col("begins") < over).drop("_hidden")
+
+
 def now_playing(probes: DataFrame, programmes: DataFrame, at: str = "at") -> DataFrame:
     """``probes`` (``probe, guide_id`` and a time) with the first programme in order that runs then, if any.
 
     A programme without an end runs on, and so hides those after it.  Programmes whose end comes
     after the next one's start make several hits; of these the first is taken.
     """
-    hit = (F.col(at) >= F.col("start")) & (F.col("stop").isNull() | (F.col(at) < F.col("stop")))
-    # A programme meets the probes of the days that it touches; one without an end, or of over a month, those of all days.
-    day = lambda c: F.to_date(c)
-    short = F.datediff(day("stop"), day("start")) <= 31
-    dated = programmes.filter(F.coalesce(short, F.lit(False))).withColumn("_day", F.explode(F.sequence(day("start"), day("stop"))))
-    rest = programmes.filter(~F.coalesce(short, F.lit(False)))
-    rows = probes.withColumn("_day", day(at)).join(dated, ["guide_id", "_day"]).filter(hit).drop("_day").unionByName(probes.join(rest, "guide_id").filter(hit))
-    first = rows.groupBy("probe").agg(F.min(F.struct("start", "prog_pos", "stop", "title")).alias("x"))
-    return probes.join(first.select("probe", F.col("x.start").alias("start"), F.col("x.stop").alias("stop"), F.col("x.title").alias("title"), F.col("x.prog_pos").alias("prog_pos")), "probe", "left")
+    facts = shown(programmes).select("guide_id", F.col("begins").alias(at), "start", "stop", "title", "prog_pos")
+    rows = latest(probes, facts, ["guide_id"], at, "_shown")
+    runs = F.col("_shown.stop").isNull() | (F.col(at) < F.col("_shown.stop"))
+    return rows.select(*probes.columns, *(F.when(runs, F.col(f"_shown.{c}")).alias(c) for c in ("start", "stop", "title", "prog_pos")))
 
 
 def title_search(programmes: DataFrame, text: str, at: Column, tolerance: str = "90 minutes", limit: int = 25) -> DataFrame:

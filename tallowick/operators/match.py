@@ -50,13 +50,42 @@ def by_affix(wanted: DataFrame, pools: DataFrame) -> DataFrame:
     return rows.groupBy("want").agg(F.min("x").alias("x")).select(F.col("want").alias("key"), F.col("x.key").alias("pool_key"), F.col("x.stage").alias("stage"))
 
 
-def by_words(wanted: DataFrame, pools: DataFrame, mode: str = "normal", blocks: int = 32) -> DataFrame:
+# Letters from rare to frequent in names; any other sign counts as rarer.
+_RARE = "qxjzvkwyfhgbpumdclotnrsaie "
+
+
+def _letters(text: F.Column) -> F.Column:
+    """A text's signs, each with its number among equal ones, in an order that is one for all texts: rare ones first."""
+    signs = F.array_sort(F.filter(F.split(text, ""), lambda x: x != ""))
+    numbered = F.transform(signs, lambda x, i: F.struct((F.array_position(signs, x) - i).alias("again"), F.position(x, F.lit(_RARE)).alias("rare"), x.alias("sign")))
+    return F.array_sort(numbered)
+
+
+def word_pairs(w: DataFrame, p: DataFrame, least: float) -> DataFrame:
+    """The pairs of ``key, a`` and ``pool_key, pos, b`` whose texts' ratio may reach ``least``.
+
+    A ratio of texts is at most twice their common signs by all their signs.  So it takes lengths
+    that are not too far apart, and a number of common signs that leaves, of each text's
+    signs in one order for all, only the first few without a common one (prefix filter).  Pairs meet
+    under such a sign and the length of the pool's text, and count where they meet first.
+    """
+    share = least / (2 - least)
+    size = F.length
+    first = lambda c: F.slice(_letters(F.col(c)), F.lit(1), (size(c) - F.ceil(size(c) * share - 1e-9) + 1).cast("int"))
+    lengths = F.sequence(F.ceil(size("a") * share - 1e-9), F.floor(size("a") / share + 1e-9))
+    left = w.select("*", first("a").alias("_fa")).select("*", F.explode("_fa").alias("_sign")).select("*", F.explode(lengths).alias("_n"))
+    right = p.select("*", first("b").alias("_fb"), size("b").cast("long").alias("_n")).select("*", F.explode("_fb").alias("_sign"))
+    met = left.join(right, ["_sign", "_n"]).filter(F.array_intersect("_fa", "_fb")[0] == F.col("_sign"))
+    total = F.length("a") + F.length("b")
+    lacking = F.expr("length(translate(a, b, '')) + length(translate(b, a, ''))")
+    return met.filter(total - lacking >= total * least).drop("_fa", "_fb", "_sign", "_n")
+
+
+def by_words(wanted: DataFrame, pools: DataFrame, mode: str = "normal") -> DataFrame:
     """``key, pool_key, ratio`` for names whose words in order are alike, unless the two best are too close to tell.
 
     ``wanted`` has ``key, name`` and holds only what nothing else matched; ``pools`` has
-    ``key, name, pos``, one row for each pool.  The wanted rows are cut into blocks and each
-    block meets all pools; names whose lengths or letters already rule the ratio out go
-    before Python sees them.
+    ``key, name, pos``, one row for each pool.
     """
     if mode not in RATIOS:
         return wanted.select("key", F.lit(None).cast("string").alias("pool_key"), F.lit(None).cast("double").alias("ratio")).limit(0)
@@ -69,15 +98,9 @@ def by_words(wanted: DataFrame, pools: DataFrame, mode: str = "normal", blocks:
             out.append(m.ratio() if m.real_quick_ratio() >= least and m.quick_ratio() >= least else 0.0)
         return pd.Series(out, dtype=float)
 
-    w = wanted.select("key", titles.token_set(F.col("name")).alias("a")).filter("a <> ''").withColumn("_block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
-    p = pools.select(F.col("key").alias("pool_key"), "pos", titles.token_set(F.col("name")).alias("b")).filter("b <> ''").withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    # Texts of which one is over 2/least - 1 times as long as the other can't reach the ratio,
-    # nor can texts with too many letters that the other lacks.
-    total = F.length("a") + F.length("b")
-    alike = F.least(F.length("a"), F.length("b")) * 2 >= total * least
-    lacking = F.expr("length(translate(a, b, '')) + length(translate(b, a, ''))")
-    near = w.join(p, "_block").filter(alike & (total - lacking >= total * least))
-    scored = near.withColumn("ratio", F.pandas_udf(ratio, "double")("a", "b")).filter(F.col("ratio") >= least)
+    w = wanted.select("key", titles.token_set(F.col("name")).alias("a")).filter("a <> ''")
+    p = pools.select(F.col("key").alias("pool_key"), "pos", titles.token_set(F.col("name")).alias("b")).filter("b <> ''")
+    scored = word_pairs(w, p, least).withColumn("ratio", F.pandas_udf(ratio, "double")("a", "b")).filter(F.col("ratio") >= least)
     order = Window.partitionBy("key").orderBy(F.desc("ratio"), "pos")
     best = scored.withColumn("place", F.row_number().over(order)).withColumn("second", F.lead("ratio").over(order))
     return best.filter((F.col("place") == 1) & (F.col("second").isNull() | (F.col("ratio") - F.col("second") >= MARGIN))).select("key", "pool_key", "ratio")

@@ -46,7 +46,11 @@ def summary(pools: DataFrame, key: str = "channel_key", name: str = "name", grou
     """Per key: the shortest name, how many streams, up to six names, and the commonest group, the first seen of equals."""
     groups = pools.filter(~titles.is_blank(F.col(group))).groupBy(key, group).agg(F.count("*").alias("n"), F.min(pos).alias("at"))
     common = groups.groupBy(key).agg(F.max_by(group, F.struct(F.col("n"), -F.col("at"))).alias("modal_group"))
-    named = pools.groupBy(key).agg(F.min(F.struct(F.length(name), F.col(name))).alias("x"), F.count("*").alias("n_streams"), F.slice(F.array_sort(F.collect_set(name)), 1, 6).alias("names"))
+    named = pools.groupBy(key).agg(F.min(F.struct(F.length(name), F.col(name))).alias("x"), F.count("*").alias("n_streams"))
+    # Tasks and pools hold the first six names each, however many there are.
+    six = pools.select(key, name).filter(F.col(name).isNotNull()).distinct().withColumn("_place", F.row_number().over(Window.partitionBy(key).orderBy(name))).filter("_place <= 6")
+    names = six.groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_list(name)).alias("names"))
+    named = named.join(names, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
     split = titles.split_group(F.col("modal_group"))
     return named.join(common, key, "left").select(key, F.col(f"x.{name}").alias("display"), "n_streams", "names", "modal_group", split["country"].alias("country"), split["category"].alias("category"))
 

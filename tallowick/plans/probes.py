@@ -31,9 +31,9 @@ def titles_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _titled(spark, sf_dir).select("c_custkey", reader.region_column("name").alias("region"), reader.key_column("name").alias("key"), reader.identity_column("name").alias("identity"), titles.is_timeshift(F.col("name")).alias("shifted"))
 
 
-@query("""SELECT doc_id, array_to_string(list_sort(regexp_extract_all(lower(regexp_replace(text[:200], '[^ -~]', '.', 'g')), '[a-z0-9]+')), ' ') AS words FROM documents""")
+@query("""SELECT doc_id, array_to_string(list_sort(regexp_extract_all(lower(regexp_replace(text, '[^ -~]', '.', 'g')), '[a-z0-9]+')), ' ') AS words FROM documents""")
 def sorted_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.regexp_replace(F.substring("text", 1, 200), "[^ -~]", ".")
+    text = F.regexp_replace("text", "[^ -~]", ".")
     return read(spark, sf_dir, "documents").select("doc_id", titles.token_set(text).alias("words"))
 
 
@@ -125,10 +125,10 @@ def crop_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select("c_custkey", *(out[c].alias(c) for c in "xywh"))
 
 
-@query("""WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(regexp_replace(text[:120], '[^ -~]', '.', 'g'), '[A-Za-z0-9]+'), lambda x: length(x) >= 3) AS ws FROM documents)
+@query("""WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(regexp_replace(text, '[^ -~]', '.', 'g'), '[A-Za-z0-9]+'), lambda x: length(x) >= 3) AS ws FROM documents)
 SELECT doc_id, list_filter(ws, lambda x: length(x) = list_max(list_transform(ws, lambda y: length(y))))[1] AS needle FROM w""")
 def loose_needles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", search.needle(F.regexp_replace(F.substring("text", 1, 120), "[^ -~]", ".")).alias("needle"))
+    return read(spark, sf_dir, "documents").select("doc_id", search.needle(F.regexp_replace("text", "[^ -~]", ".")).alias("needle"))
 
 
 @query("SELECT event_id, split_part(CAST(user_id AS VARCHAR) || '|' || event_type, '|', 1) AS lane, sha256(event_type)[:16] AS digest FROM events")
