@@ -8,12 +8,13 @@ is sorted and read as a subtree of its own, from left to right, with one open pa
 memory; a node's frequency is the total of the leaves below it.  Nodes shorter than their
 group's prefix are found in several groups and are summed up.
 
-Two sums over the corpus come first, in one pass: the sizes of the prefix classes, and
-counters of two-word prefixes by hash.  A suffix ends before a pair of words whose counter
-stays below ``least``: no candidate holds such a pair.  Counters only grow by collisions,
-so this loses nothing.  Both are bounded, ``MOST_COUNTERS`` bytes and ``MOST_CLASSES``
-numbers a level; beyond some 2 billion words the counters are left out and all
-suffixes are shuffled, with the same result.
+Suffixes end where no candidate can go on: before a pair of words, and before the third or
+fourth word of a phrase, whose counter stays below ``least``.  The counters are sums over the
+corpus by hash, of pairs in a first pass, of longer phrases of frequent pairs in a second one,
+which also counts the prefix classes.  Collisions only add to a counter, so nothing is
+lost.  All are bounded, ``MOST_COUNTERS`` bytes a pass and ``MOST_CLASSES`` numbers a level; beyond
+some 2 billion words the counters are left out and all suffixes are shuffled, with the
+same result.
 
 Defined results: a null text is empty, a null language ``und``; rows count one by one,
 whatever their ids, repeated rows included; extra columns are ignored; an empty table has
@@ -76,15 +77,22 @@ class Words:
             after[:-n] = hashes[n:]
             self.prefix.append(K.mix(self.prefix[-1] + after * step))
 
-    def lengths(self, linked: np.ndarray) -> np.ndarray:
-        """Words of each suffix, where ``linked`` tells whether the next word belongs to it."""
-        size = np.ones(len(linked), np.int64)
-        reach = linked
-        for n in range(1, DEPTH):
-            size += reach
+    def often(self, words: int, counters: np.ndarray) -> np.ndarray:
+        """Whether the counter of the phrase of so many words from each word on is set."""
+        return K.bit_set(counters, self.slots(words, 8 * len(counters))) if len(counters) else np.ones(len(self.next), bool)
+
+    def slots(self, words: int, counters: int) -> np.ndarray:
+        return (self.prefix[words - 1] % np.uint64(counters)).astype(np.int64)
+
+    def lengths(self, pairs: np.ndarray | None = None, longer: np.ndarray | None = None) -> np.ndarray:
+        """Words of each suffix, up to the end of its piece or before a phrase that isn't frequent by the counters given."""
+        linked = self.next if pairs is None else self.next & self.often(2, pairs)
+        size, reach = 1 + linked, linked
+        for n in range(1, DEPTH - 1):
             ahead = np.zeros(len(linked), bool)
             ahead[:-n] = linked[n:]
-            reach = reach & ahead
+            reach = reach & ahead if longer is None else reach & ahead & self.often(n + 2, longer)
+            size = size + reach
         return size
 
 
@@ -101,18 +109,19 @@ def _parts(kind: int, values: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
             yield kind, i // PART, zlib.compress(part.tobytes(), 1)
 
 
-def _tallies(batches: Iterator[pa.RecordBatch], counters: int, classes: int) -> Iterator[pa.RecordBatch]:
-    """The counters of pairs (kind 0), and the sizes of the prefix classes of each level, of one task."""
-    pairs = np.zeros(counters, np.uint8)
-    sizes = [np.zeros(classes, np.int64) for _ in range(DEPTH - 1)]
+def _tallies(batches: Iterator[pa.RecordBatch], counters: int, classes: int, pairs: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Counters of one task (kind 0): of pairs, or with ``pairs`` of longer phrases of these; then also the sizes of each level's prefix classes."""
+    seen = np.zeros(counters, np.uint8)
+    sizes = [np.zeros(classes, np.int64) for _ in range(DEPTH - 1)] if pairs is not None else []
     for own in _read(batches):
-        longest = own.lengths(own.next)
-        for level in range(1, DEPTH):
-            sizes[level - 1] += np.bincount((own.prefix[level - 1][longest >= level] % np.uint64(classes)).astype(np.int64), minlength=classes)
+        longest = own.lengths(pairs)
+        for level, size in enumerate(sizes, 1):
+            size += np.bincount(own.slots(level, classes)[longest >= level], minlength=classes)
         if counters:
-            at, times = np.unique((own.prefix[1][own.next] % np.uint64(counters)).astype(np.int64), return_counts=True)
-            pairs[at] = np.minimum(pairs[at] + times, 255)
-    rows = [*_parts(0, pairs), *(x for i, s in enumerate(sizes) for x in _parts(i + 1, s))]
+            kinds = (2,) if pairs is None else range(3, DEPTH + 1)
+            at, times = np.unique(np.concatenate([own.slots(k, counters)[longest >= k] for k in kinds]), return_counts=True)
+            seen[at] = np.minimum(seen[at] + times, 255)
+    rows = [*_parts(0, seen), *(x for i, s in enumerate(sizes) for x in _parts(i + 1, s))]
     for i in range(0, len(rows), 64):
         kinds, numbers, data = zip(*rows[i : i + 64], strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(numbers, pa.int32()), pa.array(data, pa.binary())], ["kind", "part", "data"])
@@ -135,8 +144,8 @@ def _totals(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
 class Groups:
     """Which group each prefix class belongs to, and which pairs may be frequent: what every task is told."""
 
-    def __init__(self, counters: int, classes: int, sizes: list[np.ndarray], often: np.ndarray, budget: int):
-        self.counters, self.classes, self.often = counters, classes, often
+    def __init__(self, classes: int, sizes: list[np.ndarray], pairs: np.ndarray, longer: np.ndarray, budget: int):
+        self.classes, self.pairs, self.longer = classes, pairs, longer
         self.large = [s > budget // 4 for s in sizes]
         self.group, first = [], 0
         for level, size in enumerate(sizes):
@@ -148,7 +157,7 @@ class Groups:
 
     def of(self, own: Words, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each suffix its group, and how many words of it that group's prefix has: more than the suffix where others have the rest."""
-        at = [(p % np.uint64(self.classes)).astype(np.int64) for p in own.prefix[:-1]]
+        at = [own.slots(level, self.classes) for level in range(1, DEPTH)]
         group, depth, going = self.group[0][at[0]], np.ones(len(size), np.int64), np.ones(len(size), bool)
         for level in range(1, DEPTH):
             going = going & self.large[level - 1][at[level - 1]]
@@ -157,7 +166,7 @@ class Groups:
             if level < DEPTH - 1:
                 group = np.where(going, self.group[level][at[level]], group)
             else:
-                group = np.where(going, self.rest + (own.prefix[level] % np.uint64(self.spread)).astype(np.int64), group)
+                group = np.where(going, self.rest + own.slots(DEPTH, self.spread), group)
         return group, depth
 
 
@@ -168,10 +177,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBa
     for own in _read(batches):
         if not len(own.number):
             continue
-        linked = own.next
-        if groups.counters:
-            linked = linked & K.bit_set(groups.often, (own.prefix[1] % np.uint64(groups.counters)).astype(np.int64))
-        size = own.lengths(linked)
+        size = own.lengths(groups.pairs, groups.longer)
         group, depth = groups.of(own, size)
         # Word 0 stands for none.
         words = np.zeros((DEPTH, len(size)), np.int64)
@@ -263,13 +269,21 @@ def frequencies(docs: DataFrame, least: int = 30, lang_col: str = "lang", text_c
     counters, classes = min(counters, MOST_COUNTERS), min(MOST_CLASSES, power(max(PART, words // 4096)))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     budget = budget or max(1 << 14, min(1 << 20, words // (4 * partitions)), 8 * words // classes)
-    merged = rows.mapInArrow(lambda x: _tallies(x, counters, classes), "kind int, part int, data binary").repartition("kind", "part").mapInArrow(lambda x: _totals(x, least), "kind int, part int, data binary")
-    often, sizes = np.zeros(counters // 8, np.uint8), [np.zeros(classes, np.int64) for _ in range(DEPTH - 1)]
-    for r in merged.toLocalIterator():  # counters / 8 bytes and three numbers for each class, whatever the corpus
-        values = np.frombuffer(r["data"], np.int64 if r["kind"] else np.uint8)
-        to, step = (sizes[r["kind"] - 1], PART) if r["kind"] else (often, PART // 8)
-        to[r["part"] * step : r["part"] * step + len(values)] = values
-    shared = spark.sparkContext.broadcast(Groups(counters, classes, sizes, often, budget))
+
+    def summed(pairs: np.ndarray | None) -> tuple[np.ndarray, list[np.ndarray]]:
+        often, sizes = np.zeros(counters // 8, np.uint8), [np.zeros(classes, np.int64) for _ in range(DEPTH - 1)]
+        told = spark.sparkContext.broadcast(pairs)
+        made = rows.mapInArrow(lambda x: _tallies(x, counters, classes, told.value), "kind int, part int, data binary")
+        merged = made.repartition("kind", "part").mapInArrow(lambda x: _totals(x, least), "kind int, part int, data binary")
+        for r in merged.toLocalIterator():  # counters / 8 bytes and three numbers for each class, whatever the corpus
+            values = np.frombuffer(r["data"], np.int64 if r["kind"] else np.uint8)
+            to, step = (sizes[r["kind"] - 1], PART) if r["kind"] else (often, PART // 8)
+            to[r["part"] * step : r["part"] * step + len(values)] = values
+        return often, sizes
+
+    pairs = summed(None)[0]
+    longer, sizes = summed(pairs)
+    shared = spark.sparkContext.broadcast(Groups(classes, sizes, pairs, longer, budget))
     order = ", ".join(f"{w} string" for w in LEVELS)
     suffixes = rows.mapInArrow(lambda x: _suffixes(x, shared), f"part int, depth int, lang string, {order}, n long")
     nodes = suffixes.repartition("part").sortWithinPartitions("part", "lang", *LEVELS).mapInArrow(lambda x: _subtrees(x, least), "lang string, k int, phrase string, a long")
