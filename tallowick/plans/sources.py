@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallowick.functions.titles import Titles
+from tallowick.operators.order import placed
 from tallowick.plans.registry import pick, query, read, sql_pick
-from tallowick.sources import guide, load, playlist, remote, saved, wantlist
-from tallowick.storage import new_path
+from tallowick.plans.served import driver_host, serving, written_file
+from tallowick.sources import api, guide, load, playlist, remote, saved, wantlist
+from tallowick.storage import keep, new_path
 
 # What stands before the title of the n-th kind of playlist entry, and what after it; @ is the part's number.
 _HEADS = ('#EXTINF:-1 tvg-id="id.@" tvg-logo=\'l.png\' group-title="G T",', "#EXTINF:-1 TVG-ID = \"sp.@\" group-title=News,", '#EXTINF:-1 tvg-name="T@ @",', "#EXTINF:0,", "", '#EXTINF:-1 tvg-name="a,b",', '#EXTINF:-1 group-title="X",', "#EXTINF:-1,")
@@ -49,8 +51,8 @@ def panel_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT c_custkey AS id, c_name AS name FROM customer")
-def paged_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of a hundred rows, some of them objects with a link to the next, some bare lists."""
+def saved_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved pages of a hundred rows, some of them objects with a link to the next, some bare lists."""
     path = new_path(spark, "pages")
     rows = read(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 100).alias("page"), F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")).alias("x"))
     pages = rows.groupBy("page").agg(F.to_json(F.sort_array(F.collect_list("x"))).alias("list"))
@@ -59,6 +61,30 @@ def paged_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remote.read_pages(spark, path, "id:long,name:string")
 
 
+@query("SELECT c_custkey AS id, c_name AS name, how FROM customer, (VALUES ('counted'), ('linked')) v(how)")
+def paged_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A listing fetched page by page over HTTP: dealt out by its count, and followed from page to page; every fifth page fails once."""
+    path, failed = new_path(spark, "listing"), set()
+    customers = read(spark, sf_dir, "customer")
+    count = customers.count()
+    pages = placed(customers, "c_custkey").withColumn("page", F.floor((F.col("place") - 1) / 100) + 1).groupBy("page").agg(F.to_json(F.sort_array(F.collect_list(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))))).alias("value"))
+    pages.write.partitionBy("page").text(path)
+
+    def answer(asked: dict[str, str]) -> bytes | None:
+        page = int(asked["page"])
+        if page % 5 == 0 and (asked["how"], page) not in failed:
+            failed.add((asked["how"], page))
+            return None
+        body = written_file(spark, f"{path}/page={page}").strip() or b"[]"
+        total = b'"count": %d, ' % count if asked["how"] == "counted" else b""
+        return b"{" + total + b'"next": ' + (b'"more"' if page * 100 < count else b"null") + b', "results": ' + body + b"}"
+
+    with serving(answer, driver_host(spark)) as url:
+        reader = api.register(spark).read.format("tallowick_pages").schema("id long, name string").option("pageSize", 100).option("pause", 0.05)
+        both = [reader.option("url", f"{url}?how={how}").load().withColumn("how", F.lit(how)) for how in ("counted", "linked")]
+        return keep(both[0].unionByName(both[1]), "fetched")
+
+
 _ACCOUNTS = "SELECT range AS id, CASE range % 3 WHEN 0 THEN false WHEN 1 THEN true END AS is_active FROM range(1, 7)"
 
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import re
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallowick.operators import events, log
 from tallowick.plans.registry import query, read
+from tallowick.plans.served import driver_host, serving, written_file
+from tallowick.sources import api
 from tallowick.storage import new_path
 from tallowick.streaming import watch
 
@@ -65,6 +71,42 @@ def event_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.polled(read(spark, sf_dir, "events").selectExpr("event_id as id", "event_type"), 700, ("error", "view"))
 
 
+@query("SELECT event_id AS id, event_type AS type, greatest(CAST(700 AS BIGINT), max(event_id) OVER ()) AS mark FROM events WHERE event_id > 700 AND event_type IN ('error', 'view')")
+def event_poll(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The remote system's log polled as a stream from a mark on, stopped and started again half way; what counts, and the mark at the end."""
+    path, rows = new_path(spark, "polled"), read(spark, sf_dir, "events")
+    half = rows.agg(F.expr("floor(avg(event_id))")).first()[0]
+    logs = rows.groupBy(F.floor(F.col("event_id") / 500).alias("part")).agg(F.to_json(F.sort_array(F.collect_list(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type"))))).alias("value"))
+    logs.write.partitionBy("part").text(f"{path}/log")
+    top = int(rows.agg(F.coalesce(F.max("event_id"), F.lit(0))).first()[0])
+    shown = {"until": int(half or 0)}
+
+    def answer(asked: dict[str, str]) -> bytes:
+        after, part, found = int(asked["since"]), int(asked["since"]) // 500, []
+        while not found and part <= top // 500:
+            found = [e for e in json.loads(written_file(spark, f"{path}/log/part={part}") or b"[]") if after < e["id"] <= shown["until"]]
+            part += 1
+        return json.dumps({"events": found[: int(asked["limit"])]}).encode()
+
+    def counted(batch: DataFrame, number: int) -> None:
+        batch.filter("type in ('error', 'view')").write.mode("overwrite").parquet(f"{path}/events/batch={number}")
+
+    with serving(answer, driver_host(spark)) as url:
+        stream = api.register(spark).readStream.format("tallowick_events").schema("id long, type string").option("url", url).option("since", "true").option("mark", 700).load()
+        mark = 700
+        for until in (shown["until"], top):
+            shown["until"] = until
+            run = stream.writeStream.foreachBatch(counted).option("checkpointLocation", f"{path}/state").trigger(processingTime="0 seconds").start()
+            while run.isActive and mark < until:
+                time.sleep(0.2)
+                for progress in run.recentProgress:
+                    mark = max(mark, *map(int, re.findall(r"\d+", str(progress.sources[0].endOffset))), 0)
+            run.stop()
+            if run.exception():
+                raise run.exception()
+    return spark.read.schema("id long, type string").parquet(f"{path}/events/batch=*").withColumn("mark", F.lit(mark).cast("long"))
+
+
 @query("""WITH RECURSIVE e AS (SELECT user_id AS lane, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, event_id * 1.0::DOUBLE AS t FROM events),
 s AS (SELECT DISTINCT lane, 0::BIGINT AS i, NULL::DOUBLE AS til, 30.0::DOUBLE AS pause, NULL::DOUBLE AS seen, []::DOUBLE[] AS recent, NULL::DOUBLE AS at1, NULL::DOUBLE AS p FROM e
 UNION ALL SELECT lane, i, CASE WHEN trip THEN t + cur ELSE til END, CASE WHEN trip THEN least(300, cur * 2) WHEN cool THEN pause ELSE cur END, t, CASE WHEN trip THEN [] WHEN cool THEN recent ELSE now1 END, CASE WHEN trip THEN t END, CASE WHEN trip THEN cur END

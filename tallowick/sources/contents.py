@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from tallowick.sources.http import fetch
 from tallowick.storage import new_path
 
 GZIP = b"\x1f\x8b"
@@ -36,13 +37,10 @@ def contents(spark: SparkSession, path: str, timeout: int = 60) -> DataFrame:
             raise ValueError(f"can't read {path}: no such file or folder") from e
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import urllib.request
-
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"], strict=True):
                 if content is None:
-                    with urllib.request.urlopen(name, timeout=timeout) as answer:
-                        content = answer.read()
+                    content = fetch(name, timeout=timeout)
                 yield pd.DataFrame({"path": [name], "content": [_unpacked(bytes(content))]})
 
     return files.mapInPandas(read, "path string, content binary")
