@@ -46,6 +46,8 @@ from tallowick.llm import kernels as K
 from tallowick.llm.workspace import keep
 
 GRAM = 32
+#: a long text's windows are worked off by this many starts at a time, whose places have so many bits
+SEGMENT, PLACE = 1 << 19, np.uint64(20)
 SHALLOW = 2  # eight-byte words
 #: a minimizer with more kinds of rows than this is cut into ranges of this many places
 HOT, RANGE = 4096, 16
@@ -74,14 +76,13 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 def _runs(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Row, begin, number of starts, place of the minimizer, its hash, for each run of starts with one minimizer."""
-    none = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
+    none = (*(np.zeros(0, np.int64),) * 4, np.zeros(0, np.uint64))
     if len(data) < length:
         return none
     h = _gram_hashes(data)
-    # The place breaks ties; only the high bits of the hash take part in the choice.
-    place = np.uint64(np.arange(len(h)).max().item().bit_length())
-    packed = h >> place << place | np.arange(len(h), dtype=np.uint64)
-    at = (_least(packed, length - GRAM + 1) & ((np.uint64(1) << place) - np.uint64(1))).astype(np.int64)
+    # The place breaks ties.  As many bits of the hash take part in the choice wherever a window stands.
+    packed = h >> PLACE << PLACE | np.arange(len(h), dtype=np.uint64)
+    at = (_least(packed, length - GRAM + 1) & ((np.uint64(1) << PLACE) - np.uint64(1))).astype(np.int64)
     row = np.searchsorted(offs, np.arange(len(at)), side="right") - 1
     whole = np.arange(len(at)) + length <= offs[row + 1]
     if not whole.any():
@@ -95,17 +96,26 @@ def _runs(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray,
     return of[first], start[first], count, own[first], h[own[first]]
 
 
+def _all_runs(data: np.ndarray, offs: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """``_runs`` of overlapping segments, so that what is held besides the texts doesn't grow with a long one."""
+    if length > SEGMENT:
+        raise ValueError(f"strings of {length} bytes are too long, {SEGMENT} at most")
+    for b in range(0, max(1, len(data) - length + 1), SEGMENT):
+        part = data[b : b + SEGMENT + length - 1]
+        row, begin, starts, at, key = _runs(part, np.clip(offs - b, 0, len(part)), length)
+        if len(row):
+            yield row, begin + b, starts, at + b, key
+
+
 def _rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in K.pieces(batch, "text"):
             data, offs = K.flat(part.column("text"))
-            row, begin, starts, at, key = _runs(data, offs, length)
-            if not len(row):
-                continue
-            raw = memoryview(data.tobytes())
-            kind = np.array([xxhash.xxh3_64_intdigest(raw[b : b + n + length - 1], seed=a - b) for b, n, a in zip(begin.tolist(), starts.tolist(), at.tolist(), strict=True)], np.uint64)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([part.column("doc").take(take), pa.array(begin - offs[row], pa.int32()), pa.array(starts, pa.int32()), pa.array(at - begin, pa.int32()), pa.array(key.view(np.int64)), pa.array(kind.view(np.int64))], ["doc", "begin", "starts", "at", "key", "kind"])
+            raw = memoryview(data)
+            for row, begin, starts, at, key in _all_runs(data, offs, length):
+                kind = np.array([xxhash.xxh3_64_intdigest(raw[b : b + n + length - 1], seed=a - b) for b, n, a in zip(begin.tolist(), starts.tolist(), at.tolist(), strict=True)], np.uint64)
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([part.column("doc").take(take), pa.array(begin - offs[row], pa.int32()), pa.array(starts, pa.int32()), pa.array(at - begin, pa.int32()), pa.array(key.view(np.int64)), pa.array(kind.view(np.int64))], ["doc", "begin", "starts", "at", "key", "kind"])
 
 
 def common_prefix(a: bytes, b: bytes) -> int:

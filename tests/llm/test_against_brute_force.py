@@ -83,6 +83,37 @@ def test_repeated_bytes(spark, monkeypatch, hot):
     assert [rows[i] for i in range(len(texts))] == brute.repeated_bytes(texts, 40)
 
 
+def test_minimizers_do_not_depend_on_what_stands_around_a_text(monkeypatch):
+    rng = random.Random(31)
+    text = np.frombuffer((prose(rng, 900) + "ab" * 500 + "c" * 900 + prose(rng, 300)).encode(), np.uint8)
+    other = np.frombuffer(prose(rng, 400_000).encode(), np.uint8)
+
+    def placed(before, after):
+        data, offs = np.concatenate([before, text, after]), np.cumsum([0, len(before), len(text), len(after)])
+        found = set()
+        for row, begin, starts, at, key in suffix_dedup._all_runs(data, offs, 400):
+            for r, b, n, a, k in zip(row, begin, starts, at, key, strict=True):
+                if r == 1:
+                    found |= {(int(b - len(before)) + i, int(a - len(before)), int(k)) for i in range(n)}
+        return found
+
+    want = placed(other[:0], other[:0])
+    assert {x for x, _, _ in want} == set(range(len(text) - 399))
+    for before, after in ((other[:0], other), (other[:700_001], other[:0]), (other[:1_000_003], other[:9])):
+        assert placed(before, after) == want
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 1009)
+    assert placed(other[:5000], other[:77]) == want
+
+
+def test_repeated_bytes_of_texts_longer_than_a_segment(spark):
+    rng = random.Random(32)
+    shared = prose(rng, 60)
+    texts = [prose(rng, 60_000) + shared + prose(rng, 30_000), shared[7:], prose(rng, 80), shared + shared[:50]]
+    assert len(texts[0]) > suffix_dedup.SEGMENT
+    rows = {r.id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(frame(spark, texts), length=80).collect()}
+    assert [rows[i] for i in range(len(texts))] == brute.repeated_bytes(texts, 80)
+
+
 def test_repeated_rows_and_ids_repeat_each_other(spark):
     texts = ["q" * 10 + prose(random.Random(4), 90)] * 2 + ["other text"]
     rows = suffix_dedup.remove_repeats(frame(spark, texts, [1, 1, None])).collect()
