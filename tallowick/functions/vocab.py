@@ -2,17 +2,23 @@
 
 # Fixed values, in the order in which they are usually listed.
 QUALITY_TAGS = (
-    "UHD FHD QHD HD SD 4K 8K 1080P 1080I 720P 576P 480P 2160P 3840P 7680P HEVC H265 H264 X265 X264 AVC "
-    "MPEG2 RAW LQ HQ MULTIAUDIO MULTI BACKUP ALT VIP PLUS PREMIUM SOURCE FEED TEST"
-).split()
+    "UHD", "FHD", "QHD", "HD", "SD", "4K", "8K", "1080P", "1080I", "720P", "576P", "480P", "2160P", "3840P", "7680P", "HEVC", "H265", "H264", "X265",
+    "X264", "AVC", "MPEG2", "RAW", "LQ", "HQ", "MULTIAUDIO", "MULTI", "BACKUP", "ALT", "VIP", "PLUS", "PREMIUM", "SOURCE", "FEED", "TEST",
+)
 # Fixed values.
-REGION_TAGS = "UK GB IE US USA CA AU NZ DE FR ES IT NL PT PL SE NO DK FI TR IN PK AR BR MX ZA EX EXYU AF ASIA LATINO ARB INT".split()
+REGION_TAGS = (
+    "UK", "GB", "IE", "US", "USA", "CA", "AU", "NZ", "DE", "FR", "ES", "IT", "NL", "PT", "PL", "SE", "NO", "DK", "FI", "TR", "IN", "PK", "AR", "BR",
+    "MX", "ZA", "EX", "EXYU", "AF", "ASIA", "LATINO", "ARB", "INT",
+)
 # Two spellings of one country
 REGION_SYNONYMS = {"USA": "US", "GB": "UK"}
 # Country codes as they stand in brackets or as a word of a group's title; those not listed here stand for themselves
-CODE_SYNONYMS = {"GB": "UK", "USA": "US", "CAN": "CA"}
-CODES = "UK US CA MX AR BR CO CL PE EC VE PA UY PY BO DO PT ES IT FR DE NL PL AT RO RU SE NO DK FI TR IN PK ZA AU NZ DZ".split()
-COUNTRY_CODES = {c: c for c in CODES} | CODE_SYNONYMS
+COUNTRY_CODES = {
+    "UK": "UK", "US": "US", "CA": "CA", "MX": "MX", "AR": "AR", "BR": "BR", "CO": "CO", "CL": "CL", "PE": "PE", "EC": "EC", "VE": "VE", "PA":
+    "PA", "UY": "UY", "PY": "PY", "BO": "BO", "DO": "DO", "PT": "PT", "ES": "ES", "IT": "IT", "FR": "FR", "DE": "DE", "NL": "NL", "PL": "PL",
+    "AT": "AT", "RO": "RO", "RU": "RU", "SE": "SE", "NO": "NO", "DK": "DK", "FI": "FI", "TR": "TR", "IN": "IN", "PK": "PK", "ZA": "ZA", "AU":
+    "AU", "NZ": "NZ", "DZ": "DZ", "GB": "UK", "USA": "US", "CAN": "CA",
+}
 # Fixed values.
 COUNTRY_NAMES = {
     "UNITED KINGDOM": "UK", "UK ENTERTAINMENT": "UK", "GREAT BRITAIN": "UK", "UNITED STATES": "US", "US ENTERTAINMENT": "US", "USA ENTERTAINMENT": "US",
