@@ -14,7 +14,7 @@ from tallowick.plans.registry import query, read
 from tallowick.plans.served import driver_host, serving, written_file
 from tallowick.sources import api
 from tallowick.storage import new_path
-from tallowick.streaming import watch
+from tallowick.streaming import timers, watch
 
 _WATCH_SQL = """WITH RECURSIVE e AS (SELECT user_id AS u, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, CASE WHEN event_type = 'error' THEN 'event' WHEN event_id % 50 = 0 THEN 'bad' ELSE 'ok' END AS kind, event_id * 100.0::DOUBLE AS at1, CASE WHEN user_id % 10 <> 0 THEN 'p' || user_id END AS prim FROM events WHERE event_id > 0),
 s AS (SELECT DISTINCT u, 0::BIGINT AS i, 0 AS pending, ''::VARCHAR AS demoted, 0.0::DOUBLE AS flagged, 0.0::DOUBLE AS every, 0.0::DOUBLE AS due, 0.0::DOUBLE AS since, NULL::VARCHAR AS action, 0.0::DOUBLE AS at1 FROM e
@@ -42,6 +42,26 @@ def watch_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(watch.OUTPUT).parquet(f"{out}/actions/batch=*").withColumn("channel_key", F.col("channel_key").cast("long"))
 
 
+_LAST_SQL = _WATCH_SQL.replace("SELECT u AS channel_key, at1 AS at, action, demoted, due AS next_check FROM s WHERE action IS NOT NULL", "")
+
+
+@query(_WATCH_SQL + f"""
+UNION ALL SELECT u, due, 'check', demoted, due + 180 FROM ({_LAST_SQL} SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY u ORDER BY i DESC) = 1)
+WHERE flagged > 0 AND due <= (SELECT max(event_id) * 100 FROM events)""")
+def watch_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same stream with timers: channels whose next check is due by the stream's own time wake up by themselves."""
+    rows = _rows(spark, sf_dir, spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/[e]vents.parquet"))
+    out = new_path(spark, "timers")
+
+    def add(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/actions/batch={number}")
+
+    with timers.state_store(spark):
+        run = timers.watched(rows, threshold=3).writeStream.outputMode("append").foreachBatch(add).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(watch.OUTPUT).parquet(f"{out}/actions/batch=*").withColumn("channel_key", F.col("channel_key").cast("long"))
+
+
 def _watched(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("o_orderkey")
     return read(spark, sf_dir, "orders").select(i.alias("channel_key"), F.when(i % 3 != 0, i.cast("double")).otherwise(0.0).alias("flagged_at"), (i * 1.0).alias("next_check"), (i % 4 * 900.0).alias("interval"))

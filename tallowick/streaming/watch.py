@@ -59,40 +59,25 @@ def step(state: Watch, kind: str, at: float, primary: str | None, threshold: int
     return replace(state, stable_since=since, interval=interval, next_check=at + interval), "recheck"
 
 
-def watch(rows: DataFrame, threshold: int = 1, timers: bool = False) -> DataFrame:
-    """Actions from a stream of ``channel_key, kind, at, primary`` with a watermark or none.
-
-    With ``timers`` a watched channel also wakes up by itself: when its next check is due, an action
-    ``check`` is emitted and the check put off by ``PROBING`` seconds, until its result
-    comes in.
-    """
+def watch(rows: DataFrame, threshold: int = 1) -> DataFrame:
+    """Actions from a stream of ``channel_key, kind, at, primary`` with a watermark or none; ``timers.watched`` also has the checks that are due."""
 
     def run(key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = Watch(*state.get) if state.exists else Watch()
         out = []
-        if state.hasTimedOut:
-            clock = state.getCurrentProcessingTimeMs() / 1000
-            if now.flagged_at and clock >= now.next_check:
-                now = replace(now, next_check=clock + PROBING)
-                out.append((key[0], clock, "check", now.demoted, now.next_check))
-        else:
-            for part in parts:
-                for r in part.sort_values("at", kind="stable").itertuples():
-                    now, action = step(now, r.kind, float(r.at), r.primary if isinstance(r.primary, str) and r.primary else None, threshold)
-                    if action:
-                        out.append((key[0], float(r.at), action, now.demoted, now.next_check))
-        if now == Watch():
-            if state.exists:
-                state.remove()
-        else:
+        # All rows of the key, which may come in several chunks.
+        for r in pd.concat(list(parts)).sort_values("at", kind="stable").itertuples():
+            now, action = step(now, r.kind, float(r.at), r.primary if isinstance(r.primary, str) and r.primary else None, threshold)
+            if action:
+                out.append((key[0], float(r.at), action, now.demoted, now.next_check))
+        if now != Watch():
             state.update(tuple(asdict(now).values()))
-            if timers and now.flagged_at:
-                clock = state.getCurrentProcessingTimeMs() / 1000
-                state.setTimeoutDuration(max(1, int(1000 * (now.next_check - clock))))
+        elif state.exists:
+            state.remove()
         if out:
             yield pd.DataFrame(out, columns=["channel_key", "at", "action", "demoted", "next_check"])
 
-    return rows.groupBy("channel_key").applyInPandasWithState(run, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if timers else GroupStateTimeout.NoTimeout)
+    return rows.groupBy("channel_key").applyInPandasWithState(run, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def due(states: DataFrame, now: float) -> DataFrame:
