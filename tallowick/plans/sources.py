@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from tallowick.functions.titles import Titles
 from tallowick.operators.order import placed
 from tallowick.plans.registry import pick, query, read, sql_pick
 from tallowick.plans.served import driver_host, serving, written_file
-from tallowick.sources import api, guide, load, playlist, remote, saved, wantlist
+from tallowick.sources import api, files, guide, load, playlist, remote, saved, wantlist
 from tallowick.storage import keep, new_path
 
 # What stands before the title of the n-th kind of playlist entry, and what after it; @ is the part's number.
@@ -120,16 +122,10 @@ def guide_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = n.select(F.concat(F.lit("c"), k).alias("guide_id"), F.concat("n_name", F.lit(" & Co")).alias("name"), k.cast("long").alias("chan_pos"))
     again = n.filter("n_nationkey % 2 = 0").select(F.concat(F.lit("c"), k).alias("guide_id"), F.concat(F.lit("Alt <"), k, F.lit(">")).alias("name"), (k + 100).cast("long").alias("chan_pos"))
     shows = read(spark, sf_dir, "events").select(F.concat(F.lit("c"), F.col("user_id") % 25).alias("guide_id"), F.col("ts").alias("start"), F.when(F.col("event_id") % 2 == 0, F.col("ts") + F.expr("interval 1 hour")).alias("stop"), F.col("event_type").alias("title"), F.col("event_id").alias("prog_pos"))
-    text, path = new_path(spark, "guide-text"), new_path(spark, "guide")
-    guide.written(heads.unionByName(again), shows).select("value").coalesce(1).write.option("compression", "gzip").text(text)
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(text).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(fs_path(path))
-    for i, name in enumerate(spark.read.format("binaryFile").load(text).select("path").collect()):  # one file
-        fs.rename(fs_path(name[0]), fs_path(f"{path}/{i}.xml"))
-    plain = guide.readable(spark, path)
-    channels = guide.joined_names(guide.read_channels(spark, plain).withColumn("chan_pos", F.monotonically_increasing_id()))
-    programmes = guide.read_programmes(spark, plain).groupBy("guide_id").agg(F.count("*").alias("programmes"), F.date_format(F.min("start"), "yyyy-MM-dd HH:mm:ss").alias("first_start"))
+    path = files.one_file(guide.written(heads.unionByName(again), shows).select("value"), new_path(spark, "guide") + "/all.xml", "gzip")
+    rows = keep(guide.scan(spark, path), "guide-rows")
+    channels = guide.joined_names(guide.channels(rows))
+    programmes = guide.programmes(rows).groupBy("guide_id").agg(F.count("*").alias("programmes"), F.date_format(F.min("start"), "yyyy-MM-dd HH:mm:ss").alias("first_start"))
     return channels.join(programmes, "guide_id").select("guide_id", "names", "programmes", "first_start")
 
 
@@ -185,16 +181,38 @@ def lineup_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'run-' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS run, n_name AS name, n_nationkey % 3 <> 0 AS finished FROM nation")
 def run_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_path(spark, "runs")
     n = read(spark, sf_dir, "nation")
-    rows = n.select(F.concat(F.lit("run-"), F.lpad(F.col("n_nationkey").cast("string"), 3, "0")).alias("run"), F.to_json(F.struct(F.col("n_name").alias("name"), (F.col("n_nationkey") % 3 != 0).alias("finished"))).alias("value"))
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    for r in rows.collect():  # a run's few fields, as a run writes them
-        out = fs.create(fs_path(f"{path}/{r['run']}/run.json"))
-        out.write(bytearray(r["value"].encode()))
-        out.close()
-    return saved.runs(spark, path, "name string, finished boolean")
+    rows = n.select(F.concat(F.lit("run-"), F.lpad(F.col("n_nationkey").cast("string"), 3, "0")).alias("name"), F.to_json(F.struct(F.col("n_name").alias("name"), (F.col("n_nationkey") % 3 != 0).alias("finished"))).alias("value"))
+    return saved.runs(spark, files.named_files(rows, new_path(spark, "runs"), "@/run.json"), "name string, finished boolean")
+
+
+@query(f"WITH {_LIST_SQL} SELECT 'list-' || list || '.txt' AS name, count(*) AS lines FROM g GROUP BY list")
+def saved_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wanted lists saved as a file each, and how many entries each has, headers and comments apart."""
+    rows = _list_lines(spark, sf_dir).select(F.col("list").cast("string").alias("name"), "line_no", "value")
+    return saved.lists(spark, files.named_files(rows, new_path(spark, "lists"), "list-@.txt"))
+
+
+@query("SELECT r_regionkey, CAST(r AS INT) AS reader, r_name || '!' AS r_name FROM region, range(1, 5) t(r)")
+def guide_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four readers at once of a table that is out of date: one fetches it, and a fetch that fails or brings nothing leaves it as it is."""
+    r, made = read(spark, sf_dir, "region"), []
+    kept = saved.Snapshots(spark, new_path(spark, "guides"))
+
+    def fetched() -> DataFrame:
+        made.append(1)
+        return r.select("r_regionkey", F.concat("r_name", F.lit("!")).alias("r_name"))
+
+    def fails() -> DataFrame:
+        raise OSError("no answer")
+
+    with ThreadPoolExecutor(4) as readers:
+        list(readers.map(lambda i: kept.read("http://h/guide", 60, fetched).count(), range(4)))
+    if len(made) != 1:
+        raise AssertionError(f"fetched {len(made)} times")
+    kept.read("http://h/guide", 0, fails, now=4e9)
+    rows = kept.read("http://h/guide", 0, lambda: r.limit(0).select("r_regionkey", "r_name"), good=lambda x: not x.isEmpty(), now=4e9)
+    return rows.select("r_regionkey", F.explode(F.array(*map(F.lit, range(1, 5)))).alias("reader"), "r_name")
 
 
 @query("SELECT r_regionkey, r_name || '!' AS r_name FROM region")

@@ -1,21 +1,21 @@
 """Playlists: reading ``#EXTM3U`` files and writing them.
 
-A file is one row of text lines, parsed in an Arrow batch: entries depend on the lines
-before them, back to the last entry, and playlists are small files of which there may
-be many.
+A file is one task's work, read line by line: entries depend on the lines before them, back to
+the last entry.  What a task holds doesn't grow with the file.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallowick.sources.contents import contents
+from tallowick.sources.contents import lines, over_files
 
 SCHEMA = "file string, src_pos long, id string, name string, url string, group string, logo string, tvg_id string, attrs map<string,string>"
 # How an attribute and an address are written in playlists.
@@ -27,14 +27,14 @@ def looks_like_playlist(text: str) -> bool:
     return text[:4096].lstrip("﻿ \t\r\n").upper().startswith("#EXTM3U")
 
 
-def entries(text: str) -> Iterator[dict]:
-    """The streams of a playlist in order.
+def entries(lines: Iterable[str]) -> Iterator[dict]:
+    """The streams of a playlist's lines in order.
 
     The title follows the first comma of an ``#EXTINF`` line, even one within quotes; a
     line that is no URL drops what the lines before it announced.
     """
     title, attrs, group = "", {}, ""
-    for line in (x.strip() for x in text.lstrip("﻿").splitlines()):
+    for line in (x.strip().lstrip("\ufeff") for x in lines):
         if not line:
             continue
         if line.startswith("#"):
@@ -54,25 +54,23 @@ def entries(text: str) -> Iterator[dict]:
         title, attrs, group = "", {}, ""
 
 
-def parsed(files: DataFrame) -> DataFrame:
-    """One row for each stream of each file of ``path, content``, undecodable bytes replaced."""
+def _rows(file: str, parts: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    kinds = {"src_pos": pa.int64(), "attrs": pa.map_(pa.string(), pa.string())}
+    streams = ({"file": file, "src_pos": i} | e for i, e in enumerate(entries(lines(parts))))
+    while rows := list(itertools.islice(streams, 4096)):
+        yield pa.RecordBatch.from_arrays([pa.array([list(r[c].items()) if c == "attrs" else r[c] for r in rows], kinds.get(c, pa.string())) for c in names], names)
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for file, content in zip(batch["path"], batch["content"], strict=True):
-                rows = [{"file": file, "src_pos": i} | e for i, e in enumerate(entries(bytes(content).decode("utf-8", "replace")))]
-                if rows:
-                    yield pd.DataFrame(rows)[[c.split()[0] for c in SCHEMA.split(", ")]]
 
-    return files.select("path", "content").mapInPandas(parse, SCHEMA)
+def _heads(file: str, parts: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+    if looks_like_playlist(next(parts, b"")[:4096].decode("utf-8", "replace")):
+        yield pa.RecordBatch.from_arrays([pa.array([file])], ["file"])
 
 
 def read_playlists(spark: SparkSession, path: str) -> DataFrame:
     """The streams of all files below ``path``, packed by gzip or not; an error if there are none and no file is a playlist."""
-    files = contents(spark, path)
-    rows = parsed(files)
-    playlist = F.decode(F.substring("content", 1, 4096), "ISO-8859-1").rlike("(?i)^[\\xEF\\xBB\\xBF \\t\\r\\n]*#EXTM3U")
-    if rows.isEmpty() and files.filter(playlist).isEmpty():
+    rows = over_files(spark, path, _rows, SCHEMA)
+    if rows.isEmpty() and over_files(spark, path, _heads, "file string").isEmpty():
         raise ValueError(f"no playlist at {path}")
     return rows
 

@@ -176,8 +176,8 @@ def test_sources_say_what_is_wrong(spark, tmp_path):
     (tmp_path / "lineup.json").write_text('{"channels": []}')
     with pytest.raises(ValueError, match="categories"):
         wantlist.reference_lineup(spark, f"file://{tmp_path}/lineup.json", Titles())
-    with pytest.raises(ValueError, match="no such file"):
-        guide_files.readable(spark, f"file://{tmp_path}/empty")
+    with pytest.raises(Exception, match="is no guide"):
+        guide_files.scan(spark, f"file://{tmp_path}/empty").collect()
 
 
 def test_lines_that_are_no_entries(spark):
