@@ -8,10 +8,9 @@ is sorted and read as a subtree of its own, from left to right, with one open pa
 memory; a node's frequency is the total of the leaves below it.  Nodes shorter than their
 group's prefix are found in several groups and are summed up.
 
-Suffixes end where no candidate can go on: before a pair of words, and before the third or
-fourth word of a phrase, whose counter stays below ``least``.  The counters are sums over the
-corpus by hash, of pairs in a first pass, of longer phrases of frequent pairs in a second one,
-which also counts the prefix classes.  Collisions only add to a counter, so nothing is
+Suffixes end where no candidate can go on: before the word of a phrase whose counter stays below
+``least``.  The counters are sums over the corpus by hash, of words and pairs in a first
+pass, of longer phrases of frequent pairs in a second one, which also counts the prefix classes.  Collisions only add to a counter, so nothing is
 lost.  All are bounded, ``MOST_COUNTERS`` bytes a pass and ``MOST_CLASSES`` numbers a level; beyond
 some 2 billion words the counters are left out and all suffixes are shuffled, with the
 same result.
@@ -41,6 +40,8 @@ BATCH = 1 << 22
 MOST_COUNTERS, MOST_CLASSES = 1 << 26, 1 << 22
 #: counters and class sizes travel in parts of so many bytes and numbers
 PART = 1 << 16
+#: different suffixes that a task holds to add up equal ones
+HELD = 1 << 20
 LEVELS = tuple(f"w{i + 1}" for i in range(DEPTH))
 
 _CUT = K.LOWER.copy()
@@ -85,9 +86,10 @@ class Words:
         return (self.prefix[words - 1] % np.uint64(counters)).astype(np.int64)
 
     def lengths(self, pairs: np.ndarray | None = None, longer: np.ndarray | None = None) -> np.ndarray:
-        """Words of each suffix, up to the end of its piece or before a phrase that isn't frequent by the counters given."""
-        linked = self.next if pairs is None else self.next & self.often(2, pairs)
-        size, reach = 1 + linked, linked
+        """Words of each suffix, up to the end of its piece or before a phrase that isn't frequent by the counters given; none of a rare word."""
+        known = np.ones(len(self.next), bool) if pairs is None else self.often(1, pairs)
+        linked = self.next & known if pairs is None else self.next & known & self.often(2, pairs)
+        size, reach = known.astype(np.int64) + linked, linked
         for n in range(1, DEPTH - 1):
             ahead = np.zeros(len(linked), bool)
             ahead[:-n] = linked[n:]
@@ -110,7 +112,7 @@ def _parts(kind: int, values: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
 
 
 def _tallies(batches: Iterator[pa.RecordBatch], counters: int, classes: int, pairs: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Counters of one task (kind 0): of pairs, or with ``pairs`` of longer phrases of these; then also the sizes of each level's prefix classes."""
+    """Counters of one task (kind 0): of words and pairs, or with these of longer phrases; then also the sizes of each level's prefix classes."""
     seen = np.zeros(counters, np.uint8)
     sizes = [np.zeros(classes, np.int64) for _ in range(DEPTH - 1)] if pairs is not None else []
     for own in _read(batches):
@@ -118,7 +120,7 @@ def _tallies(batches: Iterator[pa.RecordBatch], counters: int, classes: int, pai
         for level, size in enumerate(sizes, 1):
             size += np.bincount(own.slots(level, classes)[longest >= level], minlength=classes)
         if counters:
-            kinds = (2,) if pairs is None else range(3, DEPTH + 1)
+            kinds = (1, 2) if pairs is None else range(3, DEPTH + 1)
             at, times = np.unique(np.concatenate([own.slots(k, counters)[longest >= k] for k in kinds]), return_counts=True)
             seen[at] = np.minimum(seen[at] + times, 255)
     rows = [*_parts(0, seen), *(x for i, s in enumerate(sizes) for x in _parts(i + 1, s))]
@@ -170,36 +172,67 @@ class Groups:
         return group, depth
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """The different suffixes of a batch with their numbers."""
-    groups: Groups = shared.value
-    none = pa.array([b""], pa.binary())
-    for own in _read(batches):
-        if not len(own.number):
-            continue
-        size = own.lengths(groups.pairs, groups.longer)
-        group, depth = groups.of(own, size)
-        # Word 0 stands for none.
-        words = np.zeros((DEPTH, len(size)), np.int64)
+class Held:
+    """Different suffixes of a task as numbers of words, added up."""
+
+    def __init__(self) -> None:
+        self.words: dict[bytes, int] = {b"": 0}
+        self.langs: dict[str, int] = {}
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def add(self, own: Words, size: np.ndarray, group: np.ndarray, depth: np.ndarray) -> None:
+        local = np.zeros((DEPTH, len(size)), np.int64)  # 0 stands for no word
         for i in range(DEPTH):
             there = np.flatnonzero(size > i)
-            words[i, there] = own.number[there + i] + 1
-        high, low = own.lang << 32 | words[0], words[1] << 32 | words[2]
-        order = np.lexsort((words[3], low, high))
+            local[i, there] = own.number[there + i] + 1
+        used = np.unique(local)
+        used = used[used > 0]
+        number = np.zeros(len(own.dictionary) + 1, np.int64)
+        number[used] = [self.words.setdefault(w, len(self.words)) for w in own.dictionary.take(pa.array(used - 1)).to_pylist()]
+        lang = np.array([self.langs.setdefault(x, len(self.langs)) for x in own.langs.to_pylist()], np.int64)
+        words = number[local]
+        self._keep((lang[own.lang] << 32 | words[0], words[1] << 32 | words[2], words[3], group.astype(np.int32), depth.astype(np.int32), np.ones(len(size), np.int64)))
+
+    def _keep(self, part: tuple[np.ndarray, ...]) -> None:
+        """One row for each suffix; its group and depth follow from it."""
+        high, low, last, *_ = part
+        order = np.lexsort((last, low, high))
         same = np.ones(max(len(order) - 1, 0), bool)
-        for key in (high[order], low[order], words[3][order]):
+        for key in (high[order], low[order], last[order]):
             same &= key[1:] == key[:-1]
-        first = np.flatnonzero(np.append(True, ~same))
+        first = np.flatnonzero(np.append(True, ~same)) if len(order) else order
         pick = order[first]
-        names = pa.concat_arrays([none, own.dictionary])
-        columns = [names.take(pa.array(words[i, pick])).view(pa.string()) for i in range(DEPTH)]
-        counts = np.diff(np.append(first, len(order)))
-        for i in range(0, len(pick), 1 << 16):
-            part = slice(i, i + (1 << 16))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(group[pick[part]], pa.int32()), pa.array(depth[pick[part]], pa.int32()), own.langs.take(pa.array(own.lang[pick[part]])), *(c.slice(i, 1 << 16) for c in columns), pa.array(counts[part], pa.int64())],
-                ["part", "depth", "lang", *LEVELS, "n"],
-            )
+        self.parts.append((*(x[pick] for x in part[:-1]), np.add.reduceat(part[-1][order], first) if len(first) else part[-1]))
+        self.size += len(pick)
+
+    def sums(self) -> Iterator[pa.RecordBatch]:
+        """What is held, each suffix once; then nothing is."""
+        parts, self.parts, self.size = self.parts, [], 0
+        if len(parts) > 1:
+            self._keep(tuple(np.concatenate(x) for x in zip(*parts, strict=True)))
+            parts, self.parts, self.size = self.parts, [], 0
+        names, langs = pa.array(list(self.words), pa.binary()), pa.array(list(self.langs), pa.string())
+        mask = (1 << 32) - 1
+        for part in parts:
+            for i in range(0, len(part[0]), 1 << 16):
+                high, low, last, group, depth, n = (x[i : i + (1 << 16)] for x in part)
+                columns = [names.take(pa.array(w)).view(pa.string()) for w in (high & mask, low >> 32, low & mask, last)]
+                yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(depth), langs.take(pa.array(high >> 32)), *columns, pa.array(n)], ["part", "depth", "lang", *LEVELS, "n"])
+        self.words, self.langs = {b"": 0}, {}
+
+
+def _suffixes(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """The different suffixes of a task with their numbers, summed up over about ``HELD`` of them; those of rare words count for their language only."""
+    groups: Groups = shared.value
+    held = Held()
+    for own in _read(batches):
+        if len(own.number):
+            size = own.lengths(groups.pairs, groups.longer)
+            held.add(own, size, *groups.of(own, size))
+            if held.size >= HELD:
+                yield from held.sums()
+    yield from held.sums()
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
