@@ -14,7 +14,7 @@ from tallowick.plans.registry import query, read
 from tallowick.plans.served import driver_host, serving, written_file
 from tallowick.sources import api
 from tallowick.storage import new_path
-from tallowick.streaming import timers, watch
+from tallowick.streaming import lanes, timers, watch
 
 _WATCH_SQL = """WITH RECURSIVE e AS (SELECT user_id AS u, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, CASE WHEN event_type = 'error' THEN 'event' WHEN event_id % 50 = 0 THEN 'bad' ELSE 'ok' END AS kind, event_id * 100.0::DOUBLE AS at1, CASE WHEN user_id % 10 <> 0 THEN 'p' || user_id END AS prim FROM events WHERE event_id > 0),
 s AS (SELECT DISTINCT u, 0::BIGINT AS i, 0 AS pending, ''::VARCHAR AS demoted, 0.0::DOUBLE AS flagged, 0.0::DOUBLE AS every, 0.0::DOUBLE AS due, 0.0::DOUBLE AS since, NULL::VARCHAR AS action, 0.0::DOUBLE AS at1 FROM e
@@ -135,7 +135,7 @@ SELECT lane, at1 AS at, p AS pause FROM s WHERE at1 IS NOT NULL""")
 def rate_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Refusals of each provider's lane in order: when to pause, and how long."""
     rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("lane"), F.col("event_id").alias("at"))
-    return watch.rate_trips(rows.withColumn("lane", F.col("lane").cast("string"))).withColumn("lane", F.col("lane").cast("long"))
+    return lanes.rate_trips(rows.withColumn("lane", F.col("lane").cast("string"))).withColumn("lane", F.col("lane").cast("long"))
 
 
 @query("SELECT event_id AS job FROM events WHERE event_id % 2 = 0 AND event_id NOT IN (SELECT event_id FROM events WHERE event_id % 6 = 0)")

@@ -14,8 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tallowick.operators.slices import running
-
 FIRST_INTERVAL, LONGEST, STABLE, PROBING = 900.0, 21_600.0, 72 * 3600.0, 180.0
 
 
@@ -111,44 +109,3 @@ def on_batches(rows: DataFrame, path: str, threshold: int = 1):
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return watch(rows, threshold).writeStream.outputMode("append").foreachBatch(add)
-
-
-def trips(times: Iterable[float], least: int = 3, window: float = 60.0, first: float = 30.0, longest: float = 300.0, quiet: float = 180.0) -> list[tuple[float, float]]:
-    """When a provider's refusals call for a pause, and how long: doubling, and back to the first after quiet.
-
-    Every pause clears what was counted, and nothing counts during one.
-    """
-    recent: list[float] = []
-    out: list[tuple[float, float]] = []
-    until, pause, last = float("-inf"), first, float("-inf")
-    for t in sorted(times):
-        if t < until:
-            last = t
-            continue
-        if t - last > quiet:
-            pause = first
-        last = t
-        recent = [x for x in recent if t - x <= window] + [t]
-        if len(recent) >= least:
-            out.append((t, pause))
-            until, pause, recent = t + pause, min(longest, pause * 2), []
-    return out
-
-
-def rate_trips(refusals: DataFrame, lane: str = "lane", at: str = "at", longest: float = 300.0) -> DataFrame:
-    """``trips`` for each provider's lane of refusals.
-
-    After more than the ``longest`` pause without a refusal nothing of what was before counts: any
-    pause is over, and the next is a first one.  So a lane is cut there, and its stretches are
-    worked off by different tasks.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = trips(pdf["at"].tolist(), longest=longest)
-        return pd.DataFrame({"lane": pdf["lane"].iloc[0], "at": [t for t, _ in found], "pause": [p for _, p in found]}, columns=["lane", "at", "pause"])
-
-    rows = refusals.selectExpr(f"{lane} as lane", f"cast({at} as double) as at")
-    gaps = running(rows, ["lane"], ["at"], before=("last", F.col("at")))
-    opens = F.col("before").isNull() | (F.col("at") - F.col("before") > longest)
-    cut = running(gaps.withColumn("opened", F.when(opens, F.col("at"))), ["lane"], ["at"], since=("last", F.col("opened")))
-    return cut.withColumn("stretch", F.coalesce("opened", "since")).groupBy("lane", "stretch").applyInPandas(run, "lane string, at double, pause double")

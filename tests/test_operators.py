@@ -9,7 +9,7 @@ from tallowick.operators import events, export, frames, guide, log, match, rank
 from tallowick.operators.components import connected_components
 from tallowick.sources import guide as guide_files
 from tallowick.sources import playlist, wantlist
-from tallowick.streaming import watch
+from tallowick.streaming import lanes, watch
 
 
 def test_components(spark):
@@ -132,7 +132,7 @@ def test_watch_rule_and_trips():
     assert state.interval == watch.FIRST_INTERVAL and not state.stable_since
     state, _ = watch.step(state, "ok", 3000.0, None, 2)
     assert watch.step(state, "ok", 3000.0 + watch.STABLE, None, 2) == (watch.Watch(), "promote")
-    assert watch.trips([0, 1, 2, 3, 40, 41, 42]) == [(2, 30.0), (42, 60.0)]
+    assert lanes.trips([0, 1, 2, 3, 40, 41, 42]) == [(2, 30.0), (42, 60.0)]
 
 
 def test_watch_stream(spark, tmp_path):

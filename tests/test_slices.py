@@ -3,12 +3,13 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallowick.operators import events, frames, guide, match, pools
 from tallowick.operators.slices import latest, running
-from tallowick.streaming import watch
+from tallowick.streaming import lanes
 
 
 @pytest.fixture(autouse=True)
@@ -79,20 +80,44 @@ def test_failures_of_a_hot_channel(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("steps", [[0.5, 1, 2], [5, 10, 30], [20, 25, 29.5, 61], [10, 100, 170, 181, 299], [0, 0, 0, 40]])
+def test_slices_of_a_lane_lead_where_the_whole_lane_does(steps):
+    for seed in range(30):
+        rng = random.Random(seed)
+        rule = rng.choice([lanes.Rule(), lanes.Rule(least=2, window=20), lanes.Rule(least=4, first=10, longest=70, quiet=50)])
+        times = list(itertools.accumulate(rng.choice(steps) for _ in range(200)))
+        cuts = sorted(rng.sample(range(1, 200), rng.randrange(9)))
+        parts = [p for p in (times[i:j] for i, j in zip([0, *cuts], [*cuts, 200], strict=True)) if p]
+        # Equal times are in one slice.
+        for a, b in itertools.pairwise(range(len(parts))):
+            while parts[b] and parts[a] and parts[b][0] == parts[a][-1]:
+                parts[a].append(parts[b].pop(0))
+        parts = [p for p in parts if p]
+        until, pause, got, done = float("-inf"), rule.first, [], []
+        for part in parts:
+            own = lanes.Slice(done[-(rule.least - 1) :], np.array(part), rule)
+            got += [(at, n) for at, n, _ in own.path(own.at(until), pause) if at == at]
+            begins, ends, lengths = own.table()
+            k = int(np.searchsorted(begins, until)) * len(rule.pauses()) + rule.pauses().index(pause)
+            until, pause = until if ends[k] != ends[k] else ends[k], lengths[k]
+            done += part
+        assert got == lanes.trips(times, rule)
+
+
 def test_rate_trips_are_those_of_whole_lanes(spark):
     rng = random.Random(5)
-    lanes = {}
+    times_of = {}
     for lane in ("hot", "b"):
         t, times = 0.0, []
         for _ in range(900 if lane == "hot" else 40):
-            t += rng.choice([0, 1, 5, 20, 40, 100, 170, 185, 290, 299, 300, 301, 400])
+            t += rng.choice([0, 1, 5, 20, 40, 100, 170, 185, 290, 299]) if lane == "hot" else rng.choice([1, 5, 300, 301, 400])
             times.append(t)
-        lanes[lane] = times
-    rows = [(k, t) for k, ts in lanes.items() for t in ts]
+        times_of[lane] = times
+    rows = [(k, t) for k, ts in times_of.items() for t in ts]
     rng.shuffle(rows)
     docs = spark.createDataFrame(rows, "lane string, at double")
-    got = sorted(map(tuple, watch.rate_trips(docs).collect()))
-    assert got == sorted((k, *x) for k, ts in lanes.items() for x in watch.trips(ts))
+    got = sorted(map(tuple, lanes.rate_trips(docs).collect()))
+    assert got == sorted((k, *x) for k, ts in times_of.items() for x in lanes.trips(ts))
 
 
 @pytest.mark.parametrize("crowd", [1024, 3])
