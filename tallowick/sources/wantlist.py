@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallowick.functions.titles import Titles
-
+from tallowick.operators.slices import running
 
 
 def _entry(text: Column) -> dict[str, Column]:
@@ -26,16 +26,13 @@ def parse(lines: DataFrame, reader: Titles, line: str = "line_no", text: str = "
     ``#`` starts a comment; ``[Group]`` holds until the next one and ``[]`` ends it.  An
     entry whose key an earlier one has is a duplicate; a line that is no entry, or whose
     name has no key, is no name.  With ``file``, a column, every file is a list of its own,
-    otherwise the table is one list; a list is worked off in one task, as its lines
-    depend on those before them.
+    otherwise the table is one list, of any length: it is worked off in slices.
     """
-    own = [F.col(file)] if file else [F.lit(1)]
     keep = [file] if file else []
     rows = lines.select(*keep, F.col(line).alias("line_no"), F.trim(F.substring_index(F.regexp_replace(text, "\ufeff", ""), "#", 1)).alias("t")).filter("t <> ''")
     head = F.regexp_extract("t", r"^\[([^\]]*)\]$", 1)
     is_head = F.col("t").rlike(r"^\[[^\]]*\]$")
-    order = Window.partitionBy(*own).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("g", F.last(F.when(is_head, F.struct(F.nullif(F.trim(head), F.lit("")).alias("name"))), ignorenulls=True).over(order)).filter(~is_head)
+    rows = running(rows, keep, ["line_no"], g=("last", F.when(is_head, F.struct(F.nullif(F.trim(head), F.lit("")).alias("name"))))).filter(~is_head)
     named = rows.select(*keep, "line_no", F.col("g.name").alias("group"), *(c.alias(n) for n, c in _entry(F.col("t")).items()))
     keyed = named.withColumn("key", F.when(F.col("name").isNull(), "").otherwise(reader.key_column("name")))
     first = F.first("line_no").over(Window.partitionBy(*keep, "key").orderBy("line_no"))
@@ -45,11 +42,10 @@ def parse(lines: DataFrame, reader: Titles, line: str = "line_no", text: str = "
 def rendered(wanted: DataFrame, file: str | None = None) -> DataFrame:
     """``line_no, value``: a list as text, a header where the group changes, an empty line before it."""
     keep = [file] if file else []
-    order = Window.partitionBy(*([file] if file else [F.lit(1)])).orderBy("line_no")
     entry = F.concat(F.coalesce(F.concat(F.col("number").cast("string"), F.lit(": ")), F.lit("")), "name", F.when(F.coalesce("tvg_id", F.lit("")) != "", F.concat(F.lit(" | "), "tvg_id")).otherwise(""))
-    rows = wanted.withColumn("prev", F.lag("group").over(order)).withColumn("n", F.row_number().over(order))
-    changed = ~F.col("group").eqNullSafe(F.col("prev"))
-    head = F.when(changed, F.concat(F.when(F.col("n") > 1, "\n").otherwise(""), F.lit("["), F.coalesce("group", F.lit("")), F.lit("]\n"))).otherwise("")
+    rows = running(wanted, keep, ["line_no"], before=("last", F.struct("group")))
+    changed = ~F.col("group").eqNullSafe(F.col("before.group"))
+    head = F.when(changed, F.concat(F.when(F.col("before").isNotNull(), "\n").otherwise(""), F.lit("["), F.coalesce("group", F.lit("")), F.lit("]\n"))).otherwise("")
     return rows.select(*keep, "line_no", F.concat(head, entry).alias("value")).orderBy(*keep, "line_no")
 
 

@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallowick.operators import events, frames, guide, match, pools
+from tallowick.functions.titles import Titles
 from tallowick.operators.slices import latest, running
+from tallowick.sources import wantlist
 from tallowick.streaming import lanes
 
 
@@ -173,3 +175,12 @@ def test_summary_of_a_pool_of_many_names(spark):
     rows = spark.range(3000).select((F.col("id") % 2).cast("string").alias("channel_key"), F.when(F.col("id") % 5 != 0, F.format_string("n%05d", "id")).alias("name"), F.lit("UK | News").alias("group"), F.col("id").alias("src_pos"))
     got = {r.channel_key: r for r in pools.summary(rows).collect()}
     assert got["0"].names == ["n00002", "n00004", "n00006", "n00008", "n00012", "n00014"] and got["0"].n_streams == 1500
+
+
+def test_one_long_list_is_worked_off_in_slices(spark):
+    text = [(i, f"[G{i // 50 % 7}]" if i % 50 == 0 and i % 150 else "[]" if i % 150 == 0 else f"Channel {i} | id.{i}") for i in range(1200)]
+    lines = spark.createDataFrame(text, "line_no int, value string").repartition(3)
+    got = wantlist.parse(lines, Titles()).collect()
+    assert {r.line_no: r.group for r in got} == {i: f"G{i // 50 % 7}" if i // 50 % 3 else None for i in range(1200) if i % 50}
+    written = "\n".join(r.value for r in wantlist.rendered(wantlist.parse(lines, Titles())).orderBy("line_no").collect())
+    assert written.count("[") == 23 and written.startswith("Channel 1 |") and "\n\n[G1]\nChannel 51 | id.51\n" in written
