@@ -96,23 +96,23 @@ def event_poll(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The remote system's log polled as a stream from a mark on, stopped and started again half way; what counts, and the mark at the end."""
     path, rows = new_path(spark, "polled"), read(spark, sf_dir, "events")
     half = rows.agg(F.expr("floor(avg(event_id))")).first()[0]
-    logs = rows.groupBy(F.floor(F.col("event_id") / 500).alias("part")).agg(F.to_json(F.sort_array(F.collect_list(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type"))))).alias("value"))
+    logs = rows.groupBy(F.floor(F.col("event_id") / 5000).alias("part")).agg(F.to_json(F.sort_array(F.collect_list(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type"))))).alias("value"))
     logs.write.partitionBy("part").text(f"{path}/log")
     top = int(rows.agg(F.coalesce(F.max("event_id"), F.lit(0))).first()[0])
     shown = {"until": int(half or 0)}
 
     def answer(asked: dict[str, str]) -> bytes:
-        after, part, found = int(asked["since"]), int(asked["since"]) // 500, []
-        while not found and part <= top // 500:
-            found = [e for e in json.loads(written_file(spark, f"{path}/log/part={part}") or b"[]") if after < e["id"] <= shown["until"]]
+        after, part, limit, found = int(asked["since"]), int(asked["since"]) // 5000, int(asked["limit"]), []
+        while len(found) < limit and part <= top // 5000:
+            found += [e for e in json.loads(written_file(spark, f"{path}/log/part={part}") or b"[]") if after < e["id"] <= shown["until"]]
             part += 1
-        return json.dumps({"events": found[: int(asked["limit"])]}).encode()
+        return json.dumps({"events": found[:limit]}).encode()
 
     def counted(batch: DataFrame, number: int) -> None:
         batch.filter("type in ('error', 'view')").write.mode("overwrite").parquet(f"{path}/events/batch={number}")
 
     with serving(answer, driver_host(spark)) as url:
-        stream = api.register(spark).readStream.format("tallowick_events").schema("id long, type string").option("url", url).option("since", "true").option("mark", 700).load()
+        stream = api.register(spark).readStream.format("tallowick_events").schema("id long, type string").option("url", url).option("since", "true").option("limit", 20000).option("mark", 700).load()
         mark = 700
         for until in (shown["until"], top):
             shown["until"] = until
