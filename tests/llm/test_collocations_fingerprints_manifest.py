@@ -6,6 +6,7 @@ from collections import Counter
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +74,25 @@ def test_subtrees_do_not_depend_on_the_batches(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
+def test_texts_longer_than_a_batch(spark):
+    rng = random.Random(6)
+    words = ["internationalisation", "counterrevolutionary", "of", "the", "straightforwardness"]
+    long = " ".join(rng.choice(words) + rng.choice(["", "", ".", ",\n"]) for _ in range(450_000))
+    whole = "uncharacteristically " * 250_000  # one piece
+    assert min(len(long), len(whole)) > collocations.BATCH
+    got = {(r.k, r.phrase): r.a for r in collocations.frequencies(frame(spark, [long, "of the", whole], langs=["en", "en", "de"])).filter("lang = 'en'").collect()}
+    want = Counter()
+    for text in (long, "of the"):
+        for piece in re.split("[.,\n]", text):
+            w = piece.split()
+            for k in range(1, 5):
+                want.update((k, " ".join(w[i : i + k])) for i in range(len(w) - k + 1))
+    n = sum(a for (k, _), a in want.items() if k == 1)
+    assert got == {x: a for x, a in want.items() if a >= 30} | {(0, ""): n}
+    parts = list(collocations._shares(pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([long])], ["lang", "text"])))
+    assert b"".join(p.column("text")[0].as_py() for p in parts) == long.encode() and max(p.column("text").nbytes for p in parts) <= collocations.BATCH + 99 and len(parts) > 1
+
+
 def test_scores_are_exact_beyond_64_bits(spark, monkeypatch):
     a = 9_000_000_000_001
     counted = spark.createDataFrame([("en", 1, "x", a + 5), ("en", 1, "y", a + 8), ("en", 2, "x y", a), ("en", 0, "", 3 * a)], "lang string, k int, phrase string, a long")
