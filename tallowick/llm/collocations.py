@@ -26,12 +26,14 @@ no collocations.
 from __future__ import annotations
 
 import hashlib
+import pickle
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -225,23 +227,27 @@ class Held:
         self.parts.append((*(x[pick] for x in part[:-1]), np.add.reduceat(part[-1][order], first) if len(first) else part[-1]))
         self.size += len(pick)
 
-    def sums(self) -> Iterator[pa.RecordBatch]:
-        """What is held, each suffix once; then nothing is."""
+    def packed(self, places: int) -> Iterator[pa.RecordBatch]:
+        """What is held, each suffix once, packed for each of ``places`` that groups are dealt out to; then nothing is."""
         parts, self.parts, self.size = self.parts, [], 0
         if len(parts) > 1:
             self._keep(tuple(np.concatenate(x) for x in zip(*parts, strict=True)))
             parts, self.parts, self.size = self.parts, [], 0
-        names, langs = pa.array(list(self.words), pa.binary()), pa.array(list(self.langs), pa.string())
-        mask = (1 << 32) - 1
-        for part in parts:
-            for i in range(0, len(part[0]), 1 << 16):
-                high, low, last, group, depth, n = (x[i : i + (1 << 16)] for x in part)
-                columns = [names.take(pa.array(w)).view(pa.string()) for w in (high & mask, low >> 32, low & mask, last)]
-                yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(depth), langs.take(pa.array(high >> 32)), *columns, pa.array(n)], ["part", "depth", "lang", *LEVELS, "n"])
+        names, langs = np.array([*self.words, b""], object)[:-1], list(self.langs)
         self.words, self.langs = {b"": 0}, {}
-
-
-def _suffixes(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+        mask = (1 << 32) - 1
+        for high, low, last, group, depth, n in parts:
+            place = group % places
+            order = np.argsort(place, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(place[order])) + 1):
+                if len(own):
+                    used, words = np.unique(np.stack([high[own] & mask, low[own] >> 32, low[own] & mask, last[own]]), return_inverse=True)
+                    columns = (group[own], depth[own].astype(np.int8), (high[own] >> 32).astype(np.int32), words.reshape(DEPTH, -1).astype(np.int32), n[own])
+                    data = zstandard.compress(pickle.dumps((columns, names[used].tolist(), langs), protocol=5))
+                    yield pa.RecordBatch.from_arrays([pa.array([place[own[0]]], pa.int32()), pa.array([data], pa.binary())], ["place", "data"])
+
+
+def _suffixes(batches: Iterator[pa.RecordBatch], shared, places: int) -> Iterator[pa.RecordBatch]:
     """The different suffixes of a task with their numbers, summed up over about ``HELD`` of them; those of rare words count for their language only."""
     groups: Groups = shared.value
     held = Held()
@@ -250,8 +256,19 @@ def _suffixes(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBa
             size = own.lengths(groups.pairs, groups.longer)
             held.add(own, size, *groups.of(own, size))
             if held.size >= HELD:
-                yield from held.sums()
-    yield from held.sums()
+                yield from held.packed(places)
+    yield from held.packed(places)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of what ``Held.packed`` makes."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            (group, depth, lang, words, n), names, langs = pickle.loads(zstandard.decompress(batch.column("data")[i].as_py()))
+            names, langs = pa.array(names, pa.binary()).view(pa.string()), pa.array(langs, pa.string())
+            for j in range(0, len(n), 1 << 16):
+                k = slice(j, j + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(group[k], pa.int32()), pa.array(depth[k].astype(np.int32)), langs.take(pa.array(lang[k])), *(names.take(pa.array(w[k])) for w in words), pa.array(n[k])], ["part", "depth", "lang", *LEVELS, "n"])
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -337,8 +354,9 @@ def frequencies(docs: DataFrame, least: int = 30, lang_col: str = "lang", text_c
     longer, sizes = summed(pairs)
     shared = spark.sparkContext.broadcast(Groups(classes, sizes, pairs, longer, budget))
     order = ", ".join(f"{w} string" for w in LEVELS)
-    suffixes = rows.mapInArrow(lambda x: _suffixes(x, shared), f"part int, depth int, lang string, {order}, n long")
-    nodes = suffixes.repartition("part").sortWithinPartitions("part", "lang", *LEVELS).mapInArrow(lambda x: _subtrees(x, least), "lang string, k int, phrase string, a long")
+    packed = rows.mapInArrow(lambda x: _suffixes(x, shared, partitions), "place int, data binary").repartition("place")
+    suffixes = packed.mapInArrow(_unpacked, f"part int, depth int, lang string, {order}, n long")
+    nodes = suffixes.sortWithinPartitions("part", "lang", *LEVELS).mapInArrow(lambda x: _subtrees(x, least), "lang string, k int, phrase string, a long")
     return nodes.groupBy("lang", "k", "phrase").agg(F.sum("a").alias("a")).filter((F.col("a") >= least) | (F.col("k") == 0))
 
 
