@@ -41,12 +41,12 @@ from tallowick.llm import kernels as K
 from tallowick.llm.workspace import keep
 
 DEPTH = 4
-BATCH = 1 << 22
+BATCH = 1 << 21
 MOST_COUNTERS, MOST_CLASSES = 1 << 26, 1 << 22
 #: counters and class sizes travel in parts of so many bytes and numbers
 PART = 1 << 16
 #: different suffixes that a task holds to add up equal ones
-HELD = 1 << 20
+HELD = 1 << 19
 LEVELS = tuple(f"w{i + 1}" for i in range(DEPTH))
 
 _CUT = K.LOWER.copy()
