@@ -109,6 +109,14 @@ def test_one_file_of_many_tasks(spark, tmp_path):
     assert not (tmp_path / "none").exists() or not list((tmp_path / "none").iterdir())
 
 
+@pytest.mark.parametrize("size", [-1, 0, 1, 2 * contents.CHUNK])
+def test_members_that_unpack_to_more_than_a_part_at_a_time(size):
+    bodies = [b" ".join(b"%d" % i for i in range(n))[:n] for n in (contents.CHUNK + size, 1000)]
+    packed = b"".join(gzip.compress(b) for b in bodies)
+    for step in (len(packed), 1000):
+        assert b"".join(contents.unpacked(packed[i : i + step] for i in range(0, len(packed), step))) == b"".join(bodies)
+
+
 def test_named_files(spark, tmp_path):
     rows = spark.createDataFrame([("b", 2, "y"), ("a", 1, "x"), ("b", 1, "z")], "name string, at int, value string")
     files.named_files(rows, f"file://{tmp_path}/made", "list-@.txt")
