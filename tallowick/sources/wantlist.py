@@ -58,8 +58,9 @@ def reference_lineup(spark: SparkSession, path: str, reader: Titles) -> DataFram
     wrong = rows.filter("j.categories is null").select("file").first()
     if wrong:
         raise ValueError(f"{wrong['file']} holds no line-up: it needs an object 'categories'")
-    groups = rows.select("file", F.posexplode(F.map_entries("j.categories")).alias("g_pos", "g"))
-    each = groups.select("file", "g_pos", F.col("g.key").alias("group"), F.posexplode("g.value").alias("pos", "x")).select("file", "g_pos", "pos", "group", "x.name", "x.number")
+    groups = rows.select("file", F.posexplode(F.map_entries("j.categories")).alias("g_pos", "g")).select("file", "g_pos", F.col("g.key").alias("group"), F.col("g.value").alias("list"))
+    # The list is a column of its own, so that the entries' rows leave it behind.
+    each = groups.select("file", "g_pos", "group", F.posexplode("list").alias("pos", "x")).select("file", "g_pos", "pos", "group", "x.name", "x.number")
     keyed = each.withColumn("key", reader.key_column("name"))
     first = F.row_number().over(Window.partitionBy("file", "key").orderBy("g_pos", "pos"))
     return keyed.withColumn("_n", first).filter("_n = 1 and key <> ''").drop("_n")

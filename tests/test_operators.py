@@ -239,3 +239,17 @@ def test_timers_of_the_watch_list(spark):
     assert {r.channel_key: r.next_check for r in watch.due(state, 60.0).collect()} == {"c": 240.0}
     got = {r.channel_key: (r.action, r.next_check) for r in watch.tick(state, spark.createDataFrame([("a", "ok")], "channel_key string, status string"), 60.0, reachable=False).collect()}
     assert got == {"a": ("evaluate", 100.0), "c": ("down", 1860.0)}
+
+
+def test_entries_of_a_long_lineup_leave_its_list_behind(spark, tmp_path):
+    import json
+
+    path = tmp_path / "lineup.json"
+    path.write_text(json.dumps({"categories": {"G": [{"name": f"Channel {i}", "number": i} for i in range(500)], "H": [{"name": "channel 3", "number": 1}, {"name": "Other", "number": 2}]}}))
+    rows = wantlist.reference_lineup(spark, f"file://{path}", Titles())
+    assert sorted((r.group, r.key, r.number) for r in rows.collect()) == sorted([("G", f"CHANNEL{i}", float(i)) for i in range(500)] + [("H", "OTHER", 2.0)])
+    # What each entry's row brings along on its way to its key: single values, not the lists.
+    plan = rows._jdf.queryExecution().optimizedPlan()
+    while "posexplode" not in plan.nodeName() + plan.simpleString(1000):
+        plan = plan.children().apply(0)
+    assert "array<" not in plan.schema().simpleString()
