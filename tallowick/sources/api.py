@@ -140,7 +140,8 @@ class Events(DataSource):
     checkpoint of the stream's query, so a restart neither loses nor repeats events that the
     log still has.  ``mark`` is the id to begin after.  A log that takes ``since`` (option
     ``since=true``) is asked for what came after an id, ``limit`` events at a time, oldest
-    first; other logs give their newest ``limit`` events.
+    first; other logs give their newest ``limit`` events.  Several events may have one id:
+    where an answer is full, its last id waits for the next one, which has all of them.
     """
 
     @classmethod
@@ -159,10 +160,16 @@ class EventReader(DataSourceStreamReader):
         self.mark: int | None = None
 
     def _events(self, after: int) -> list[dict]:
-        asked = {"limit": self.limit} | ({"since": after} if self.since else {})
-        answer = fetch_json(_with(self.url, **asked), **_how(self.options))
-        found = (answer or {}).get("events") or [] if isinstance(answer, dict) else answer or []
-        return sorted((e for e in found if (e.get("id") or 0) > after), key=lambda e: e["id"])
+        limit = self.limit
+        while True:
+            answer = fetch_json(_with(self.url, limit=limit, **({"since": after} if self.since else {})), **_how(self.options))
+            found = (answer or {}).get("events") or [] if isinstance(answer, dict) else answer or []
+            full = self.since and len(found) >= limit
+            found = sorted((e for e in found if (e.get("id") or 0) > after), key=lambda e: e["id"])
+            whole = [e for e in found if e["id"] < found[-1]["id"]] if full else found
+            if whole or not found:
+                return whole
+            limit *= 2
 
     def initialOffset(self) -> dict:
         return {"mark": int(self.options.get("mark", 0))}

@@ -152,3 +152,18 @@ def test_events_are_polled_once_each_over_restarts(spark, tmp_path, since):
     got = sorted(r.id for r in spark.read.schema("id long, type string").parquet(f"{tmp_path}/out/batch=*").collect())
     first = 4 if since == "true" else 14  # a log that gives its newest ten has lost the rest
     assert got == [*range(first, 30), 35]
+
+
+@pytest.mark.parametrize("copies", [3, 25])
+def test_events_of_one_id_are_all_polled(spark, tmp_path, copies):
+    log = [{"id": i, "type": str(n)} for i in range(1, 8) for n in range(copies)]
+
+    def answer(asked):
+        return json.dumps({"events": [e for e in log if e["id"] > int(asked["since"])][: int(asked["limit"])]}).encode()
+
+    with serving(answer) as url:
+        run = poll(spark, url, tmp_path, "true")
+        wait_for(run, tmp_path, 7)
+        run.stop()
+    got = sorted((r.id, r.type) for r in spark.read.schema("id long, type string").parquet(f"{tmp_path}/out/batch=*").collect())
+    assert got == sorted((i, str(n)) for i in range(4, 8) for n in range(copies))
