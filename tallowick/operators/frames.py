@@ -100,6 +100,8 @@ def still_groups(records: DataFrame) -> DataFrame:
     decide where both are there; a record without one is like all of near hashes.
     """
     still = records.filter("low_motion and hash is not null").select("pos", "hash", "frame", F.concat("hash", F.coalesce(F.sha2(F.to_json(F.array("frame")), 256), F.lit(""))).alias("same"))
+    # Joined with itself, and the optimizer can't bind the expressions of the hashes behind an aggregate of large tables.
+    still = keep(still, "stills")
     first = still.groupBy("same").agg(F.min("pos").alias("a"))
     copies = still.join(first, "same").filter("pos <> a").select("a", F.col("pos").alias("b"))
     reps = keep(still.join(first.select(F.col("a").alias("pos")), "pos", "left_semi").select("pos", "hash", "frame"), "pictures")

@@ -253,3 +253,11 @@ def test_entries_of_a_long_lineup_leave_its_list_behind(spark, tmp_path):
     while "posexplode" not in plan.nodeName() + plan.simpleString(1000):
         plan = plan.children().apply(0)
     assert "array<" not in plan.schema().simpleString()
+
+
+def test_still_pictures_are_joined_by_kept_hashes(spark, monkeypatch):
+    plans, real = [], frames.connected_components
+    monkeypatch.setattr(frames, "connected_components", lambda edges, *ends: plans.append(edges._jdf.queryExecution().optimizedPlan().toString()) or real(edges, *ends))
+    rows = spark.range(6).selectExpr("id as pos", "lpad(hex(id % 2 * 65535), 16, '0') as hash", "true as low_motion", "cast(null as array<int>) as frame")
+    assert {r.pos: r.group for r in frames.still_groups(rows).collect()} == {0: 1, 1: 2, 2: 1, 3: 2, 4: 1, 5: 2}
+    assert plans and not any("lpad(" in p for p in plans)
