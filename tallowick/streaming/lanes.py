@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 from tallowick.storage import keep
 
 
+#: shares that the lanes of a slice of the table are worked off in
+LANES = 16
+
+
 @dataclass(frozen=True)
 class Rule:
     """A pause after ``least`` refusals within ``window`` seconds: ``first`` seconds, doubled each time up to ``longest``, ``first`` again after ``quiet`` seconds without a refusal."""
@@ -129,13 +133,20 @@ def rate_trips(refusals: DataFrame, lane: str = "lane", at: str = "at", rule: Ru
     place = Window.partitionBy("lane", "slice").orderBy(F.desc("at"))
     tails = dealt.withColumn("n", F.row_number().over(place)).filter(F.col("n") <= back).groupBy("lane", "slice").agg(F.collect_list("at").alias("tail"))
     # A row for each slice; the last times before it are those of as many slices at most.
-    before = Window.partitionBy("lane").orderBy("slice").rowsBetween(-back, -1)
-    fronts = tails.select(F.col("lane").alias("l"), F.col("slice").alias("s"), F.slice(F.reverse(F.array_sort(F.flatten(F.collect_list("tail").over(before)))), 1, back).alias("front"))
-    same = F.col("lane").eqNullSafe(F.col("l")) & (F.col("slice") == F.col("s"))
-    sliced = dealt.join(fronts, same).drop("l", "s")
+    of_lane = Window.partitionBy("lane")
+    before = of_lane.orderBy("slice").rowsBetween(-back, -1)
+    cut = tails.withColumn("slices", F.count("*").over(of_lane)).withColumn("front", F.slice(F.reverse(F.array_sort(F.flatten(F.collect_list("tail").over(before)))), 1, back)).filter("slices > 1")
+    # Lanes within one slice begin anew; of the others, at most as many as there are slices, tables are made.
+    fronts = keep(cut.select("lane", "slice", "front"), "lane-fronts")
+    none = F.lit(None).cast("double")
+    own = dealt.select("lane", "slice", "at", F.lit(True).alias("own"), none.alias("until"), none.alias("length"))
+    ahead = fronts.select("lane", "slice", F.explode("front").alias("at"), F.lit(False).alias("own"), none.alias("until"), none.alias("length"))
+    lanes = fronts.select(F.col("lane").alias("l")).distinct()
+    cut_rows = own.join(F.broadcast(lanes), F.col("lane").eqNullSafe(F.col("l")), "left_semi")  # fewer than slices
 
     def tables(pdf: pd.DataFrame) -> pd.DataFrame:
-        begins, ends, lengths = Slice(pdf["front"].iloc[0], pdf["at"].to_numpy(), rule).table()
+        at, mine = pdf["at"].to_numpy(), pdf["own"].to_numpy(bool)
+        begins, ends, lengths = Slice(at[~mine], at[mine], rule).table()
         return pd.DataFrame({"lane": [pdf["lane"].iloc[0]], "slice": [pdf["slice"].iloc[0]], "begins": [begins], "ends": [ends], "lengths": [lengths]})
 
     def states(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -144,13 +155,29 @@ def rate_trips(refusals: DataFrame, lane: str = "lane", at: str = "at", rule: Ru
             out.append((r.lane, r.slice, until, pause))
             at = int(np.searchsorted(np.array(r.begins), until, side="left")) * len(pauses) + pauses.index(pause)
             until, pause = (until if np.isnan(r.ends[at]) else r.ends[at]), r.lengths[at]
-        return pd.DataFrame(out, columns=["l", "s", "until", "length"])
+        return pd.DataFrame(out, columns=["lane", "slice", "until", "length"])
 
     def found(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = Slice(pdf["front"].iloc[0], pdf["at"].to_numpy(), rule)
-        out = [(at, length) for at, length, _ in own.path(own.at(pdf["until"].iloc[0]), pdf["length"].iloc[0]) if not np.isnan(at)]
-        return pd.DataFrame({"lane": pdf["lane"].iloc[0], "at": [x for x, _ in out], "pause": [x for _, x in out]}, columns=["lane", "at", "pause"])
-
-    made = sliced.groupBy("lane", "slice").applyInPandas(tables, "lane string, slice int, begins array<double>, ends array<double>, lengths array<double>")
-    reached = keep(made.groupBy("lane").applyInPandas(states, "l string, s int, until double, length double"), "lane-states")
-    return sliced.join(reached, same).drop("l", "s").groupBy("lane", "slice").applyInPandas(found, "lane string, at double, pause double")
+        code = pd.factorize(pdf["lane"], use_na_sentinel=False)[0]
+        order = np.lexsort((pdf["at"].to_numpy(), code))
+        code, lane = code[order], pdf["lane"].to_numpy()[order]
+        at, mine, until, length = (pdf[c].to_numpy()[order] for c in ("at", "own", "until", "length"))
+        edges = [*np.flatnonzero(np.diff(code, prepend=-1)).tolist(), len(code)]
+        out = []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            times = at[a:b]
+            state = np.flatnonzero(np.isnan(times))  # a state has no time, and stands last
+            end = b - len(state)
+            if end - a < rule.least or (at[a + back : end] - at[a : end - back]).min() > rule.window:
+                continue
+            times, own_times = at[a:end], mine[a:end].astype(bool)
+            one = Slice(times[~own_times], times[own_times], rule)
+            start, pause = (until[end], length[end]) if len(state) else (float("-inf"), rule.first)
+            out += [(lane[a], when, long) for when, long, _ in one.path(one.at(start), pause) if not np.isnan(when)]
+        return pd.DataFrame(out, columns=["lane", "at", "pause"])
+
+    made = cut_rows.union(ahead).groupBy("lane", "slice").applyInPandas(tables, "lane string, slice int, begins array<double>, ends array<double>, lengths array<double>")
+    reached = keep(made.groupBy("lane").applyInPandas(states, "lane string, slice int, until double, length double"), "lane-states")
+    every = own.union(ahead).union(reached.select("lane", "slice", none.alias("at"), F.lit(False).alias("own"), "until", "length"))
+    # Many lanes at a time, as a call for each costs more than most lanes' work.
+    return every.groupBy("slice", F.pmod(F.hash("lane"), F.lit(LANES)).alias("share")).applyInPandas(found, "lane string, at double, pause double")

@@ -122,6 +122,17 @@ def test_rate_trips_are_those_of_whole_lanes(spark):
     assert got == sorted((k, *x) for k, ts in times_of.items() for x in lanes.trips(ts))
 
 
+def test_many_lanes_are_worked_off_together(spark):
+    rng = random.Random(7)
+    times_of = {lane: [rng.randrange(3000) * 1.0 for _ in range(rng.choice([1, 2, 40]))] for lane in (None, *map(str, range(300)))}
+    docs = spark.createDataFrame([(k, t) for k, ts in times_of.items() for t in ts], "lane string, at double")
+    found = lanes.rate_trips(docs)
+    key = lambda r: (r[0] or "", *r[1:])
+    assert sorted(map(tuple, found.collect()), key=key) == sorted(((k, *x) for k, ts in times_of.items() for x in lanes.trips(ts)), key=key)
+    calls = next(line for line in found._jdf.queryExecution().analyzed().toString().splitlines() if "FlatMapGroups" in line)
+    assert "lane" not in calls.split("]")[0]  # no call for each lane
+
+
 @pytest.mark.parametrize("crowd", [1024, 3])
 @pytest.mark.parametrize("near", [8, 2, 5])
 def test_similar_pairs(spark, monkeypatch, near, crowd):
