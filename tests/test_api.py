@@ -167,3 +167,14 @@ def test_events_of_one_id_are_all_polled(spark, tmp_path, copies):
         run.stop()
     got = sorted((r.id, r.type) for r in spark.read.schema("id long, type string").parquet(f"{tmp_path}/out/batch=*").collect())
     assert got == sorted((i, str(n)) for i in range(4, 8) for n in range(copies))
+
+
+def test_the_listing_s_files_hold_many_pages(spark, tmp_path, monkeypatch):
+    from tallowick.plans import sources
+
+    opened, real = [], sources.written_file
+    monkeypatch.setattr(sources, "written_file", lambda *a: opened.append(a) or real(*a))
+    spark.range(2950).selectExpr("id as c_custkey", "concat('a\t', id) as c_name").write.parquet(f"{tmp_path}/customer.parquet")
+    rows = sorted((r.how, r.id, r.name) for r in sources.paged_scan(spark, str(tmp_path)).collect())
+    assert rows == sorted((how, i, f"a\t{i}") for how in ("counted", "linked") for i in range(2950))
+    assert len(opened) < 30  # of thirty pages, each asked for twice
