@@ -28,7 +28,7 @@ def sheet_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT channel_key, l_orderkey, l_linenumber, l_suppkey, demoted, CAST(rank AS INT) AS rank FROM r WHERE rank <= 3""")
 def demoted_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     watched = read(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("demoted_id"))
-    rows = rank.with_demoted(cat._records(spark, sf_dir), watched, "l_orderkey")
+    rows = rank.with_demoted(cat._records(spark, sf_dir, "l_orderkey"), watched, "l_orderkey")
     return rank.ranked(rows, tie=tuple(cat._RECORD_COLUMNS)).filter("rank <= 3").select("channel_key", "l_orderkey", "l_linenumber", "l_suppkey", "demoted", "rank")
 
 

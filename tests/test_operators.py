@@ -261,3 +261,30 @@ def test_still_pictures_are_joined_by_kept_hashes(spark, monkeypatch):
     rows = spark.range(6).selectExpr("id as pos", "lpad(hex(id % 2 * 65535), 16, '0') as hash", "true as low_motion", "cast(null as array<int>) as frame")
     assert {r.pos: r.group for r in frames.still_groups(rows).collect()} == {0: 1, 1: 2, 2: 1, 3: 2, 4: 1, 5: 2}
     assert plans and not any("lpad(" in p for p in plans)
+
+
+def test_candidates_are_dealt_out_once_for_each_step(spark, tmp_path):
+    from tallowick.plans import catalogue, curation
+
+    item = "cast({o} as long) as l_orderkey, cast(id % 4 as long) as l_partkey, cast(id % 5 as long) as l_suppkey, cast(1 as int) as l_linenumber, cast(10 + id % 3 as double) as l_quantity, cast(100 + id as double) as l_extendedprice, 0d as l_discount, 0d as l_tax, 'N' as l_returnflag, 'O' as l_linestatus, timestamp'2024-01-01' as l_shipdate"
+    rows = spark.range(24).selectExpr(*item.format(o="id").split(", "))
+    rows.union(rows).write.parquet(str(tmp_path / "lineitem.parquet"))  # each row twice
+    spark.range(0, 24, 3).selectExpr("id as o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
+    order = lambda i: (i % 3 == 0, -(10 + i % 3), -(100 + i))
+    want = {(k, i, i % 3 == 0, n) for k in range(4) for n, i in enumerate(sorted(range(k, 24, 4), key=order)[:3], 1)}
+    found = {}
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for f in (curation.demoted_rank, catalogue.candidate_rank):
+            df = f(spark, str(tmp_path))
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            found[f.__name__] = plan.count("Exchange hashpartitioning")
+            if f is curation.demoted_rank:
+                assert sorted((r.channel_key, r.l_orderkey, r.demoted, r.rank) for r in df.collect()) == sorted(want)
+            else:
+                assert df.count() == 24
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+    # For the join, for the ranking, and two for the watch list; for the ranking only.
+    assert found == {"demoted_rank": 4, "candidate_rank": 1}
