@@ -33,9 +33,12 @@ def name_index(channels: DataFrame) -> DataFrame:
     return found.select("key", F.when(F.col("ids") == 1, F.col("any_id")).when((F.col("identities") == 1) & (F.col("hd") == 1), F.col("hd_id")).alias("guide_id")).filter("guide_id is not null")
 
 
-def _heads(key: Column, least: int) -> Column:
-    """All beginnings of a key that are at least ``least`` characters long."""
-    return F.when(F.length(key) >= least, F.transform(F.sequence(F.lit(least), F.length(key)), lambda n: F.substring(key, F.lit(1), n)))
+def _with_heads(rows: DataFrame, key: str, others: DataFrame) -> DataFrame:
+    """``rows`` once for each ``head``, a beginning of ``key`` as long as some key of ``others``, of ``PREFIX`` characters at least."""
+    lengths = others.agg(F.collect_set(F.when(F.length("key") >= PREFIX, F.length("key"))).alias("_lengths"))
+    fit = F.filter("_lengths", lambda n: n <= F.length(key))
+    # One row, with as many lengths as there are among the keys.
+    return rows.join(F.broadcast(lengths), how="cross").withColumn("head", F.explode(F.transform(fit, lambda n: F.substring(F.col(key), F.lit(1), n)))).drop("_lengths")
 
 
 def resolve(wanted: DataFrame, index: DataFrame, known_ids: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -44,20 +47,27 @@ def resolve(wanted: DataFrame, index: DataFrame, known_ids: DataFrame, by: tuple
     A known ``tvg_id`` comes first, then the key, then the one key that goes on from it
     or from which it goes on, both of at least six characters and alike in timeshift.
     A key begins with another if one of its beginnings equals it, so both ways are joins on
-    whole keys.  ``by`` names columns of all three tables that must be equal, as a source.
+    whole keys, each taken once.  Beginnings as long as no key are not made, and those of the
+    index are counted together before they meet a key: a beginning that all keys share is no
+    task's burden.  ``by`` names columns of all three tables that must be equal, as a source.
     """
     known = known_ids.select(*by, F.col("guide_id").alias("tvg_id"), F.col("guide_id").alias("known")).distinct()
-    step = wanted.join(known, [*by, "tvg_id"], "left").join(index.select(*by, "key", F.col("guide_id").alias("by_key")), [*by, "key"], "left")
-    open_rows = step.filter("known is null and by_key is null").select(*by, "row", "key").filter(F.length("key") >= PREFIX)
-    long = index.filter(F.length("key") >= PREFIX).select(*by, F.col("key").alias("other"), F.col("guide_id").alias("near_id"))
-    found = [*by, "row", "key", "other", "near_id"]
-    shorter = open_rows.withColumn("head", F.explode(_heads(F.col("key"), PREFIX))).join(long.withColumn("head", F.col("other")), [*by, "head"]).select(found)
-    longer = long.withColumn("head", F.explode(_heads(F.col("other"), PREFIX))).join(open_rows.withColumn("head", F.col("key")), [*by, "head"]).select(found)
+    step = wanted.join(known, [*by, "tvg_id"], "left")
+    taken = index.filter("guide_id is not null").select(*by, "key")
+    open_rows = step.filter("known is null").filter(F.length("key") >= PREFIX).select(*by, "row", "key").join(taken, [*by, "key"], "left_anti")
     shift = lambda c: F.col(c).contains("TIMESHIFT")
-    near = shorter.union(longer).filter(shift("key") == shift("other"))
+    asked = open_rows.select(*by, "key", shift("key").alias("shift")).distinct()
+    long = index.filter(F.length("key") >= PREFIX).groupBy(*by, F.col("key").alias("other")).agg(F.min("guide_id").alias("near_id")).withColumn("shift", shift("other"))
+    met = [*by, "head", "shift"]
+    shorter = _with_heads(asked, "key", index).join(long.withColumnRenamed("other", "head"), met).select(*by, "key", F.col("head").alias("a"), F.col("head").alias("b"), "near_id")
+    below = _with_heads(long, "other", wanted).groupBy(met).agg(F.min("other").alias("a"), F.max("other").alias("b"), F.min("near_id").alias("near_id"))
+    longer = below.join(asked.withColumn("head", F.col("key")), met).select(*by, "key", "a", "b", "near_id")
     # Two keys are enough to know that there is not one.
-    one = near.groupBy(*by, "row").agg(F.min("other").alias("a"), F.max("other").alias("b"), F.min("near_id").alias("by_prefix")).filter("a = b").drop("a", "b")
-    out = step.join(one, [*by, "row"], "left")
+    few = (F.min("a").alias("a"), F.max("b").alias("b"), F.min("near_id").alias("near_id"))
+    near = shorter.union(longer).groupBy(*by, "key").agg(*few)
+    one = open_rows.join(near, [*by, "key"]).groupBy(*by, "row").agg(*few).filter("a = b").select(*by, "row", F.col("near_id").alias("by_prefix"))
+    # Keys of the index may repeat; their rows are multiplied last.
+    out = step.join(one, [*by, "row"], "left").join(index.select(*by, "key", F.col("guide_id").alias("by_key")), [*by, "key"], "left")
     return out.select(*by, "row", "key", "tvg_id", F.coalesce("known", "by_key", "by_prefix").alias("guide_id"), F.when(F.col("known").isNotNull(), "id").when(F.col("by_key").isNotNull(), "key").when(F.col("by_prefix").isNotNull(), "prefix").alias("stage"))
 
 

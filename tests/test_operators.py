@@ -288,3 +288,49 @@ def test_candidates_are_dealt_out_once_for_each_step(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
     # For the join, for the ranking, and two for the watch list; for the ranking only.
     assert found == {"demoted_rank": 4, "candidate_rank": 1}
+
+
+def _generated(node) -> int:
+    """Rows that a finished plan's explodes made."""
+    name = node.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return _generated(node.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return _generated(node.plan())
+    own = node.metrics().apply("numOutputRows").value() if name == "GenerateExec" else 0
+    return own + sum(_generated(node.children().apply(i)) for i in range(node.children().size()))
+
+
+def test_a_beginning_that_all_keys_share_is_not_made_for_each(spark):
+    wanted = spark.range(400).selectExpr("id as row", "concat('CUSTOMER', lpad(id, 9, '0'), if(id % 3 = 0, 'X', '')) as key", "cast(null as long) as tvg_id")
+    index = spark.range(0, 400, 2).selectExpr("concat('CUSTOMER', lpad(id, 9, '0')) as key", "id as guide_id")
+    df = guide.resolve(wanted, index, index.select("guide_id").limit(0))
+    want = {i: (i, "prefix" if i % 3 == 0 else "key") if i % 2 == 0 else (None, None) for i in range(400)}
+    assert {r.row: (r.guide_id, r.stage) for r in df.collect()} == want
+    assert _generated(df._jdf.queryExecution().executedPlan()) <= 800
+
+
+def test_keys_and_beginnings_against_all_pairs(spark):
+    rng = __import__("random").Random(11)
+    stem = lambda: rng.choice(["ABCDEF", "ABCDEé", "ABCDE", "XYZXYZ"]) + "".join(rng.choice("AB") for _ in range(rng.randrange(4))) + rng.choice(["", "", "TIMESHIFT", "TIMESHIFTA"])
+    wanted = [(i, rng.choice([None, "", stem()]) if i % 9 == 0 else stem(), rng.choice([None, 1, 3, 99])) for i in range(150)]
+    for n in (0, 1, 6, 25):
+        index = [(stem(), rng.choice([2 * i, 2 * i + 1])) for i in range(n)]
+        index += index[:2] + [(k, g + 1000) for k, g in index[2:4]]  # keys that repeat
+        known = [(1,), (3,), (3,)]
+        want = []
+        for row, key, tvg in wanted:
+            if (tvg,) in known:
+                found = [tvg] * max(1, sum(k == key for k, _ in index))
+                want += [(row, g, "id") for g in found]
+                continue
+            same = [g for k, g in index if k == key]
+            if same:
+                want += [(row, g, "key") for g in same]
+                continue
+            near = [(k, g) for k, g in index if key and min(len(k), len(key)) >= 6 and (k.startswith(key) or key.startswith(k)) and ("TIMESHIFT" in k) == ("TIMESHIFT" in key)]
+            one = len({k for k, _ in near}) == 1
+            want.append((row, min(g for _, g in near) if one else None, "prefix" if one else None))
+        got = guide.resolve(spark.createDataFrame(wanted, "row long, key string, tvg_id long"), spark.createDataFrame(index, "key string, guide_id long"), spark.createDataFrame(known, "guide_id long"))
+        order = lambda x: (x[0], x[1] is None, x[1])
+        assert sorted(((r.row, r.guide_id, r.stage) for r in got.collect()), key=order) == sorted(want, key=order)
