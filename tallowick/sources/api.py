@@ -142,6 +142,7 @@ class Events(DataSource):
     ``since=true``) is asked for what came after an id, ``limit`` events at a time, oldest
     first; other logs give their newest ``limit`` events.  Several events may have one id:
     where an answer is full, its last id waits for the next one, which has all of them.
+    A batch has up to ``partitions`` answers, each read by a task of its own.
     """
 
     @classmethod
@@ -157,38 +158,48 @@ class EventReader(DataSourceStreamReader):
         self.schema, self.options = schema, options
         self.url, self.limit = options["url"], int(options.get("limit", 1000))
         self.since = str(options.get("since", "")).lower() == "true"
+        self.most = max(1, int(options.get("partitions", 64)))
         self.mark: int | None = None
+        self.cuts: list[int] = []
 
-    def _events(self, after: int) -> list[dict]:
+    def _answer(self, after: int, limit: int) -> list[dict]:
+        answer = fetch_json(_with(self.url, limit=limit, **({"since": after} if self.since else {})), **_how(self.options))
+        return (answer or {}).get("events") or [] if isinstance(answer, dict) else answer or []
+
+    def _events(self, after: int) -> tuple[list[dict], bool]:
+        """The next events, and whether the log has more of them."""
         limit = self.limit
         while True:
-            answer = fetch_json(_with(self.url, limit=limit, **({"since": after} if self.since else {})), **_how(self.options))
-            found = (answer or {}).get("events") or [] if isinstance(answer, dict) else answer or []
+            found = self._answer(after, limit)
             full = self.since and len(found) >= limit
             found = sorted((e for e in found if (e.get("id") or 0) > after), key=lambda e: e["id"])
             whole = [e for e in found if e["id"] < found[-1]["id"]] if full else found
             if whole or not found:
-                return whole
+                return whole, full and bool(whole)
             limit *= 2
 
     def initialOffset(self) -> dict:
         return {"mark": int(self.options.get("mark", 0))}
 
     def latestOffset(self) -> dict:
-        """The newest event's id; of a log that is asked by ``since``, that of the next ``limit`` events."""
-        mark = self.initialOffset()["mark"] if self.mark is None else self.mark
-        events = self._events(mark)
-        self.mark = max([mark, *(e["id"] for e in events)])
+        """The newest event's id; of a log that is asked by ``since``, the last one of the next answers."""
+        self.cuts, more = [self.initialOffset()["mark"] if self.mark is None else self.mark], True
+        while more and len(self.cuts) <= self.most:
+            events, more = self._events(self.cuts[-1])
+            self.cuts += [e["id"] for e in events[-1:]]
+        self.mark = self.cuts[-1]
         return {"mark": self.mark}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        """A range for each answer; after a restart, where they aren't known, one for all."""
         self.mark = max(self.mark or 0, end["mark"])
-        return [EventRange(start["mark"], end["mark"])]
+        ends = [*(x for x in self.cuts if start["mark"] < x < end["mark"]), end["mark"]]
+        return [EventRange(*x) for x in zip([start["mark"], *ends], ends)]
 
     def read(self, partition: EventRange) -> Iterator[pa.RecordBatch]:
         after = partition.after
         while after < partition.until:
-            events = [e for e in self._events(after) if e["id"] <= partition.until]
+            events = [e for e in self._events(after)[0] if e["id"] <= partition.until]
             if events:
                 yield _batch(events, self.schema)
             if not self.since or not events:
